@@ -50,36 +50,41 @@ _ADD = _RNG.integers(0, 1 << 63, WIDTH, dtype=np.uint64)
 _ROOT = _RNG.permutation(WIDTH)[: TREES * BRANCH]
 
 
-def minwise(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of ``flat`` the 16 lower bits of the least hashes by ``WIDTH`` functions."""
-    out = np.empty((len(starts), WIDTH), np.uint16)
+def minwise(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of ``flat``: 16 bits of the least hashes by ``WIDTH`` functions, and the ids of
+    its children in the roots, from all bits of the tokens there."""
+    out, roots = np.empty((len(starts), WIDTH), np.uint16), np.empty((len(starts), len(_ROOT)), np.uint64)
+    slot = {int(j): k for k, j in enumerate(_ROOT)}
     with np.errstate(over="ignore"):
         for j in range(WIDTH):
-            least = np.minimum.reduceat((flat * _MUL[j] + _ADD[j]) >> np.uint64(16), starts)
-            out[:, j] = mix(least) & np.uint64(0xFFFF)
-    return out
+            least = mix(np.minimum.reduceat((flat * _MUL[j] + _ADD[j]) >> np.uint64(8), starts))
+            out[:, j] = least & np.uint64(0xFFFF)
+            if j in slot:
+                roots[:, slot[j]] = mix(least + _ADD[slot[j]])
+    return out, roots
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
-        n, low, high, sig, held, done = [], [], [], [], [], 0
+        n, low, high, sig, path, held, done = [], [], [], [], [], [], 0
 
         def flush() -> None:
             if held:
                 lengths = np.array([len(s) for s in held])
                 some = np.flatnonzero(lengths)
-                found = np.zeros((len(held), WIDTH), np.uint16)
+                found, roots = np.zeros((len(held), WIDTH), np.uint16), np.zeros((len(held), len(_ROOT)), np.uint64)
                 a, b = np.zeros(len(held), np.uint64), np.zeros(len(held), np.uint64)
                 if len(some):
                     flat = np.concatenate(held)
                     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[some]
-                    found[some] = minwise(flat, starts)
+                    found[some], roots[some] = minwise(flat, starts)
                     with np.errstate(over="ignore"):
                         a[some] = np.add.reduceat(mix(flat + np.uint64(1)), starts)
                         b[some] = np.add.reduceat(mix(flat ^ np.uint64(0x5DEECE66D)), starts)
                 n.extend(lengths.tolist()), low.append(a.view(np.int64)), high.append(b.view(np.int64))
                 sig.extend(row.tobytes() for row in found)
+                path.extend(row.tobytes() for row in roots)
                 held.clear()
 
         for shingles in shingle_sets(text, SHINGLE):
@@ -90,24 +95,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done = 0
         flush()
         if n:
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(np.concatenate(low)), pa.array(np.concatenate(high)), pa.array(sig, pa.binary())], names=["id", "n", "lo", "hi", "sig"])
+            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(np.concatenate(low)), pa.array(np.concatenate(high)), pa.array(sig, pa.binary()), pa.array(path, pa.binary())], names=["id", "n", "lo", "hi", "sig", "path"])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        sig = _matrix(batch.column(1))
-        tree = np.arange(TREES * BRANCH, dtype=np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            node = mix(mix(tree)[None, :] ^ (sig[:, _ROOT].astype(np.uint64) + (tree << np.uint64(20))[None, :]))
-        yield pa.record_batch([pa.array(np.repeat(ids, len(_ROOT))), pa.array(node.reshape(-1).view(np.int64))], names=["id", "node"])
+        node = _matrix(batch.column(1), np.int64, len(_ROOT))
+        yield pa.record_batch([pa.array(np.repeat(ids, len(_ROOT))), pa.array(node.reshape(-1))], names=["id", "node"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type = np.uint16, width: int = WIDTH) -> np.ndarray:
     _, where, data = column.buffers()
-    at = np.frombuffer(where, np.int32)[column.offset]
-    raw = np.frombuffer(data, np.uint8)[at : at + 2 * WIDTH * len(column)] if data is not None else np.empty(0, np.uint8)
-    return raw.view(np.uint16).reshape(-1, WIDTH)
+    at = int(np.frombuffer(where, np.int32)[column.offset])
+    raw = bytes(data)[at : at + np.dtype(kind).itemsize * width * len(column)] if data is not None else b""
+    return np.frombuffer(raw, kind).reshape(-1, width)
 
 
 def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by node, at most ``SMALL`` of each -> pairs of different components that are alike."""
     kept: list[pa.RecordBatch] = []
-    for batch in [*()] or batches:
+    for batch in batches:
         table = pa.Table.from_batches([*kept, batch]).combine_chunks()
         nodes = table.column(0).to_numpy()
         last = int(np.searchsorted(nodes[::-1] != nodes[-1], True)) if nodes[0] != nodes[-1] else len(nodes)
@@ -207,11 +209,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: id, n_shingles, component_id, kept."""
     tables = Scratch(docs.sparkSession, "chosen-path")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = tables.table("sets", texts.mapInArrow(_signatures, "id long, n long, lo long, hi long, sig binary"))
+    sets = tables.table("sets", texts.mapInArrow(_signatures, "id long, n long, lo long, hi long, sig binary, path binary"))
     linked = sets.where("n > 0 AND id IS NOT NULL")
     classes = tables.table("classes", linked.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     # One row for each representative; a repeated id keeps one of its sets here.
-    reps = linked.join(classes.select("lo", "hi", F.col("rep").alias("id")).hint("shuffle_hash"), ["lo", "hi", "id"]).select("id", "sig")
+    reps = linked.join(classes.select("lo", "hi", F.col("rep").alias("id")).hint("shuffle_hash"), ["lo", "hi", "id"]).select("id", "sig", "path")
     reps = tables.table("reps", reps.dropDuplicates(["id"]))
     edges = _links(tables, texts, reps)
     # Rows with one id and different sets are one document.
@@ -229,7 +231,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges that connect all representatives that a chain of links connects."""
-    roots = tables.table("roots", reps.mapInArrow(_roots, "id long, node long"))
+    roots = tables.table("roots", reps.select("id", "path").mapInArrow(_roots, "id long, node long"))
     crowd = roots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
     crowd = tables.table("crowd", crowd)
     members = tables.table("members", roots.join(crowd.hint("shuffle_hash"), "node").select("node", "id", "leader"))
@@ -243,7 +245,7 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     comp = tables.table("star-comp", connected_components(tables, "star", edges))
     tables.drop("star-texts")
     state = members.select("node", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    state = state.join(reps, "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig")
+    state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig")
     found: list[DataFrame] = []
     for depth in range(DEPTH + 1):
         state = tables.table(f"level-{depth}", state)

@@ -14,13 +14,32 @@ import re
 import numpy as np
 
 #: Entries of the table of words at most; beyond it the table starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 800_000
 
-_ODD = re.compile(r"\s | \s|^ | $")
+#: White space besides the space and the line feed.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SHARED: dict[tuple[str, int], "Encoder"] = {}
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _JOIN = 4000
 
 
+def shared_encoder(path: str, words_kept: int = WORDS_KEPT) -> "Encoder":
+    """One encoder for each Python worker: later tasks find the words that earlier ones have met."""
+    if (path, words_kept) not in _SHARED:
+        _SHARED[path, words_kept] = Encoder(path, words_kept)
+    return _SHARED[path, words_kept]
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut at single spaces between characters that are not white space."""
+    odd = (
+        "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        or any(c in text for c in _OTHER_SPACE) or (not text.isascii() and any(c in text for c in _WIDE_SPACE))
+    )
+    return _CUT.split(text) if odd else text.split(" ")
+
+
 class Encoder:
     """``ids(texts)``: the little-endian unsigned 32-bit ids of each text, as bytes."""
 
@@ -49,7 +68,7 @@ class Encoder:
                 start = end
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in ((t or "") for t in texts)]
+        cut = [_parts(t or "") for t in texts]
         if len(self.words) > self.kept:
             self.words.clear()
         unseen: set[str] = set()

@@ -68,8 +68,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
         .select("__h", "__id", "__keep", "__norm", F.length(F.coalesce("__text", F.lit(""))).cast("long").alias("__n")),
     )
     reps = members.where(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy("__h").agg(F.min("__norm").alias("__rep"))
-    differing = members.join(reps, "__h").where("__norm <> __rep").select("__h").distinct()
-    collided = tables.table("collided", differing)
+    # No step that needs a hash's rows together follows the join, so AQE may split a large group.
+    collided = tables.table("collided", members.join(reps, "__h").where("__norm <> __rep").select("__h")).distinct()
     out = narrow.join(groups.hint("shuffle_hash"), "__h", "left")
     if not collided.isEmpty():
         # Hash collisions: these members are grouped by their bytes instead.

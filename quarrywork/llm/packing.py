@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .encoding import Encoder
+from .encoding import shared_encoder
 from .ranks import rank_within
 from .scratch import Scratch
 
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder or shared_encoder(tokenizer_path)
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
                 ids += end
@@ -79,6 +79,20 @@ def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
     return pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan by array rows (threaded LAPACK can hang in a process that started a JVM)."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, covering ``demand[i]`` items of size ``i + 1`` exactly.
 
@@ -110,8 +124,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple
         ratio = np.where(rows, x / np.where(rows, d, 1), np.inf)
         leave = int(ratio.argmin())
         basis[:, leave] = column
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+        if step % 400 == 399:
+            inverse = inverted(basis)
         else:
             row = inverse[leave] / d[leave]
             inverse -= np.outer(d, row)

@@ -2,8 +2,9 @@
 
 Documents are range-partitioned by id and sorted; each partition is one file (ascending ids across
 files, too).  A file's ids are one stream cut into sequences of ``seq_len``: record batches of
-``input_ids: fixed_size_list<uint32>[seq_len]`` and ``mask: fixed_size_list<uint8>[seq_len]`` (0 on
-the padding of a file's last sequence), ``ROWS`` sequences a batch.  Files are in Arrow's IPC file
+``input_ids: fixed_size_list<uint16>[seq_len]`` (uint32 where the vocabulary has over 65,536 ids) and
+``mask: fixed_size_list<bool>[seq_len]`` (false on the padding of a file's last sequence), ``ROWS``
+sequences a batch.  Files are in Arrow's IPC file
 format, so a reader maps the file and slices sequence k out of batch ``k // ROWS`` without a copy.
 Beside each is ``*.docs.arrow`` with ``doc_id, start, n_tokens`` within the file: an id that ends a
 document may also occur within a text, so boundaries are stored and not guessed.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .encoding import Encoder
+from .encoding import shared_encoder
 from .scratch import new_path
 
 SEQ_LEN, ROWS = 2048, 256
@@ -46,10 +47,11 @@ def open_dir(uri: str):
 class SequenceWriter:
     """Writes ids as sequences of one length; keeps at most one batch in memory."""
 
-    def __init__(self, sink, seq_len: int, rows: int):
+    def __init__(self, sink, seq_len: int, rows: int, narrow: bool):
         self.seq_len, self.rows = seq_len, rows
         lists = lambda kind: pa.list_(pa.field("item", kind, nullable=False), seq_len)
-        self.schema = pa.schema([pa.field("input_ids", lists(pa.uint32()), False), pa.field("mask", lists(pa.uint8()), False)])
+        self.kind = np.uint16 if narrow else np.uint32
+        self.schema = pa.schema([pa.field("input_ids", lists(pa.from_numpy_dtype(self.kind)), False), pa.field("mask", lists(pa.bool_()), False)])
         self.file = pa.ipc.new_file(sink, self.schema)
         self.waiting: list[bytes] = []
         self.bytes = self.tokens = self.sequences = 0
@@ -67,8 +69,8 @@ class SequenceWriter:
         for at in range(0, upto, unit * self.rows):
             ids = np.frombuffer(raw[at : min(upto, at + unit * self.rows)], dtype="<u4")
             n = -(-len(ids) // self.seq_len)
-            flat, mask = np.zeros(n * self.seq_len, np.uint32), np.zeros(n * self.seq_len, np.uint8)
-            flat[: len(ids)], mask[: len(ids)] = ids, 1
+            flat, mask = np.zeros(n * self.seq_len, self.kind), np.zeros(n * self.seq_len, bool)
+            flat[: len(ids)], mask[: len(ids)] = ids, True
             kinds = [f.type for f in self.schema]
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=k) for x, k in zip((flat, mask), kinds)]
             self.file.write_batch(pa.record_batch(columns, schema=self.schema))
@@ -101,10 +103,10 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = END_ID,
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = shared_encoder(tokenizer_path)
                 out = system.open_output_stream(f"{folder}/{name}.arrow")
                 side = system.open_output_stream(f"{folder}/{name}.docs.arrow")
-                writer, index = SequenceWriter(out, seq_len, ROWS), pa.ipc.new_file(side, _ROW)
+                writer, index = SequenceWriter(out, seq_len, ROWS, max(end_id, len(encoder.lengths) - 1) < 1 << 16), pa.ipc.new_file(side, _ROW)
             sizes = []
             for ids in encoder.ids(batch.column(1).to_pylist()):
                 writer.add(ids + end)
@@ -126,7 +128,7 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     system, name = open_dir(path)
     source = system.open_input_file(f"{name}.arrow")
     reader = pa.ipc.open_file(source)
-    at, have, batch = 0, np.empty(0, np.uint32), 0
+    at, have, batch = 0, np.empty(0, np.uint16), 0
     with system.open_input_file(f"{name}.docs.arrow") as side:
         index = pa.ipc.open_file(side)
         for k in range(index.num_record_batches):
@@ -136,7 +138,7 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                 while sum(map(len, parts)) < n:
                     got = reader.get_batch(batch)
                     ids = got.column(0).values.to_numpy()
-                    mask = got.column(1).values.to_numpy()
+                    mask = got.column(1).values.to_numpy(zero_copy_only=False)
                     parts.append(ids if mask[-1] else ids[: int(mask.sum())])
                     batch += 1
                 have, at = np.concatenate(parts) if len(parts) > 1 else parts[0], start

@@ -48,7 +48,7 @@ def test_token_files_are_fixed_size_lists(spark, tmp_path):
         batches = [reader.get_batch(k) for k in range(reader.num_record_batches)]
         assert sum(b.num_rows for b in batches) == row.n_sequences
         assert all(b.column(0).type.list_size == 64 for b in batches)
-        assert sum(int(np.asarray(b.column(1).values).sum()) for b in batches) == row.n_tokens
+        assert sum(int(b.column(1).values.true_count) for b in batches) == row.n_tokens
 
 
 def test_packing(spark):
@@ -100,7 +100,8 @@ def test_exact_dedup_stage(spark):
     rows = [*EDGE_TEXTS, (9, "word " * 30_000), (4, "another text")]
     left = exact_dedup.deduplicate(frame(spark, rows))
     assert left.columns == SCHEMA.replace(",", "").split()[::2]
-    assert sorted((r.doc_id or 0, len(r.text or "")) for r in left.collect()) == sorted([(0, 5), (3, 3), (4, 3), (4, 12), (5, 3), (8, 17), (9, 150_000), (11, 19), (12, 22), (13, 1)])
+    stay = [(i or 0, t or "") for i, t in EDGE_TEXTS if i not in (1, 2, 7, 10)] + [(4, "another text")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted(stay)
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0
 
 
@@ -171,4 +172,4 @@ def test_near_dedup_stage(spark):
     docs = frame(spark, EDGE_TEXTS)
     left = chosen_path.deduplicate(docs)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 9, 11, 12, 13]
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 9, 11, 12, 13]  # 5 = 4, 7 = 8 = 6, 10 = 9 but for case and spaces
