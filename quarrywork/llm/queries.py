@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import chosen_path, exact_dedup, mixing, packing, token_output, toxicity
+from . import chosen_path, exact_dedup, lattice, mixing, packing, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.annotate(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_token_files": op3_token_files,
+    "op4_lattice_dedup": op4_lattice_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pack": op7_pack,
     "op8_near_dedup": op8_near_dedup,

@@ -4,13 +4,14 @@ Tokens are labelled from document labels: a word type is toxic where the places
 (pairs of neighbours, so that copies count once) are far more common in toxic training documents
 than in clean ones; tokens of toxic documents that are of such a type carry label 1, all others 0.
 On these sequences a two-state linear-chain CRF is fitted in numpy by gradient ascent: each token
-has hashed features for itself and its two neighbours, the chain has a weight for each pair of
+has weights for itself and its two neighbours, the chain has a weight for each pair of
 states.  Forward-backward marginals give every word of a text a probability; the document's score
 comes from its most toxic word through a logistic curve fitted on the training documents, and the
 words above one half are the offending spans.
 
 The classifier is fitted on at most ``FIT_DOCS`` training documents a class (a documented bound, in
-the order of a hash of the id); the model is ``2 * BUCKETS`` numbers whatever the corpus.
+the order of a hash of the id); the model keeps weights only of the few types that speak for
+toxicity, found by their full 64-bit hashes.
 
 Scoring is one map over whole texts: words are hashed on Arrow's buffers, weights are looked up, and
 the chain is run over blocks of ``CHUNK`` words at once (transfer matrices of blocks, a short scan
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .wordhash import mix, slices, words
 
-BUCKETS = 1 << 18
+SLOTS = 1 << 20
 CHUNK = 64
 #: Training documents of each class that the chain is fitted on at most.
 FIT_DOCS = 2000
 THRESHOLD = 0.7
 #: A type is toxic from so many places in toxic training documents, such log-odds and such a
 #: log-likelihood ratio on.
-LEAST_SEEN, LEAST_ODDS, LEAST_RATIO = 3, 3.0, 12.0
+LEAST_SEEN, LEAST_ODDS, LEAST_RATIO = 3, 3.0, 20.0
 #: ASCII marks dropped at the edges of a word before it is hashed.
 EDGE_MARKS = b".,;:!?\"'()[]{}<>*#%&$|_-"
 _EDGE = np.zeros(256, bool)
@@ -49,22 +50,36 @@ _EDGE[list(EDGE_MARKS)] = True
 
 @dataclass
 class Model:
-    """Weights of hashed features, the chain's pair weights, and the curve from evidence to score."""
+    """Weights of word types (type 0: every word that is not kept), the chain's pair weights, the
+    curve from evidence to score.  ``slots`` finds a type by the upper bits of a word's hash, and
+    ``keys`` confirms all 64 of them."""
 
+    keys: np.ndarray
     own: np.ndarray
     near: np.ndarray
     chain: np.ndarray
     curve: tuple[float, float]
 
+    def __post_init__(self):
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.slots[_slot(self.keys[1:])] = np.arange(1, len(self.keys))
 
-def token_buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words of texts without their edge marks, first bytes, ends, words before."""
+    def types(self, hashes: np.ndarray) -> np.ndarray:
+        found = self.slots[_slot(hashes)]
+        return np.where(self.keys[found] == hashes, found, 0)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts without their edge marks, first bytes, ends, words before."""
     bare = raw
     if len(raw):
         bare = raw.copy()
         bare[_EDGE[raw]] = 32
-    hashes, first, last, before = words(bare, offsets)
-    return (hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), first, last, before
+    return words(bare, offsets)
 
 
 def marginals(energy: np.ndarray, chain: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -117,9 +132,10 @@ def _sweep(energy: np.ndarray, t: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(out.reshape(-1)[:n], 1e-300))
 
 
-def energies(model: Model, bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
-    energy = model.own[bucket]
-    near = model.near[bucket]
+def energies(own: np.ndarray, around: np.ndarray, bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Log-odds of state 1 for words of types ``bucket``: its own weight and its neighbours'."""
+    energy = own[bucket]
+    near = around[bucket]
     inside = np.ones(len(bucket), bool)
     inside[before[:-1][before[:-1] < len(bucket)]] = False
     energy[1:] += np.where(inside[1:], near[:-1], 0)
@@ -154,17 +170,19 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return sorted((r.text, r.toxic) for r in rows.select("text", "toxic").collect())
 
 
-def toxic_types(bucket: np.ndarray, before: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Which buckets are toxic: seen between many different pairs of neighbours in toxic documents
-    and far more rarely in clean ones.  Copies of a document repeat its neighbours and count once."""
+def toxic_types(bucket: np.ndarray, size: int, before: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which of ``size`` types are toxic: seen between many different pairs of neighbours in toxic documents
+    and far more rarely in clean ones.  Copies of a document repeat its neighbours and count once; so
+    does a word that one document repeats, as documents are counted, too, and the lesser count holds."""
     doc = np.repeat(np.arange(len(kinds)), np.diff(before))
     left, right = np.roll(bucket, 1), np.roll(bucket, -1)
     context = mix((left.astype(np.uint64) << np.uint64(40)) ^ (right.astype(np.uint64) << np.uint64(18)) ^ bucket.astype(np.uint64))
     count = []
     for kind in (0, 1):
         own = kinds[doc] == kind
-        _, one = np.unique(context[own], return_index=True)
-        count.append(np.bincount(bucket[own][one], minlength=BUCKETS))
+        _, place = np.unique(context[own], return_index=True)
+        _, held = np.unique(doc[own] * size + bucket[own], return_index=True)
+        count.append(np.minimum(*(np.bincount(bucket[own][one], minlength=size) for one in (place, held))))
     clean, toxic = count
     odds = np.log((toxic + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / (clean.sum() + 1))
     # Log-likelihood ratio against the share that toxic documents have of all places: rare words
@@ -184,43 +202,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def train(texts: list[str], kinds: np.ndarray, rounds: int = 40, rate: float = 1.0) -> Model:
     """Gradient ascent on the chains' conditional log-likelihood, then the document curve.
 
-    The gradient of a feature is its labelled minus its expected count; expected counts of the chain
+    The gradient of a weight is its labelled minus its expected count; expected counts of the chain
     weights use neighbouring marginals.
     """
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    bucket, _, _, before = token_buckets(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    if not kinds.any():
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros((2, 2)), (0.0, -4.0))
+    hashes, _, _, before = token_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    if not kinds.any() or not len(hashes):
+        return Model(np.zeros(1, np.uint64), np.full(1, -4.0), np.zeros(1), np.zeros((2, 2)), (0.0, -4.0))
+    vocabulary, bucket = np.unique(hashes, return_inverse=True)
+    size = len(vocabulary)
     doc = np.repeat(np.arange(len(texts)), np.diff(before))
-    types = toxic_types(bucket, before, kinds)
-    label = (types[bucket] & (kinds[doc] == 1)).astype(float)
-    model = Model(np.full(BUCKETS, -4.0), np.zeros(BUCKETS), np.zeros((2, 2)), (1.0, 0.0))
+    label = (toxic_types(bucket, size, before, kinds)[bucket] & (kinds[doc] == 1)).astype(float)
+    own, near, chain = np.full(size, -4.0), np.zeros(size), np.zeros((2, 2))
     inside = np.ones(len(bucket), bool)
     inside[before[:-1][before[:-1] < len(bucket)]] = False
-    count = np.maximum(np.bincount(bucket, minlength=BUCKETS), 1)
-    for _ in range(rounds if len(bucket) else 0):
-        p = marginals(energies(model, bucket, before), model.chain, before)
+    count = np.bincount(bucket, minlength=size)
+    pairs = inside[1:]
+    n = max(1, int(pairs.sum()))
+    for _ in range(rounds):
+        p = marginals(energies(own, near, bucket, before), chain, before)
         miss = label - p
-        model.own += rate * 4 * np.bincount(bucket, miss, BUCKETS) / np.sqrt(count)
-        step = np.zeros(BUCKETS)
-        step += np.bincount(bucket[:-1], np.where(inside[1:], miss[1:], 0), BUCKETS)
-        step += np.bincount(bucket[1:], np.where(inside[1:], miss[:-1], 0), BUCKETS)
-        model.near += 0.1 * rate * step / count
-        np.clip(model.own, -8, 8, out=model.own), np.clip(model.near, -1, 1, out=model.near)
-        pairs = inside[1:]
-        n = max(1, int(pairs.sum()))
+        own += rate * 4 * np.bincount(bucket, miss, size) / np.sqrt(count)
+        step = np.bincount(bucket[:-1], np.where(pairs, miss[1:], 0), size) + np.bincount(bucket[1:], np.where(pairs, miss[:-1], 0), size)
+        near += 0.1 * rate * step / count
+        np.clip(own, -8, 8, out=own), np.clip(near, -1, 1, out=near)
         for i in (0, 1):
             for j in (0, 1):
                 of = lambda x, k: x if k else 1 - x
                 want, have = of(label[:-1], i) * of(label[1:], j), of(p[:-1], i) * of(p[1:], j)
-                model.chain[i, j] += rate * float(((want - have) * pairs).sum()) / n
-        np.clip(model.chain, -2, 2, out=model.chain)
-    x = evidence(marginals(energies(model, bucket, before), model.chain, before), before)
+                chain[i, j] += rate * float(((want - have) * pairs).sum()) / n
+        np.clip(chain, -2, 2, out=chain)
+    # Types that say little share type 0, which also stands for words not met in training.
+    keep = np.flatnonzero(own > -3)
+    rest = np.ones(size, bool)
+    rest[keep] = False
+    common = float(np.average(own[rest], weights=count[rest])) if rest.any() else -6.0
+    model = Model(
+        np.concatenate([np.zeros(1, np.uint64), vocabulary[keep]]), np.concatenate([[common], own[keep]]), np.concatenate([[0.0], near[keep]]), chain, (1.0, 0.0)
+    )
+    x = evidence(_marginals(model, hashes, before), before)
     model.curve = _logistic(x, kinds.astype(float))
     return model
 
 
+def _marginals(model: Model, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return marginals(energies(model.own, model.near, model.types(hashes), before), model.chain, before)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (at least 0) and intercept of P(toxic | evidence), by Newton's method with a prior."""
     a, b = 0.5, 0.0
@@ -237,16 +266,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _scored(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: document scores, word marginals, first bytes, ends, words before."""
+    a, b = model.curve
     for _, _, raw, offsets in slices(column):
-        bucket, first, last, before = token_buckets(raw, offsets)
-        p = marginals(energies(model, bucket, before), model.chain, before)
-        a, b = model.curve
-        yield 1 / (1 + np.exp(-(a * evidence(p, before) + b))), p, first - offsets[np.searchsorted(offsets, first, side="right") - 1], last - offsets[np.searchsorted(offsets, first, side="right") - 1], before
+        hashes, first, last, before = token_hashes(raw, offsets)
+        p = _marginals(model, hashes, before)
+        base = np.repeat(offsets[:-1], np.diff(before))
+        yield 1 / (1 + np.exp(-(a * evidence(p, before) + b))), p, first - base, last - base, before
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and a score in [0, 1] for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
