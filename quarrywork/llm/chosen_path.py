@@ -10,12 +10,13 @@ again.  ``TREES`` independent trees are grown at once.
 Recall.  A pair of similarity s survives a node with probability p = 1 - (1 - s p)^2; for s = 0.75
 the fixed point is 8/9, at any depth, so six trees miss such a pair with probability below 2e-6, and
 pairs further above the threshold less.  Pairs are tested on 64 tokens first (those with fewer than
-half alike cannot have 0.75 but for one in about 10^5) and confirmed on full sets.
+34 alike have 0.75 with a chance below 3 in 10^5) and confirmed on full sets.
 
 Large groups.  Only connectivity is asked for, so first every document is compared with one leader:
 of its root children's least ids the one most like it.  That is one pair a document, and it joins
 groups of any size.  Nodes whose documents all have one component are then finished; the trees look
-only for pairs between components.  Nodes still large at ``DEPTH`` are compared in blocks of
+only for pairs between components.  A node of one large component and up to ``REST`` other documents
+is finished by comparing these with all of it, dealt over tasks.  Nodes still large at ``DEPTH`` are compared in blocks of
 ``BLOCK`` documents, whole, and each block pair is a task of its own.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with
@@ -39,7 +40,11 @@ from .wordhash import mix, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 75
 WIDTH, TREES, BRANCH, SMALL, DEPTH, BLOCK = 64, 6, 2, 48, 12, 256
-ALIKE = WIDTH // 2
+#: Documents outside a node's largest component up to which they are compared with the whole node,
+#: and the documents of a node that one task then holds.
+REST, CHUNK = 256, 2048
+#: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
+ALIKE = 34
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -164,6 +169,37 @@ def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.maximum(ids[k], ids[k + step])), pa.array(np.minimum(ids[k], ids[k + step]))], names=["a", "b"])
 
 
+def _lopsided(rows: DataFrame) -> DataFrame:
+    """Documents outside their node's main component against all of the node, by chunks of it."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("long")
+    whole = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("kind", F.lit(1))
+    others = rows.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("kind", F.lit(0))
+    both = whole.unionByName(others).select("node", "chunk", "kind", "id", "comp", "sig")
+    return both.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind", "id").mapInArrow(_against, "a long, b long")
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by node, chunk and kind: the others (kind 0, at most ``REST``) come first and are
+    kept, then each batch of the node's documents is compared with them."""
+    key, ids, comps, sigs = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDTH), np.uint16)
+    for batch in batches:
+        node, chunk, kind, own, comp = (batch.column(k).to_numpy() for k in range(5))
+        sig = _matrix(batch.column(5))
+        cuts = np.flatnonzero((node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
+            if kind[lo] == 0:
+                if key != (node[lo], chunk[lo]):
+                    key, ids, comps, sigs = (node[lo], chunk[lo]), ids[:0], comps[:0], sigs[:0]
+                ids, comps, sigs = np.concatenate([ids, own[lo:hi]]), np.concatenate([comps, comp[lo:hi]]), np.concatenate([sigs, sig[lo:hi]])
+                continue
+            left, right = [], []
+            for k in range(len(ids)):
+                hit = lo + np.flatnonzero((comp[lo:hi] != comps[k]) & ((sig[lo:hi] == sigs[k]).sum(axis=1) >= ALIKE))
+                left.append(np.maximum(own[hit], ids[k])), right.append(np.minimum(own[hit], ids[k]))
+            if left:
+                yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
 def _blocks(tables: Scratch, rows: DataFrame) -> DataFrame:
     """All pairs between components within large nodes: each task has two blocks of one node."""
     ranked = rank_within(tables, "blocks", tables.table("large", rows), "node", ["id"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
@@ -247,15 +283,18 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     state = members.select("node", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig")
     found: list[DataFrame] = []
+    columns = ["node", "id", "comp", "sig"]
     for depth in range(DEPTH + 1):
         state = tables.table(f"level-{depth}", state)
-        stats = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1 AND c0 <> c1")
-        alive = tables.table(f"alive-{depth}", state.join(stats.select("node", "n").hint("shuffle_hash"), "node"))
+        parts = state.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
+        stats = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        stats = stats.select("node", "n", (F.col("n") - F.col("top.c")).alias("rest"), F.col("top.comp").alias("main"))
+        alive = tables.table(f"alive-{depth}", state.join(stats.hint("shuffle_hash"), "node"))
         tables.drop(f"level-{depth}")
-        columns = ["node", "id", "comp", "sig"]
         small = alive.where(F.col("n") <= SMALL).select(*columns)
         found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_exhaust, "a long, b long"))
-        large = alive.where(F.col("n") > SMALL).select(*columns)
+        found.append(_lopsided(alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST))))
+        large = alive.where((F.col("n") > SMALL) & (F.col("rest") > REST)).select(*columns)
         if large.isEmpty():
             break
         if depth == DEPTH:

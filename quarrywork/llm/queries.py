@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import chosen_path, exact_dedup, lattice, mixing, packing, token_output, toxicity
+from . import chosen_path, exact_dedup, lattice, license_scan, lm_score, mixing, packing, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -29,6 +33,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -45,21 +53,57 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(pages))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_lm_score": op2_lm_score,
     "op3_token_files": op3_token_files,
     "op4_lattice_dedup": op4_lattice_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_pack": op7_pack,
     "op8_near_dedup": op8_near_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
+def _license_sql() -> str:
+    """The same canonical form in DuckDB's SQL, with the catalogue as a VALUES list."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        x = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        x = f"regexp_replace({x}, {quote(license_scan.COPYRIGHT_LINE)}, '\\1', 'g')"
+        for old, new in license_scan.SPELLINGS:
+            x = f"replace({x}, {quote(old)}, {quote(new)})"
+        return f"trim(regexp_replace({x}, '[^0-9a-z]+', ' ', 'g'))"
+
+    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in license_scan.KNOWN)
+    return f"""
+WITH given(license, text) AS (VALUES {values}),
+known AS (SELECT sha256({canonical("text")}) AS digest, min(license) AS license FROM given GROUP BY 1),
+d AS (SELECT row_number() OVER () AS nr, doc_id, text, sha256({canonical("text")}) AS digest FROM documents),
+lines AS (
+  SELECT nr, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
+found AS (
+  SELECT nr, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices
+  FROM lines JOIN known k ON sha256({canonical("line")}) = k.digest
+  WHERE regexp_matches(line, '(?i)licen[sc]|spdx|permission|copyright') GROUP BY nr)
+SELECT doc_id, d.digest, k.license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known k ON d.digest = k.digest LEFT JOIN found ON found.nr = d.nr
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op1_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -163,6 +163,7 @@ def test_near_dedup_dense_groups(spark, monkeypatch):
         n += 1
     monkeypatch.setattr(chosen_path, "SMALL", 6)
     check_near(spark, rows)
+    monkeypatch.setattr(chosen_path, "REST", 5)
     monkeypatch.setattr(chosen_path, "DEPTH", 1)
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
     check_near(spark, rows)
