@@ -1,9 +1,9 @@
 """Token ids by the ``tokenizers`` library, with each distinct word encoded once per task.
 
 A byte-level tokenizer never joins across a single space between two characters that are not white
-space: the space opens the next piece.  So a text may be cut there, and its ids are the ids of the
-parts.  Parts are kept in a bounded table; unseen ones are encoded together in one call and cut
-apart again by the tokens' lengths in bytes.  ``tests/llm`` holds this against encoding whole texts.
+space: the space opens the next piece; and a single line feed there is a piece of its own.  So a text
+may be cut before both, and its ids are the ids of the parts.  Parts are kept in a bounded table;
+unseen ones are encoded together in one call and cut apart again by the tokens' lengths in bytes.  ``tests/llm`` holds this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -32,12 +32,15 @@ def shared_encoder(path: str, words_kept: int = WORDS_KEPT) -> "Encoder":
 
 
 def _parts(text: str) -> list[str]:
-    """The text cut at single spaces between characters that are not white space."""
+    """The text cut at single spaces and before single line feeds between other characters.
+
+    A part that begins with a line feed stands as it is, others after the first follow a space.
+    """
     odd = (
-        "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
         or any(c in text for c in _OTHER_SPACE) or (not text.isascii() and any(c in text for c in _WIDE_SPACE))
     )
-    return _CUT.split(text) if odd else text.split(" ")
+    return _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
 
 
 class Encoder:
@@ -50,6 +53,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.kept = words_kept
         self.words: dict[str, bytes] = {}
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.lengths = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], dtype=np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -59,16 +63,18 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), _JOIN):
             part = words[at : at + _JOIN]
-            ids = np.frombuffer(self._whole([" " + " ".join(part)])[0], dtype="<u4")
+            full = [w if w[0] == "\n" else " " + w for w in part]
+            ids = np.frombuffer(self._whole(["".join(full)])[0], dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
-            upto = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            upto = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in full])) + 1
             raw, start = ids.tobytes(), 0
             for word, end in zip(part, upto.tolist()):
                 self.words[word] = raw[4 * start : 4 * end]
                 start = end
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_parts(t or "") for t in texts]
+        # Texts that spell an added token are encoded whole.
+        cut = [[t] if any(a in t for a in self.added) else _parts(t) for t in (t or "" for t in texts)]
         if len(self.words) > self.kept:
             self.words.clear()
         unseen: set[str] = set()
