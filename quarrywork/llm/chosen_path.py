@@ -42,7 +42,7 @@ SHINGLE, THRESHOLD = 5, 75
 WIDTH, TREES, BRANCH, SMALL, DEPTH, BLOCK = 64, 6, 2, 48, 12, 256
 #: Documents outside a node's largest component up to which they are compared with the whole node,
 #: and the documents of a node that one task then holds.
-REST, CHUNK = 256, 2048
+REST, CHUNK = 1024, 2048
 #: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
 ALIKE = 34
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it the join shuffles.
@@ -169,35 +169,73 @@ def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.maximum(ids[k], ids[k + step])), pa.array(np.minimum(ids[k], ids[k + step]))], names=["a", "b"])
 
 
-def _lopsided(rows: DataFrame) -> DataFrame:
-    """Documents outside their node's main component against all of the node, by chunks of it."""
+def _lopsided(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Links of documents outside their node's main component with all of the node, by chunks of it.
+
+    Sets travel with the rows and decide on the spot: what comes out is one confirmed link for each
+    document and component, not the candidates.
+    """
+    rows = tables.table(f"{label}-rows", rows)
+    if rows.isEmpty():
+        return None
+    need = tables.table(f"{label}-need", rows.select("id").distinct())
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need.hint("shuffle_hash")
+    sets = tables.table(f"{label}-sets", texts.join(need, "id").mapInArrow(_full_sets, "id long, set binary"))
+    rows = rows.join(sets, "id")
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
     whole = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("kind", F.lit(1))
     others = rows.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("kind", F.lit(0))
-    both = whole.unionByName(others).select("node", "chunk", "kind", "id", "comp", "sig")
-    return both.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind", "id").mapInArrow(_against, "a long, b long")
+    both = whole.unionByName(others).select("node", "chunk", "kind", "id", "comp", "sig", "set")
+    found = both.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind", "id").mapInArrow(_against, "a long, b long")
+    found = tables.table(f"{label}-links", found)
+    tables.drop(f"{label}-sets", f"{label}-rows")
+    return found
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), SHINGLE)]
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by node, chunk and kind: the others (kind 0, at most ``REST``) come first and are
-    kept, then each batch of the node's documents is compared with them."""
-    key, ids, comps, sigs = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDTH), np.uint16)
+    kept, then the node's documents stream by and are compared with them on their full sets."""
+    key, ids, comps, sigs, kept = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDTH), np.uint16), []
     for batch in batches:
         node, chunk, kind, own, comp = (batch.column(k).to_numpy() for k in range(5))
         sig = _matrix(batch.column(5))
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
+            if lo == hi:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(6).slice(lo, hi - lo).to_pylist()]
             if kind[lo] == 0:
                 if key != (node[lo], chunk[lo]):
-                    key, ids, comps, sigs = (node[lo], chunk[lo]), ids[:0], comps[:0], sigs[:0]
+                    key, ids, comps, sigs, kept = (node[lo], chunk[lo]), ids[:0], comps[:0], sigs[:0], []
                 ids, comps, sigs = np.concatenate([ids, own[lo:hi]]), np.concatenate([comps, comp[lo:hi]]), np.concatenate([sigs, sig[lo:hi]])
+                kept = kept + sets
                 continue
             left, right = [], []
             for k in range(len(ids)):
-                hit = lo + np.flatnonzero((comp[lo:hi] != comps[k]) & ((sig[lo:hi] == sigs[k]).sum(axis=1) >= ALIKE))
-                left.append(np.maximum(own[hit], ids[k])), right.append(np.minimum(own[hit], ids[k]))
+                near = np.flatnonzero((comp[lo:hi] != comps[k]) & ((sig[lo:hi] == sigs[k]).sum(axis=1) >= ALIKE))
+                # One confirmed link to each component is enough.
+                done: set[int] = set()
+                for part in range(0, len(near), 64):
+                    some = np.array([j for j in near[part : part + 64] if comp[lo + j] not in done], np.int64)
+                    if not len(some):
+                        continue
+                    size = np.array([len(sets[j]) for j in some])
+                    flat = np.concatenate([sets[j] for j in some])
+                    at = np.minimum(np.searchsorted(kept[k], flat), len(kept[k]) - 1)
+                    both = np.add.reduceat((kept[k][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+                    for j in some[100 * both >= THRESHOLD * (size + len(kept[k]) - both)]:
+                        if comp[lo + j] not in done:
+                            done.add(int(comp[lo + j]))
+                            left.append(max(own[lo + j], ids[k])), right.append(min(own[lo + j], ids[k]))
             if left:
-                yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _blocks(tables: Scratch, rows: DataFrame) -> DataFrame:
@@ -293,7 +331,8 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
         tables.drop(f"level-{depth}")
         small = alive.where(F.col("n") <= SMALL).select(*columns)
         found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_exhaust, "a long, b long"))
-        found.append(_lopsided(alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST))))
+        sure = _lopsided(tables, f"lopsided-{depth}", texts, alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST)))
+        edges = edges if sure is None else edges.unionByName(sure)
         large = alive.where((F.col("n") > SMALL) & (F.col("rest") > REST)).select(*columns)
         if large.isEmpty():
             break
