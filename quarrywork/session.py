@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -31,3 +31,19 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` with its lineage cut by a checkpoint in the cluster's shared folder.
+
+    ``spark.checkpoint.dir`` names the folder; only where it is unset, as in tests, a private one is
+    made.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            named = tempfile.mkdtemp(prefix="quarrywork-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return rows.checkpoint()
