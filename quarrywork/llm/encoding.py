@@ -16,6 +16,9 @@ import numpy as np
 #: Entries of the table of words at most; beyond it the table starts anew.
 WORDS_KEPT = 800_000
 
+#: Characters of text that are cut into words at once: bounds the lists of words in memory.
+SLICE = 1 << 22
+
 #: White space besides the space and the line feed.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -73,6 +76,16 @@ class Encoder:
                 start = end
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        start = held = 0
+        for k, text in enumerate(texts):
+            held += len(text or "")
+            if held >= SLICE or k + 1 == len(texts):
+                out += self._some(texts[start : k + 1])
+                start, held = k + 1, 0
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
         # Texts that spell an added token are encoded whole.
         cut = [[t] if any(a in t for a in self.added) else _parts(t) for t in (t or "" for t in texts)]
         if len(self.words) > self.kept:
