@@ -110,4 +110,4 @@ def tables(html: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def metadata(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: list(_parse(page).meta.items()))
+    return html.map(lambda page: _parse(page).meta)
