@@ -41,7 +41,7 @@ FIT_DOCS = 2000
 THRESHOLD = 0.7
 #: A type is toxic from so many places in toxic training documents, such log-odds and such a
 #: log-likelihood ratio on.
-LEAST_SEEN, LEAST_ODDS, LEAST_RATIO = 3, 3.0, 20.0
+LEAST_SEEN, LEAST_ODDS, LEAST_RATIO = 3, 3.0, 12.0
 #: ASCII marks dropped at the edges of a word before it is hashed.
 EDGE_MARKS = b".,;:!?\"'()[]{}<>*#%&$|_-"
 _EDGE = np.zeros(256, bool)
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([t for t, _ in rows], np.array([k for _, k in rows], np.int64))
 
 
-def train(texts: list[str], kinds: np.ndarray, rounds: int = 40, rate: float = 1.0) -> Model:
+def train(texts: list[str], kinds: np.ndarray, rounds: int = 20, rate: float = 1.0) -> Model:
     """Gradient ascent on the chains' conditional log-likelihood, then the document curve.
 
     The gradient of a weight is its labelled minus its expected count; expected counts of the chain
