@@ -26,14 +26,28 @@ def index(rows: DataFrame, id_col: str, vector_col: str, *columns: str) -> DataF
     return rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("unit"), *columns)
 
 
+#: Query vectors that are broadcast at once (5 MB at 64 dimensions).
+QUERY_BLOCK = 10_000
+
+
+def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row with each query.  Queries are broadcast up to ``QUERY_BLOCK``; more are dealt in blocks
+    and rows are sent to every block."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return rows.join(F.broadcast(queries))
+    blocks = -(-n // QUERY_BLOCK)
+    dealt = queries.withColumn("__b", F.pmod(F.xxhash64(queries.columns[0]), F.lit(blocks)))
+    return rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__b").drop("__b")
+
+
 def top_k(queries: DataFrame, flat: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of a flat index for each query row (query_id, unit).
 
-    Queries are the bounded side and are broadcast by their size; every index row is scored once
-    where it lies.  Each task keeps its own k best before the window sees them.
+    Queries are the stated, smaller side: every index row meets them where it lies, or, beyond
+    ``QUERY_BLOCK`` of them, block by block.  The k best of each 64th are kept before the last window.
     """
-    q = queries.select("query_id", F.col("unit").alias("__q"))
-    scored = flat.join(F.broadcast(q) if q.count() <= 10_000 else q).withColumn("inner_product", dot(F.col("__q"), F.col("unit"))).drop("__q", "unit")
+    scored = against_all(queries.select("query_id", F.col("unit").alias("__q")), flat).withColumn("inner_product", dot(F.col("__q"), F.col("unit"))).drop("__q", "unit")
     w = W.partitionBy("query_id").orderBy(F.desc("inner_product"), "id")
     part = W.partitionBy("query_id", "__p").orderBy(F.desc("inner_product"), "id")
     local = scored.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k).drop("__p", "__r")
@@ -52,7 +66,6 @@ def ivf(flat: DataFrame, lists: int, seed: int = 11) -> tuple[DataFrame, list]:
 
 def top_k_ivf(queries: DataFrame, listed: DataFrame, centres: list, k: int, probes: int = 1) -> DataFrame:
     """Top k within the ``probes`` lists nearest to each query: an equi-join on the list."""
-    spark = queries.sparkSession
     lists = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(x) for x in c]).alias("c")) for i, c in enumerate(centres)])
     best = F.slice(F.array_sort(F.transform(lists, lambda s: F.struct((-dot(F.col("unit"), s["c"])).alias("d"), s["list"].alias("list")))), 1, probes)
     q = queries.withColumn("__l", F.explode(best)).select("query_id", F.col("unit").alias("__q"), F.col("__l.list").alias("list"))
@@ -64,8 +77,7 @@ def top_k_ivf(queries: DataFrame, listed: DataFrame, centres: list, k: int, prob
 def matching_sources(sentences: DataFrame, sources: DataFrame, threshold: float = 0.75, most: int = 3) -> DataFrame:
     """Sentence (sent_id, unit) against source sentences (source_id, unit): the best cosine of each
     source, at least ``threshold``, three sources a sentence.  The maximum is combined map-side."""
-    small = sentences.select("sent_id", F.col("unit").alias("__s"))
-    pairs = sources.join(F.broadcast(small) if small.count() <= 10_000 else small).select("sent_id", "source_id", dot(F.col("__s"), F.col("unit")).alias("sim"))
+    pairs = against_all(sentences.select("sent_id", F.col("unit").alias("__s")), sources).select("sent_id", "source_id", dot(F.col("__s"), F.col("unit")).alias("sim"))
     best = pairs.where(F.col("sim") >= threshold).groupBy("sent_id", "source_id").agg(F.max("sim").alias("similarity"))
     w = W.partitionBy("sent_id").orderBy(F.desc("similarity"), "source_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
