@@ -1,7 +1,8 @@
 """Packing by cutting-stock column generation.
 
-Documents of more tokens than a sequence are cut into full pieces and a remainder, so every piece
-has 1 to ``capacity`` tokens.  A histogram of pieces by size class (at most ``capacity / unit`` rows
+Documents of more tokens than a sequence are cut into full pieces and a remainder; the remainder is
+cut once more where it passes a multiple of ``GRAIN``.  Pieces of whole grains fill sequences with
+each other, and the pieces below one grain are small enough to leave little over.  A histogram of pieces by size class (at most ``capacity / unit`` rows
 whatever the corpus) goes to the driver, where a linear program over patterns is solved by column
 generation: a revised simplex keeps a basis of patterns, its duals price sizes, and a knapsack
 dynamic program over the capacity finds the pattern that is worth most.  Pattern counts are rounded
@@ -27,12 +28,23 @@ from .ranks import rank_within
 from .scratch import Scratch
 
 CAPACITY, UNIT, END_ID = 2048, 4, 1
+#: Remainders are cut at their last multiple of so many tokens.
+GRAIN = 256
 ROUNDS = 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a document of ``n`` tokens."""
+    edges = [*range(0, n, capacity), n]
+    rest = n - edges[-2]
+    if grain < rest < capacity and rest % grain:
+        edges.insert(-1, n - rest % grain)
+    return list(zip(edges, edges[1:]))
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, grain: int = GRAIN) -> DataFrame:
     """Pieces of each document: start, length, digest of its ids (and the ids)."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
@@ -44,8 +56,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
+                for at, upto in cuts(n, capacity, grain):
+                    part = ids[4 * at : 4 * upto]
                     row = (doc, at, len(part) // 4, zlib.crc32(part), n)
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32).tolist()) if with_ids else row)
             columns = list(zip(*rows)) or [[]] * len(names)

@@ -55,8 +55,12 @@ def test_packing(spark):
     rows = [*EDGE_TEXTS, (6, "a b c d e f g h")]
     got = packing.pack(packing.pieces(frame(spark, rows), tokenizer_path())).collect()
     model_ids = expected_tokens(rows, 1)
-    want = sorted(zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()) for _, ids in model_ids for a in range(0, len(ids), 2048))
-    assert sorted(r.ids_crc32 for r in got) == want
+    ids_of = {i: ids for i, ids in model_ids}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids_of[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids_of[r.doc_id])
+    for i, ids in ids_of.items():
+        spans = sorted((r.start, r.length) for r in got if r.doc_id == i)
+        assert sorted({s for s, _ in spans} | {s + n for s, n in spans}) == sorted({0, len(ids)} | {s for s, _ in spans})
     assert sum(r.length for r in got) == sum(len(ids) for _, ids in model_ids)
     by = {}
     for r in got:
@@ -80,6 +84,11 @@ def test_packing_pads_little():
     assert used * 512 <= 1.01 * (demand * np.arange(1, 513)).sum() + 512
 
 
+def test_packing_documents_pads_little(spark, sf):
+    got = packing.pack(packing.pieces(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path())).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) * 2048 <= 1.01 * sum(r.n for r in got) + 2048 and max(r.n for r in got) <= 2048
+
+
 def test_packing_empty(spark):
     assert packing.pack(packing.pieces(frame(spark, []), tokenizer_path())).count() == 0
 
