@@ -28,6 +28,7 @@ further columns are kept by ``deduplicate``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -320,6 +321,8 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     tables.drop("star-texts")
     state = members.select("node", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig")
+    small: list[DataFrame] = []
+    lopsided: list[DataFrame] = []
     found: list[DataFrame] = []
     columns = ["node", "id", "comp", "sig"]
     for depth in range(DEPTH + 1):
@@ -329,19 +332,19 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
         stats = stats.select("node", "n", (F.col("n") - F.col("top.c")).alias("rest"), F.col("top.comp").alias("main"))
         alive = tables.table(f"alive-{depth}", state.join(stats.hint("shuffle_hash"), "node"))
         tables.drop(f"level-{depth}")
-        small = alive.where(F.col("n") <= SMALL).select(*columns)
-        found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_exhaust, "a long, b long"))
-        sure = _lopsided(tables, f"lopsided-{depth}", texts, alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST)))
-        edges = edges if sure is None else edges.unionByName(sure)
+        small.append(alive.where(F.col("n") <= SMALL).select(*columns))
+        lopsided.append(alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST)))
         large = alive.where((F.col("n") > SMALL) & (F.col("rest") > REST)).select(*columns)
         if large.isEmpty():
             break
         if depth == DEPTH:
             found.append(_blocks(tables, large))
         state = large.mapInArrow(_branch, "node long, id long, comp long, sig binary")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    # Nodes have names of their own at every depth, so all depths are finished together.
+    sure = _lopsided(tables, "lopsided", texts, reduce(DataFrame.unionByName, lopsided))
+    edges = edges if sure is None else edges.unionByName(sure)
+    together = reduce(DataFrame.unionByName, small).repartition("node").sortWithinPartitions("node")
+    pairs = reduce(DataFrame.unionByName, [together.mapInArrow(_exhaust, "a long, b long"), *found])
     pairs = tables.table("pairs", pairs.distinct())
     if pairs.isEmpty():
         return edges

@@ -24,6 +24,20 @@ def check(spark, rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_components_both_ways(spark, monkeypatch):
+    from quarrywork.llm import components as parts
+    from quarrywork.llm.scratch import Scratch
+
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)]
+    want = components(edges, {x for e in edges for x in e})
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (parts.FEW, 0):
+        monkeypatch.setattr(parts, "FEW", few)
+        got = {r.node: r.component for r in parts.connected_components(Scratch(spark, "test"), "all", df).collect()}
+        assert got == {n: c for n, c in want.items() if n in got} and all(n == c for n, c in want.items() if n not in got)
+
+
 def noisy(rng, base, spread):
     v = base + spread * rng.normal(size=len(base))
     return np.float32(v / np.linalg.norm(v)).tolist()
