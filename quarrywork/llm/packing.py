@@ -30,6 +30,9 @@ from .scratch import Scratch
 CAPACITY, UNIT, END_ID = 2048, 4, 1
 #: Remainders are cut at their last multiple of so many tokens.
 GRAIN = 256
+#: Words that a worker's encoder keeps here; less than the encoder's default, as pipelines leave other
+#: models in the same worker.
+WORDS_KEPT = 500_000
 ROUNDS = 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -51,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            encoder = encoder or shared_encoder(tokenizer_path)
+            encoder = encoder or shared_encoder(tokenizer_path, WORDS_KEPT)
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
                 ids += end
