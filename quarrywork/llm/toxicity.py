@@ -37,7 +37,7 @@ from .wordhash import mix, slices, words
 SLOTS = 1 << 20
 CHUNK = 64
 #: Training documents of each class that the chain is fitted on at most.
-FIT_DOCS = 2000
+FIT_DOCS = 1200
 THRESHOLD = 0.7
 #: A type is toxic from so many places in toxic training documents, such log-odds and such a
 #: log-likelihood ratio on.
