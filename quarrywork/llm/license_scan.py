@@ -6,7 +6,9 @@ of the whole canonical text is hash-joined to the digests of the known licences.
 made for each line that speaks of a licence, so that notices inside other texts are found; a line is
 a text of its own here.
 
-The catalogue of digests is a constant of this module (a few dozen rows), so it is broadcast.
+The catalogue of digests is a constant of the package (some 20,000 notices and whole texts, see
+``license_catalogue``), so it is broadcast.  A notice in other words, and a text that is neither in
+the catalogue nor a listed variant of one in it, matches nothing.
 
 Defined cases: null and empty texts and texts without letters or digits have the digest of the empty
 text and match nothing; a null id is kept; rows that repeat are scanned each; several notices in one
@@ -16,14 +18,18 @@ are ignored by ``scan`` and kept by ``unlicensed``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .license_catalogue import notices, whole_texts
+
 #: Equivalent spellings, applied in this order to text in lower case.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("http:", "https:"), ("(c)", "copyright"), ("©", "copyright"), ("sub-license", "sublicense"),
              ("non-infringement", "noninfringement"), ("per cent", "percent"), ("copyright holder", "copyright owner"), ("&", "and"))
 
 #: Texts and notices of licences, in canonical spelling or not.
-KNOWN = (
+_BASE = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -40,6 +46,7 @@ KNOWN = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
+KNOWN = (*_BASE, *whole_texts([(n, t) for n, t in _BASE if n in ("MIT", "ISC") and len(t) > 200]), *notices())
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that opens with a copyright mark and names a year or "all rights reserved".
@@ -60,7 +67,7 @@ def digest(text: Column) -> Column:
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """license, digest: one row for each known digest, computed by the same expressions."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN])
+    rows = F.from_json(F.lit(json.dumps([{"license": name, "text": text} for name, text in KNOWN])), "array<struct<license:string,text:string>>")
     known = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", digest(F.col("k.text")).alias("digest"))
     return known.groupBy("digest").agg(F.min("license").alias("license"))
 
@@ -74,9 +81,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("__id"), digest(text).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("__lines"))
     known = catalogue(spark)
     out = rows.join(F.broadcast(known), "digest", "left")
-    # The catalogue is a constant of a few dozen rows: a literal map in the lines' expression.
-    found = F.create_map(*[F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])])
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("__lines", lambda d: F.try_element_at(found, d)), lambda n: n.isNotNull())))
+    # The catalogue is a constant: literal maps in the lines' expression, one for each start of a digest.
+    parts: list[dict[str, str]] = [{} for _ in range(4096)]
+    for r in known.collect():
+        parts[int(r["digest"][:3], 16)][r["digest"]] = r["license"]
+    found = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    part = lambda d: F.get(found, F.conv(F.substring(d, 1, 3), 16, 10).cast("int"))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("__lines", lambda d: F.try_element_at(part(d), d)), lambda n: n.isNotNull())))
     return out.select(F.col("__id").alias(id_col), "digest", "license", F.array_join(names, ",").alias("notices"))
 
 

@@ -126,6 +126,24 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.where("false")).count() == 0
 
 
+def test_license_catalogue_is_whole(spark):
+    """Every notice line of the tables, and whole texts with and without their titles."""
+    from quarrywork.llm.license_texts import TEXTS
+
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").where("text rlike '(?i)licen[sc]e[ds]? under|spdx-'")
+        assert docs.count() > 0 and license_scan.scan(docs).where("notices = ''").count() == 0
+    mit, isc = (next(t for n, t in license_scan.KNOWN if n == name) for name in ("MIT", "ISC"))
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), ("ISC", "ISC License\n\nCopyright (c) 2020, Somebody\n\n" + isc), *TEXTS.items()]
+    rows += [("Apache-2.0", TEXTS["Apache-2.0"].split("http://www.apache.org/licenses/\n", 1)[1]), ("GPL-3.0", TEXTS["GPL-3.0"].split("29 June 2007\n", 1)[1])]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == dict(enumerate(n for n, _ in rows))
+    lines = [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("LGPL-2.1-or-later", "// SPDX-License-Identifier: LGPL-2.1-or-later"), ("BSD-3-Clause", "Distributed under the BSD 3-Clause License"),
+             ("MPL-2.0", "This project is licensed under the Mozilla Public License 2.0"), ("CC-BY-SA-3.0", "Released under Creative Commons Attribution-ShareAlike 3.0 Unported License")]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate("a\n" + t for _, t in lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.notices for r in got} == dict(enumerate(n for n, _ in lines))
+
+
 def test_lm_scores_equal_brute_force(spark):
     """Summed conditionals recomputed word by word from the fitted tables."""
     texts = [t for _, t in EDGE_TEXTS] + [t for _, t, _ in labelled(60)]
