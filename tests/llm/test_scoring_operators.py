@@ -166,6 +166,17 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm_score.score(docs.where("false")).count() == 0
 
 
+def test_lm_scores_words_beyond_the_kept_ones(spark, monkeypatch):
+    """Each word has its own count where fewer words are broadcast than the corpus has."""
+    texts = [t for _, t, _ in labelled(60)] + ["seldom", "seldom once", None, "seldom  seldom"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    monkeypatch.setattr(lm_score, "KEPT", 50)
+    got = lm_score.score(docs).collect()
+    assert len(got) == len(texts) and all(r.n_words == every[r.doc_id].n_words for r in got)
+    assert all(r.log_likelihood == pytest.approx(every[r.doc_id].log_likelihood, rel=1e-6, abs=1e-6) for r in got)
+
+
 def test_lm_prefers_text_like_the_corpus():
     rng = np.random.default_rng(0)
     like = [" ".join(f"{a} {a}x" for a in rng.choice(list("abcdefgh"), 30)) for _ in range(300)]
