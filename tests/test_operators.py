@@ -172,3 +172,9 @@ def test_curate(spark, sf):
     rows = records(spark, sf).withColumn("ord", F.col("doc_id"))
     got = curate(rows)
     assert 0 < got.count() < rows.count() and got.columns == rows.columns
+
+
+def test_rag_answers_all_questions(spark, sf):
+    from quarrywork.plans.queries import QUERIES
+
+    assert {r.item_id for r in QUERIES["rag_pipeline"](spark, sf).select("item_id").collect()} == {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
