@@ -85,7 +85,8 @@ def cells(unit: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rng = np.random.default_rng([SEED, dim])
     home, probe = [], []
     for t in range(TABLES):
-        y = unit @ (rng.normal(size=(dim, 8)) * SCALE * np.sqrt(dim / 64))
+        # A unit vector times a standard normal matrix has the same spread at every length.
+        y = unit @ (rng.normal(size=(dim, 8)) * SCALE)
         point = nearest_e8(y)
         salt = mix(group + np.uint64(t + 1))
         own = _code(point, salt)

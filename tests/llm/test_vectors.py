@@ -56,6 +56,26 @@ def test_lattice_groups(spark):
     check(spark, rows)
 
 
+def test_lattice_recall_does_not_depend_on_length(spark):
+    """Pairs at cosine 0.93 meet in a cell at 64, 128 and 768 dimensions, and wide vectors link as in all pairs."""
+    for dim in (64, 128, 768):
+        rng = np.random.default_rng(dim)
+        a, b = rng.normal(size=(2, 3000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        group = np.zeros(3000, np.uint64)
+        (home, probe, _), (home_b, probe_b, _) = lattice.cells(a, group), lattice.cells(b, group)
+        met = (home[:, :, None] == probe_b[:, None, :]).any(axis=(1, 2)) | (home_b[:, :, None] == probe[:, None, :]).any(axis=(1, 2))
+        assert met.mean() >= 0.995
+    rng, rows = np.random.default_rng(3), []
+    for dim in (128, 768):
+        for group in range(6):
+            base = rng.normal(size=dim) / np.sqrt(dim)
+            rows += [(len(rows) + k, noisy(rng, base, 0.2 / np.sqrt(dim)), group % 2) for k in range(5)]
+    check(spark, rows)
+
+
 def test_lattice_edge_rows(spark):
     one = [1.0] + [0.0] * 7
     rows = [(1, None, 0), (2, [], 0), (3, [0.0] * 8, 0), (4, [None] + one[1:], 0), (5, [float("nan")] + one[1:], 0), (6, one, None), (7, one, 0), (8, one, 0),
