@@ -28,6 +28,14 @@ def test_accepted_is_the_greedy_loop(spark):
     assert sorted(r.ord for r in D.accepted(df, ["u", "t", "c"], "ord").collect()) == keep
 
 
+def test_accepted_settles_long_chains(spark, monkeypatch):
+    """A chain in which each row shares a key with the next: every other row, whatever the rounds."""
+    for n, few in ((300, D.FEW), (13, 0)):
+        monkeypatch.setattr(D, "FEW", few)
+        df = spark.createDataFrame([(i, f"k{i // 2}", f"k{(i + 1) // 2}") for i in range(n)], "ord long, u string, t string")
+        assert sorted(r.ord for r in D.accepted(df, ["u", "t"], "ord").collect()) == list(range(0, n, 2))
+
+
 def test_dedup_modes(spark):
     df = spark.createDataFrame([(1, "u1", "t1"), (2, "u2", "t1"), (3, "u2", "t2")], "ord long, url string, title string")
     assert sorted(r.ord for r in D.accepted(df, ["url", "title"], "ord").collect()) == [1, 3]
