@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
+from .components import by_row, connected_components
 from .ranks import rank_within
 from .scratch import Scratch
 from .wordhash import mix, shingle_sets
@@ -287,15 +287,16 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = tables.table("sets", texts.mapInArrow(_signatures, "id long, n long, lo long, hi long, sig binary, path binary"))
     linked = sets.where("n > 0 AND id IS NOT NULL")
     classes = tables.table("classes", linked.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    # One row for each representative; a repeated id keeps one of its sets here.
+    if not linked.groupBy("id").agg(F.countDistinct("lo", "hi").alias("k")).where("k > 1").isEmpty():
+        # One id with different texts: all of them are searched.
+        tables.drop("sets", "classes")
+        search = lambda rows: annotate(rows, "key", "text").withColumn("linked", F.col("n_shingles") > 0)
+        out = by_row(tables, texts, search, "n_shingles")
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.col("id").eqNullSafe(F.col("label")).alias("kept"))
+    # One row for each representative; exact rows that repeat are dropped.
     reps = linked.join(classes.select("lo", "hi", F.col("rep").alias("id")).hint("shuffle_hash"), ["lo", "hi", "id"]).select("id", "sig", "path")
     reps = tables.table("reps", reps.dropDuplicates(["id"]))
     edges = _links(tables, texts, reps)
-    # Rows with one id and different sets are one document.
-    same = linked.join(classes, ["lo", "hi"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    repeated = tables.table("repeated", linked.groupBy("id").agg(F.countDistinct("lo", "hi").alias("k")).where("k > 1"))
-    if not repeated.isEmpty():
-        edges = edges.unionByName(same.join(repeated, F.col("a") == F.col("id"), "left_semi"))
     component = tables.table("component", connected_components(tables, "all", edges))
     tables.drop("reps")
     labels = classes.join(component, classes["rep"] == component["node"], "left").select("lo", "hi", F.coalesce("component", "rep").alias("label"))

@@ -69,3 +69,20 @@ def connected_components(tables: Scratch, label: str, edges: DataFrame) -> DataF
     stars = now.groupBy("a").agg(F.min("b").alias("component"))
     hubs = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), "component").unionByName(hubs)
+
+
+def by_row(tables: Scratch, rows: DataFrame, search, count: str) -> DataFrame:
+    """id, n and label of each row where ids repeat: ``search`` gives each row's ``count``, component_id
+    and whether it is linked at all, under a key of the row's own; components that share an id become
+    one, named by its least id.  Rows that are not linked, or without id, keep their id."""
+    keyed = tables.table("keyed", rows.withColumn("key", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())))
+    found = tables.table("by-key", search(keyed.drop("id")).select("key", F.col(count).cast("long").alias("n"), F.col("component_id").alias("c"), "linked"))
+    got = keyed.select("id", "key").join(found, "key")
+    held = tables.table("held", got.where("linked").select("id", "n", "c"))
+    least = held.groupBy("id").agg(F.min("c").alias("b"))
+    edges = tables.table("shared", held.join(least, "id").where("c <> b").select(F.col("c").alias("a"), "b").distinct())
+    merged = connected_components(tables, "shared-ids", edges)
+    named = tables.table("named", held.join(merged, F.col("c") == F.col("node"), "left").select("id", "n", F.coalesce("component", "c").alias("c")))
+    out = named.join(named.groupBy("c").agg(F.min("id").alias("label")), "c").select("id", "n", "label")
+    alone = got.where("NOT linked").select("id", "n").unionByName(found.where("key IS NULL").select(F.col("key").alias("id"), "n"))
+    return out.unionByName(alone.withColumn("label", F.col("id")))

@@ -148,6 +148,14 @@ def test_near_dedup_edge_texts(spark):
     assert chosen_path.annotate(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_searches_all_texts_of_one_id(spark):
+    """Two rows of one id with different texts: near copies of both are found."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(200)) for k in "abc")
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, c), (None, c), (5, "")]
+    got = chosen_path.annotate(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 196, 0), (5, 0, 5), (5, 196, 5), (5, 196, 5), (6, 197, 5), (7, 197, 5), (8, 196, 8)]
+
+
 def test_near_dedup_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     check_near(spark, [tuple(r) for r in docs])

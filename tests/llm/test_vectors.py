@@ -76,6 +76,15 @@ def test_lattice_recall_does_not_depend_on_length(spark):
     check(spark, rows)
 
 
+def test_lattice_searches_all_vectors_of_one_id(spark):
+    """Two rows of one id with different vectors: both find their like, and join them."""
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.normal(size=64) for _ in range(3))
+    rows = [(5, noisy(rng, a, 0.02), 0), (5, noisy(rng, b, 0.02), 0), (6, noisy(rng, a, 0.02), 0), (7, noisy(rng, b, 0.02), 0), (8, noisy(rng, c, 0.02), 0), (None, noisy(rng, c, 0.02), 0), (5, None, 0)]
+    got = lattice.annotate(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0), (5, 0, 5), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 0, 8)]
+
+
 def test_lattice_edge_rows(spark):
     one = [1.0] + [0.0] * 7
     rows = [(1, None, 0), (2, [], 0), (3, [0.0] * 8, 0), (4, [None] + one[1:], 0), (5, [float("nan")] + one[1:], 0), (6, one, None), (7, one, 0), (8, one, 0),
