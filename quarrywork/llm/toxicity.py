@@ -51,8 +51,8 @@ _EDGE[list(EDGE_MARKS)] = True
 @dataclass
 class Model:
     """Weights of word types (type 0: every word that is not kept), the chain's pair weights, the
-    curve from evidence to score.  ``slots`` finds a type by the upper bits of a word's hash, and
-    ``keys`` confirms all 64 of them."""
+    curve from evidence to score.  ``slots`` says by the upper bits of a word's hash whether some type
+    has them; such words are looked up in ``keys`` by all 64, so types may share upper bits."""
 
     keys: np.ndarray
     own: np.ndarray
@@ -61,12 +61,18 @@ class Model:
     curve: tuple[float, float]
 
     def __post_init__(self):
-        self.slots = np.zeros(SLOTS, np.int32)
-        self.slots[_slot(self.keys[1:])] = np.arange(1, len(self.keys))
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[_slot(self.keys[1:])] = True
+        self.order = np.argsort(self.keys[1:]) + 1
 
     def types(self, hashes: np.ndarray) -> np.ndarray:
-        found = self.slots[_slot(hashes)]
-        return np.where(self.keys[found] == hashes, found, 0)
+        found = np.zeros(len(hashes), np.int64)
+        some = np.flatnonzero(self.slots[_slot(hashes)])
+        if len(some):
+            ranked = self.keys[self.order]
+            at = np.minimum(np.searchsorted(ranked, hashes[some]), len(ranked) - 1)
+            found[some] = np.where(ranked[at] == hashes[some], self.order[at], 0)
+        return found
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:

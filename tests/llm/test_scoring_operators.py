@@ -59,6 +59,12 @@ def test_toxicity(spark):
     assert {text[r.doc_id].encode()[r.start : r.end].decode() for r in found} == set(TOXIC)
 
 
+def test_toxic_types_that_share_a_slot():
+    keys = np.array([0, 7 << 44, (7 << 44) + 1, (5 << 44) + 9], np.uint64)
+    model = toxicity.Model(keys, np.zeros(4), np.zeros(4), np.zeros((2, 2)), (1.0, 0.0))
+    assert model.types(np.array([7 << 44, (7 << 44) + 1, (7 << 44) + 2, (5 << 44) + 9, 3, 0], np.uint64)).tolist() == [1, 2, 0, 3, 0, 0]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
