@@ -6,7 +6,7 @@ of the whole canonical text is hash-joined to the digests of the known licences.
 made for each line that speaks of a licence, so that notices inside other texts are found; a line is
 a text of its own here.
 
-The catalogue of digests is a constant of the package (some 20,000 notices and whole texts, see
+The catalogue of digests is a constant of the package (some 16,000 notices and whole texts, see
 ``license_catalogue``), so it is broadcast.  A notice in other words, and a text that is neither in
 the catalogue nor a listed variant of one in it, matches nothing.
 
