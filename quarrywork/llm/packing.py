@@ -34,13 +34,21 @@ ROUNDS = 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a document of ``n`` tokens."""
-    edges = [*range(0, n, capacity), n]
-    rest = n - edges[-2]
-    if grain < rest < capacity and rest % grain:
-        edges.insert(-1, n - rest % grain)
-    return list(zip(edges, edges[1:]))
+def cuts(sizes: np.ndarray, capacity: int, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of ``sizes`` tokens (1 at least): the row, start and length of each piece."""
+    full = (sizes - 1) // capacity
+    rest = sizes - full * capacity
+    twice = (rest > grain) & (rest < capacity) & (rest % grain > 0)
+    count = full + 1 + twice
+    row = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = nth * capacity
+    last = np.flatnonzero(nth == (count - 1)[row])
+    last = last[twice[row[last]]]
+    start[last] = sizes[row[last]] - rest[row[last]] % grain
+    follows = np.append(start[1:], 0)
+    end = np.where(np.append(row[1:] == row[:-1], False), follows, sizes[row])
+    return row, start, end - start
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -49,20 +57,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = None, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            encoder = encoder or shared_encoder(tokenizer_path)
-            rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                for at, upto in cuts(n, capacity, grain):
-                    part = ids[4 * at : 4 * upto]
-                    row = (doc, at, len(part) // 4, zlib.crc32(part), n)
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32).tolist()) if with_ids else row)
-            columns = list(zip(*rows)) or [[]] * len(names)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for a, _, ids, ends in shared_encoder(tokenizer_path).flat(batch.column(1), end_id):
+                sizes = np.diff(ends)
+                row, start, length = cuts(sizes, capacity, grain)
+                at = ends[row] + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
+                columns = [batch.column(0).take(pa.array(a + row)), *(pa.array(c, pa.int64()) for c in (start, length, crc, sizes[row]))]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.record_batch(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECE + ", ids array<int>" * with_ids)

@@ -98,7 +98,6 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = END_ID,
         name = f"part-{part:06d}-{task.taskAttemptId()}"
         out = index = writer = None
         encoder, start, n_docs = None, 0, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -107,10 +106,10 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = END_ID,
                 out = system.open_output_stream(f"{folder}/{name}.arrow")
                 side = system.open_output_stream(f"{folder}/{name}.docs.arrow")
                 writer, index = SequenceWriter(out, seq_len, ROWS, max(end_id, len(encoder.lengths) - 1) < 1 << 16), pa.ipc.new_file(side, _ROW)
-            sizes = []
-            for ids in encoder.ids(batch.column(1).to_pylist()):
-                writer.add(ids + end)
-                sizes.append(len(ids) // 4 + 1)
+            sizes: list[int] = []
+            for _, _, ids, ends in encoder.flat(batch.column(1), end_id):
+                writer.add(ids.tobytes())
+                sizes += np.diff(ends).tolist()
             starts = start + np.cumsum([0, *sizes])
             index.write_batch(pa.record_batch([batch.column(0), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64())], schema=_ROW))
             start, n_docs = int(starts[-1]), n_docs + len(sizes)

@@ -25,6 +25,40 @@ def test_encoder_equals_whole_texts(spark, sf):
             assert np.frombuffer(ids, "<u4").tolist() == encoder.model.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_on_random_marks_and_spaces():
+    """Texts of all kinds of white space, marks, scripts, contractions and added tokens; words are met again and dropped."""
+    rng = np.random.default_rng(3)
+    bits = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\x00",
+            "a", "word", "Word", "don't", "we'll", "''s", "'", ".", ",", "...", "(", "x1.5", "12", "é", "ñandú", "漢字", "かな", "“q”", "£", "«", "🙂", "á.b", "1é", "<|endoftext|>", "<|", "y" * 70, "é" * 40, "z" * 64, "v" * 65]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 30)))) for _ in range(4000)] + [None, "", " ", "\n"]
+    for kept in (10, 1 << 20):
+        encoder = Encoder(tokenizer_path(), words_kept=kept)
+        for at in range(0, len(texts), 400):
+            part = texts[at : at + 400]
+            for text, ids in zip(part, encoder.ids(part)):
+                assert np.frombuffer(ids, "<u4").tolist() == encoder.model.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_tells_apart_parts_of_one_hash(monkeypatch):
+    from quarrywork.llm import encoding
+
+    monkeypatch.setattr(encoding, "_hashes", lambda lanes, first, size: (size % 3).astype(np.uint64) << np.uint64(60))
+    encoder = Encoder(tokenizer_path())
+    texts = ["one two three", "four five, six", "one five three", "a bb ccc dddd"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [encoder.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cuts_of_documents():
+    """Pieces follow each other; only the last full piece's rest is cut, at a multiple of the grain."""
+    sizes = np.array([1, 255, 256, 257, 512, 2047, 2048, 2049, 4096, 4097, 5000, 2304])
+    row, start, length = packing.cuts(sizes, 2048, 256)
+    for k, n in enumerate(sizes.tolist()):
+        at = sorted(zip(start[row == k].tolist(), length[row == k].tolist()))
+        assert [s for s, _ in at] == [0, *np.cumsum([x for _, x in at])[:-1].tolist()] and sum(x for _, x in at) == n
+        assert all(0 < x <= 2048 for _, x in at) and sum(x % 256 > 0 for _, x in at) <= 1
+
+
 def expected_tokens(rows, end):
     model = Encoder(tokenizer_path()).model
     return [(i, model.encode(t or "", add_special_tokens=False).ids + [end]) for i, t in rows]
