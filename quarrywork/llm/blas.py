@@ -1,0 +1,23 @@
+"""One thread a task for numpy's matrix products: tasks already use all cores."""
+
+from __future__ import annotations
+
+import ctypes
+from functools import lru_cache
+from pathlib import Path
+
+import numpy as np
+
+#: Names under which builds of the library export the call.
+_NAMES = ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads")
+
+
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Tells the OpenBLAS that numpy brings along; other libraries keep their own setting."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in _NAMES:
+            if hasattr(library, name):
+                getattr(library, name)(ctypes.c_int(1))
+                break
