@@ -76,6 +76,71 @@ def test_lattice_recall_does_not_depend_on_length(spark):
     check(spark, rows)
 
 
+def pairs_at(cosine, n, dim, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+def test_every_plan_has_its_recall():
+    for plan, n in ((0, 3000), (1, 3000), (2, 2000), (3, 1500), (4, 400), (5, 150)):
+        for dim in (64, 128) if plan < 3 else (64,):
+            a, b = pairs_at(0.93, n, dim, plan)
+            group = np.zeros(n, np.uint64)
+            (home, probe, _), (home_b, probe_b, _) = lattice.cells(a, group, plan), lattice.cells(b, group, plan)
+            met = np.array([np.isin(x, y).any() or np.isin(u, v).any() for x, y, u, v in zip(home, probe_b, home_b, probe)])
+            assert met.mean() >= 0.99, (plan, dim, met.mean())
+            assert (lattice.cells(a, group, plan, only_home=True)[0][:, 0] == home[:, 0]).all()
+
+
+def test_chance_meetings_do_not_grow_with_the_label():
+    """Meetings a vector among random vectors of one label, at n, 2n, 4n and 8n."""
+    met = []
+    for n in (5_000, 10_000, 20_000, 40_000):
+        unit = np.random.default_rng(n).normal(size=(n, 64))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        home, probe, _ = lattice.cells(unit, np.zeros(n, np.uint64), lattice.plan_of(n))
+        cell, count = np.unique(home, return_counts=True)
+        at = np.minimum(np.searchsorted(cell, probe), len(cell) - 1)
+        met.append(((cell[at] == probe) * count[at]).sum() / n)
+    assert max(met) < 200 and met[3] < 1.5 * max(met[0], met[1])
+
+
+def test_lattice_with_finer_cells_finds_nearly_all_pairs(spark, monkeypatch):
+    """The whole operator where each label is large enough for the second plan: no link that all pairs
+    have not, and 995 of 1000 of theirs (pairs lie just above the threshold here)."""
+    plans = tuple((0 if k == 0 else most, *rest) for k, (most, *rest) in enumerate(lattice.PLANS))
+    monkeypatch.setattr(lattice, "PLANS", plans)
+    rng, rows = np.random.default_rng(5), []
+    for group in range(10):
+        base = rng.normal(size=64) / 8
+        rows += [(len(rows) + k, noisy(rng, base, float(rng.choice([0.01, 0.03]))), group % 2) for k in range(int(rng.integers(1, 40)))]
+    want = brute(rows)
+    got = {r.vec_id: r.n_links for r in lattice.annotate(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i] <= want[i][0] for i in want) and sum(got.values()) >= 0.995 * sum(n for n, _ in want.values())
+
+
+def test_lattice_never_links_across_labels(spark):
+    one = [1.0, 0.5] * 4
+    for kind, labels in (("long", [-1, -2, 5, 5 + (1 << 48), 5 + (1 << 61), 0, (1 << 61) - 1]), ("string", ["a", "b", "", " a", "A"]), ("double", [0.5, 1.5, -0.5])):
+        rows = [(k, one, x) for k, x in enumerate(labels)] + [(100 + k, one, x) for k, x in enumerate(labels)]
+        got = lattice.annotate(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((i, 1, i % 100) for i, _, _ in rows)
+
+
+def test_lattice_deduplicate_keeps_columns(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64)
+    rows = [(k, noisy(rng, base, 0.01), 0, 0.5, f"x{k}") for k in range(12)] + [(50, None, 0, 0.1, None), (51, noisy(rng, rng.normal(size=64), 0.01), 0, 1.0, "y"), (None, noisy(rng, base, 0.01), 0, 2.0, "z"), (51, noisy(rng, base, 0.01), 1, 3.0, "w")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links double, __qw_id string")
+    left = lattice.deduplicate(vectors)
+    assert left.columns == vectors.columns
+    assert sorted((r.vec_id if r.vec_id is not None else -1, r["__qw_id"] or "") for r in left.collect()) == [(-1, "z"), (0, "x0"), (50, ""), (51, "w"), (51, "y")]
+    assert lattice.deduplicate(vectors.where("false")).count() == 0
+
+
 def test_lattice_searches_all_vectors_of_one_id(spark):
     """Two rows of one id with different vectors: both find their like, and join them."""
     rng = np.random.default_rng(4)
