@@ -14,10 +14,12 @@ pairs further above the threshold less.  Pairs are tested on 64 tokens first (th
 
 Large groups.  Only connectivity is asked for, so first every document is compared with one leader:
 of its root children's least ids the one most like it.  That is one pair a document, and it joins
-groups of any size.  Nodes whose documents all have one component are then finished; the trees look
-only for pairs between components.  A node of one large component and up to ``REST`` other documents
-is finished by comparing these with all of it, dealt over tasks.  Nodes still large at ``DEPTH`` are compared in blocks of
-``BLOCK`` documents, whole, and each block pair is a task of its own.
+groups of near copies of any size.  Nodes whose documents all have one component are then finished;
+the trees look only for pairs between components.  Branching cannot part a group of near copies, and
+going on would repeat it in ever more nodes: a node that kept at least ``KEEPS`` of its parent's
+documents, nearly all of one component (up to ``REST`` others), is finished by comparing these others
+with all of it, dealt over tasks.  The same is done with such nodes at ``DEPTH``; all others that are
+still large there are compared in blocks of ``BLOCK`` documents, whole, and each block pair is a task.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with
 nothing; shorter texts than five words have one shingle; a null id links with nothing and stays;
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import by_row, connected_components
 from .ranks import rank_within
-from .scratch import Scratch
+from .scratch import Scratch, unused
 from .wordhash import mix, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 75
 WIDTH, TREES, BRANCH, SMALL, DEPTH, BLOCK = 64, 6, 2, 48, 12, 256
-#: Documents outside a node's largest component up to which they are compared with the whole node,
-#: and the documents of a node that one task then holds.
+#: A node that holds this share of its parent has not been parted by branching.
+KEEPS = 0.75
+#: Documents outside an unparted node's largest component up to which they are compared with the whole
+#: node, and the documents of a node that one task then holds.
 REST, CHUNK = 1024, 2048
 #: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
 ALIKE = 34
@@ -127,7 +131,7 @@ def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, id, comp, sig -> the same for the children."""
+    """node, id, comp, sig, n (of the node) -> the same for the children."""
     for batch in batches:
         node = batch.column(0).to_numpy().view(np.uint64)
         sig = _matrix(batch.column(3))
@@ -137,7 +141,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pick = mix(node + np.uint64(2 * k + 1))
                 position = (pick >> np.uint64(32)) % np.uint64(WIDTH)
                 child = mix(pick ^ (sig[at, position.astype(np.int64)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            yield pa.record_batch([pa.array(child.view(np.int64)), batch.column(1), batch.column(2), batch.column(3)], names=["node", "id", "comp", "sig"])
+            yield pa.record_batch([pa.array(child.view(np.int64)), *batch.columns[1:]], names=["node", "id", "comp", "sig", "was"])
 
 
 def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,26 +325,29 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     comp = tables.table("star-comp", connected_components(tables, "star", edges))
     tables.drop("star-texts")
     state = members.select("node", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig")
+    state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig", F.lit(None).cast("long").alias("was"))
     small: list[DataFrame] = []
     lopsided: list[DataFrame] = []
     found: list[DataFrame] = []
     columns = ["node", "id", "comp", "sig"]
     for depth in range(DEPTH + 1):
         state = tables.table(f"level-{depth}", state)
-        parts = state.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-        stats = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        stats = stats.select("node", "n", (F.col("n") - F.col("top.c")).alias("rest"), F.col("top.comp").alias("main"))
-        alive = tables.table(f"alive-{depth}", state.join(stats.hint("shuffle_hash"), "node"))
-        tables.drop(f"level-{depth}")
+        parts = state.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("was").alias("was"))
+        stats = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("was").alias("was")).where("k > 1")
+        unparted = F.lit(depth == DEPTH) | F.coalesce(F.col("n") >= KEEPS * F.col("was"), F.lit(False))
+        rest = F.col("n") - F.col("top.c")
+        # Written, so that the join below reads nothing but two shuffles and a hot node may be split.
+        stats = tables.table(f"stats-{depth}", stats.select("node", "n", F.col("top.comp").alias("main"), (unparted & (rest <= REST)).alias("ends")))
+        alive = tables.table(f"alive-{depth}", state.drop("was").join(stats.hint("shuffle_hash"), "node"))
+        tables.drop(f"level-{depth}", f"stats-{depth}")
         small.append(alive.where(F.col("n") <= SMALL).select(*columns))
-        lopsided.append(alive.where((F.col("n") > SMALL) & (F.col("rest") <= REST)))
-        large = alive.where((F.col("n") > SMALL) & (F.col("rest") > REST)).select(*columns)
+        lopsided.append(alive.where((F.col("n") > SMALL) & F.col("ends")))
+        large = alive.where((F.col("n") > SMALL) & ~F.col("ends")).select(*columns, "n")
         if large.isEmpty():
             break
         if depth == DEPTH:
-            found.append(_blocks(tables, large))
-        state = large.mapInArrow(_branch, "node long, id long, comp long, sig binary")
+            found.append(_blocks(tables, large.drop("n")))
+        state = large.mapInArrow(_branch, "node long, id long, comp long, sig binary, was long")
     # Nodes have names of their own at every depth, so all depths are finished together.
     sure = _lopsided(tables, "lopsided", texts, reduce(DataFrame.unionByName, lopsided))
     edges = edges if sure is None else edges.unionByName(sure)
@@ -355,6 +362,7 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, the one with the least id; its row is unchanged."""
     tables = Scratch(docs.sparkSession, "chosen-path-stage")
-    gone = tables.table("gone", annotate(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__qw_id")).distinct())
+    key = unused(docs, "__qw_id")
+    gone = tables.table("gone", annotate(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(key)).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col].cast("long") == gone["__qw_id"], "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
