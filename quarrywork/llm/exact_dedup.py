@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 #: Fixed value: the white space that two equal texts may differ in.
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,8 +67,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
         .join(groups.select("__h", "__keep").hint("shuffle_hash"), "__h")
         .select("__h", "__id", "__keep", "__norm", F.length(F.coalesce("__text", F.lit(""))).cast("long").alias("__n")),
     )
-    reps = members.where(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy("__h").agg(F.min("__norm").alias("__rep"))
-    # No step that needs a hash's rows together follows the join, so AQE may split a large group.
+    # Written before the join, so that both of its sides are bare shuffles and AQE may split a large group.
+    reps = tables.table("reps", members.where(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy("__h").agg(F.min("__norm").alias("__rep")))
     collided = tables.table("collided", members.join(reps, "__h").where("__norm <> __rep").select("__h")).distinct()
     out = narrow.join(groups.hint("shuffle_hash"), "__h", "left")
     if not collided.isEmpty():
@@ -80,7 +80,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
             .withColumn("__keep", F.when(F.col("__size2").isNotNull(), F.col("__keep2")).otherwise(F.col("__keep")))
             .withColumn("__size", F.coalesce("__size2", "__size"))
         )
-    tables.drop("members", "collided")
+    tables.drop("members", "reps", "collided")
     keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return out.select(
         F.col("__id").alias(id_col),
@@ -98,19 +98,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     tables = Scratch(docs.sparkSession, "exact-stage")
     verdict = tables.table("verdict", annotate(docs, id_col, text_col).where("group_size > 1"))
-    named = [F.col(id_col).alias("__qw_id"), F.unhex("text_sha256").alias("__qw_sha")]
-    dropped = verdict.where("NOT kept").select(*named).distinct()
-    doubled = verdict.where("kept").select(*named).groupBy("__qw_id", "__qw_sha").agg(F.count(F.lit(1)).alias("__qw_n")).where("__qw_n > 1")
+    key, digest, count, own = (unused(docs, x) for x in ("__qw_id", "__qw_sha", "__qw_n", "__qw_s"))
+    named = [F.col(id_col).alias(key), F.unhex("text_sha256").alias(digest)]
+    dropped = tables.table("dropped", verdict.where("NOT kept").select(*named).distinct())
+    doubled = verdict.where("kept").select(*named).groupBy(key, digest).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1).drop(count)
+    doubled = tables.table("doubled", doubled)
+    tables.drop("verdict")
     # A row is named by id and digest, since an id may repeat with another text.
-    rows = docs.withColumn("__qw_s", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-
-    def same(other: DataFrame) -> Column:
-        return rows["__qw_s"].eqNullSafe(other["__qw_sha"]) & rows[id_col].eqNullSafe(other["__qw_id"])
-
-    left = rows.join(dropped, same(dropped), "left_anti")
+    rows = docs.withColumn(own, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    same = F.col(own).eqNullSafe(F.col(digest)) & F.col(id_col).eqNullSafe(F.col(key))
+    left = rows.join(dropped, same, "left_anti")
     if not doubled.isEmpty():
         rows = left
-        left = rows.join(doubled, same(doubled), "left_anti").unionByName(
-            rows.join(doubled, same(doubled), "left_semi").dropDuplicates([id_col, "__qw_s"])
-        )
-    return left.drop("__qw_s")
+        left = rows.join(doubled, same, "left_anti").unionByName(rows.join(doubled, same, "left_semi").dropDuplicates([id_col, own]))
+    return left.drop(own)

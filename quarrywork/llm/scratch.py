@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset (tests, a laptop) a
-local folder under the working directory's temp root is chosen once and stored on the session.
-Tables are plain Parquet, so a lost executor costs a re-read and never a recomputation.
+``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset and the master is local
+(tests, a laptop) a private folder is made once; on any other master that is an error, as executors
+would not see each other's files.  Tables are plain Parquet, so a lost executor costs a re-read and
+never a recomputation.  Results read some of these tables lazily, so what an operator has not dropped
+itself goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         import shutil
@@ -32,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``rows`` has it in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarrywork/{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +54,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_LEFT: set[str] = set()
+
+
+def _drop_left(spark: SparkSession) -> None:
+    """Drops what is left of the tables when the driver ends, where its session still runs."""
+    try:
+        for path in list(_LEFT):
+            drop_path(spark, path)
+    except Exception:  # the session has been stopped before
+        pass
+
+
 class Scratch:
     """Writes tables for one operator run and drops those that are no longer read."""
 
@@ -51,6 +75,9 @@ class Scratch:
     def table(self, label: str, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads it (lineage ends here)."""
         path = new_path(self.spark, f"{self.name}-{label}")
+        if not _LEFT:
+            atexit.register(_drop_left, self.spark)
+        _LEFT.add(path)
         df.write.parquet(path)
         self._paths[label] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -63,3 +90,4 @@ class Scratch:
             path = self._paths.pop(label, None)
             if path:
                 drop_path(self.spark, path)
+                _LEFT.discard(path)
