@@ -23,6 +23,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .license_catalogue import notices, whole_texts
+from .scratch import unused
 
 #: Equivalent spellings, applied in this order to text in lower case.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("http:", "https:"), ("(c)", "copyright"), ("©", "copyright"), ("sub-license", "sublicense"),
@@ -93,5 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def unlicensed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose whole text is no known licence, unchanged."""
-    named = docs.withColumn("__qw_digest", digest(F.col(text_col)))
-    return named.join(F.broadcast(catalogue(docs.sparkSession).select(F.col("digest").alias("__qw_known"))), F.col("__qw_digest") == F.col("__qw_known"), "left_anti").drop("__qw_digest")
+    own, known = unused(docs, "__qw_digest"), unused(docs, "__qw_known")
+    rows = docs.withColumn(own, digest(F.col(text_col)))
+    listed = F.broadcast(catalogue(docs.sparkSession).select(F.col("digest").alias(known)))
+    return rows.join(listed, F.col(own) == F.col(known), "left_anti").drop(own)

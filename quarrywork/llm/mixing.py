@@ -22,7 +22,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .scratch import Scratch
+from .ranks import rank_within
+from .scratch import Scratch, unused
 
 #: Fixed value: a word is a run without the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,18 +144,21 @@ def _small(goal: DataFrame) -> bool:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture: each document's row as often as it is taken, with its own columns."""
     tables = Scratch(docs.sparkSession, "mixture")
+    own, key, total, count, nth, copies, one, row = (unused(docs, f"__qw_{x}") for x in ("own", "key", "sum", "n", "nth", "copies", "one", "row"))
     chosen = plan(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0")
     # Rows with the same key are equal in id and text; the copies of such rows are dealt by rank.
-    chosen = tables.table("chosen", chosen.groupBy(F.col("row_key").alias("__qw_key")).agg(F.sum("copies").alias("__qw_sum")))
-    keyed = docs.withColumn("__qw_k", _order_key(id_col, F.col(text_col)))
-    times = tables.table("times", keyed.groupBy(F.col("__qw_k").alias("__qw_key")).agg(F.count(F.lit(1)).alias("__qw_n")).where("__qw_n > 1"))
-    keyed = keyed.join(chosen, keyed["__qw_k"] == chosen["__qw_key"]).drop("__qw_key")
+    chosen = tables.table("chosen", chosen.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(total)))
+    keyed = docs.withColumn(own, _order_key(id_col, F.col(text_col)))
+    times = tables.table("times", keyed.groupBy(F.col(own).alias(key)).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1))
+    columns = list(docs.columns)
     if times.isEmpty():
-        keyed = keyed.withColumn("__qw_c", F.col("__qw_sum"))
+        dealt = keyed.join(chosen, F.col(own) == F.col(key)).withColumn(copies, F.col(total)).select(*columns, copies)
     else:
-        keyed = keyed.join(times, keyed["__qw_k"] == times["__qw_key"], "left")
-        n = F.coalesce("__qw_n", F.lit(1))
-        nth = F.row_number().over(W.partitionBy("__qw_k").orderBy(id_col))
-        keyed = keyed.withColumn("__qw_c", F.floor(nth * F.col("__qw_sum") / n) - F.floor((nth - 1) * F.col("__qw_sum") / n))
-    own = [c for c in docs.columns]
-    return keyed.where("__qw_c > 0").withColumn("__qw_i", F.explode(F.sequence(F.lit(1), F.col("__qw_c").cast("int")))).select(*own)
+        single = keyed.join(times, F.col(own) == F.col(key), "left_anti").join(chosen, F.col(own) == F.col(key)).withColumn(copies, F.col(total))
+        # Rows that repeat have a number each, so their ranks do not gather a key in one task.
+        many = keyed.join(times, F.col(own) == F.col(key)).drop(key).join(chosen, F.col(own) == F.col(key)).withColumn(row, F.monotonically_increasing_id())
+        many = rank_within(tables, "many", tables.table("many", many), own, [row], nth)
+        share = lambda x: F.floor(x * F.col(total) / F.col(count))
+        many = many.withColumn(copies, (share(F.col(nth) + 1) - share(F.col(nth))).cast("long"))
+        dealt = single.select(*columns, copies).unionByName(many.select(*columns, copies))
+    return dealt.where(F.col(copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .encoding import shared_encoder
 from .ranks import rank_within
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 CAPACITY, UNIT, END_ID = 2048, 4, 1
 #: Remainders are cut at their last multiple of so many tokens.
@@ -196,23 +196,25 @@ def places(patterns: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces (any further columns stay)."""
+    """Adds sequence_id and offset to pieces; further columns stay, unless they have these two names."""
     spark = cut.sparkSession
     tables = Scratch(spark, "packing")
-    rows = tables.table("pieces", cut).withColumn("__size", F.ceil(F.col("length") / F.lit(unit)).cast("long"))
+    cut = cut.drop("sequence_id", "offset")
+    own, nth = unused(cut, "__size"), unused(cut, "__rank")
+    rows = tables.table("pieces", cut).withColumn(own, F.ceil(F.col("length") / F.lit(unit)).cast("long"))
     demand = np.zeros(capacity // unit, np.int64)
-    for r in rows.groupBy("__size").count().collect():  # at most capacity / unit rows
-        demand[r["__size"] - 1] = r["count"]
+    for size, count in rows.groupBy(own).agg(F.count(F.lit(1))).collect():  # at most capacity / unit rows
+        demand[size - 1] = count
     runs = places(solve(demand, capacity // unit))
     start = {int(k): int(i) for i, k in reversed(list(enumerate(runs["size"])))}
     stop = {int(k): int(i) + 1 for i, k in enumerate(runs["size"])}
     shared = spark.sparkContext.broadcast((runs, start, stop))  # a few thousand runs at most
-    ranked = rank_within(tables, "rank", rows, "__size", ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], "__rank")
+    ranked = rank_within(tables, "rank", rows, own, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], nth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, start, stop = shared.value
         for batch in batches:
-            size, rank = batch.column("__size").to_numpy(), batch.column("__rank").to_numpy()
+            size, rank = batch.column(own).to_numpy(), batch.column(nth).to_numpy()
             sequence = np.empty(len(size), np.int64)
             for k in np.unique(size):
                 at, a, b = size == k, start[int(k)], stop[int(k)]
@@ -222,5 +224,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFram
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
     placed = ranked.mapInArrow(place, f"{kinds}, sequence_id long")
-    inside = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32", "__rank").rowsBetween(W.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("__size", "__rank")
+    inside = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32", nth).rowsBetween(W.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop(own, nth)

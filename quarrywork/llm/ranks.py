@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 
 def rank_within(tables: Scratch, label: str, rows: DataFrame, key: str, order: Sequence[str], out: str = "rank") -> DataFrame:
@@ -16,14 +16,14 @@ def rank_within(tables: Scratch, label: str, rows: DataFrame, key: str, order: S
     map-side, and every window sees at most 4096 nodes or the rows of one slice.  ``rows`` must read
     a written table.  Rows that are equal in ``order`` may swap ranks.
     """
+    a, b, n, s1, s2, start, at = (unused(rows, f"__{x}") for x in ("a", "b", "n", "s1", "s2", "start", "in"))
     digest = F.xxhash64(*[F.col(c) for c in order])
-    dealt = rows.withColumn("__a", F.shiftrightunsigned(digest, 52)).withColumn("__b", F.shiftrightunsigned(digest, 40).bitwiseAND(4095))
-    counts = tables.table(f"{label}-counts", dealt.groupBy(key, "__a", "__b").agg(F.count(F.lit(1)).alias("__n")))
-    upto = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    low = counts.withColumn("__s2", F.coalesce(F.sum("__n").over(upto(key, "__a").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    top = counts.groupBy(key, "__a").agg(F.sum("__n").alias("__n"))
-    top = top.withColumn("__s1", F.coalesce(F.sum("__n").over(upto(key).orderBy("__a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    start = low.join(top.select(key, "__a", "__s1"), [key, "__a"]).select(key, "__a", "__b", (F.col("__s1") + F.col("__s2")).alias("__start"))
-    inside = F.row_number().over(W.partitionBy(key, "__a", "__b").orderBy(*order)) - 1
-    ranked = dealt.withColumn("__in", inside).join(start, [key, "__a", "__b"])
-    return ranked.withColumn(out, F.col("__start") + F.col("__in")).drop("__a", "__b", "__in", "__start")
+    dealt = rows.withColumn(a, F.shiftrightunsigned(digest, 52)).withColumn(b, F.shiftrightunsigned(digest, 40).bitwiseAND(4095))
+    counts = tables.table(f"{label}-counts", dealt.groupBy(key, a, b).agg(F.count(F.lit(1)).alias(n)))
+    upto = lambda by, along: F.coalesce(F.sum(n).over(W.partitionBy(*by).orderBy(along).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    low = counts.withColumn(s2, upto([key, a], b))
+    top = counts.groupBy(key, a).agg(F.sum(n).alias(n)).withColumn(s1, upto([key], a))
+    starts = low.join(top.select(key, a, s1), [key, a]).select(key, a, b, (F.col(s1) + F.col(s2)).alias(start))
+    inside = F.row_number().over(W.partitionBy(key, a, b).orderBy(*order)) - 1
+    ranked = dealt.withColumn(at, inside).join(starts, [key, a, b])
+    return ranked.withColumn(out, F.col(start) + F.col(at)).drop(a, b, at, start)

@@ -10,8 +10,9 @@ comes from its most toxic word through a logistic curve fitted on the training d
 words above one half are the offending spans.
 
 The classifier is fitted on at most ``FIT_DOCS`` training documents a class (a documented bound, in
-the order of a hash of the id); the model keeps weights only of the few types that speak for
-toxicity, found by their full 64-bit hashes.
+the order of a hash of the id) of at most ``FIT_LENGTH`` characters each, so what the driver collects
+is bounded in rows and bytes; the model keeps weights only of the few types that speak for toxicity,
+found by their full 64-bit hashes.  Every document is scored by its whole text.
 
 Scoring is one map over whole texts: words are hashed on Arrow's buffers, weights are looked up, and
 the chain is run over blocks of ``CHUNK`` words at once (transfer matrices of blocks, a short scan
@@ -32,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import unused
 from .wordhash import mix, slices, words
 
 SLOTS = 1 << 20
 CHUNK = 64
-#: Training documents of each class that the chain is fitted on at most.
-FIT_DOCS = 1200
+#: Training documents of each class that the chain is fitted on at most, and their length.
+FIT_DOCS, FIT_LENGTH = 1200, 50_000
 THRESHOLD = 0.7
 #: A type is toxic from so many places in toxic training documents, such log-odds and such a
 #: log-likelihood ratio on.
@@ -172,7 +174,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     named = named.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id"), "id"]
     some = named.where("toxic = 1").orderBy(*order).limit(fit_docs).unionByName(named.where("toxic = 0").orderBy(*order).limit(fit_docs))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= FIT_LENGTH)
+    # One text for each id, however often it repeats.
+    rows = rows.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return sorted((r.text, r.toxic) for r in rows.select("text", "toxic").collect())
 
 
@@ -211,9 +215,11 @@ def train(texts: list[str], kinds: np.ndarray, rounds: int = 20, rate: float = 1
     The gradient of a weight is its labelled minus its expected count; expected counts of the chain
     weights use neighbouring marginals.
     """
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    hashes, _, _, before = token_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    found, before = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, raw, offsets in slices(pa.array(texts, pa.large_string())):
+        part, _, _, upto = token_hashes(raw, offsets)
+        found.append(part), before.append(upto[1:] + before[-1][-1])
+    hashes, before = np.concatenate(found), np.concatenate(before)
     if not kinds.any() or not len(hashes):
         return Model(np.zeros(1, np.uint64), np.full(1, -4.0), np.zeros(1), np.zeros((2, 2)), (0.0, -4.0))
     vocabulary, bucket = np.unique(hashes, return_inverse=True)
@@ -291,7 +297,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             if got:
                 yield pa.record_batch([*batch.columns[:-1], pa.array(np.concatenate(got))], names=[*batch.schema.names[:-1], out])
 
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__qw_text"))
+    text = unused(docs, "__qw_text")
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}, `{out}` double")
 
@@ -322,5 +329,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFra
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, unchanged."""
     model = fit(docs, labels, id_col, text_col)
-    own = [c for c in docs.columns]
-    return score(docs, model, text_col, "__qw_score", tuple(own)).where(F.col("__qw_score") < THRESHOLD).select(*own)
+    out = unused(docs, "__qw_score")
+    return score(docs, model, text_col, out, tuple(docs.columns)).where(F.col(out) < THRESHOLD).select(*docs.columns)
