@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from . import text as X
 from .text import Text, col
 
 
@@ -37,6 +39,75 @@ def number(raw: Text, field: str) -> Column:
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
+def salvaged(raw: X.Text) -> Column:
+    """What ``"key": value`` pairs a broken text holds, as JSON of strings, numbers and lists of strings;
+    null without any.  Keys found as a number replace those found as a string, lists replace both; of
+    equal ones the last counts."""
+    t = X.col(raw)
+    pairs = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    key = lambda x: F.regexp_extract(x, r'^"([^"]+)"', 1)
+    after = lambda x: F.regexp_replace(x, r'(?s)^"[^"]+":\s*', "")
+    quote = lambda x: F.to_json(F.array(x))
+    bare = lambda x: F.substring(quote(x), F.lit(2), F.length(quote(x)) - 2)
+    as_number = lambda v: v.cast("double").cast("string")
+    word = lambda x: F.regexp_extract(x, r'(?s)^"[^"]+":\s*"([^"]*)"$', 1)
+    strings = F.transform(pairs(r'"[^"]+":\s*"[^"]*"'), lambda x: F.struct(key(x).alias("k"), F.when(word(x).rlike(r"^\d+\.?\d*$"), as_number(word(x))).otherwise(bare(word(x))).alias("v")))
+    numbers = F.transform(pairs(r'"[^"]+":\s*\d+\.?\d*'), lambda x: F.struct(key(x).alias("k"), as_number(after(x)).alias("v")))
+    lists = F.transform(pairs(r'(?s)"[^"]+":\s*\[.*?\]'), lambda x: F.struct(key(x).alias("k"), F.to_json(F.regexp_extract_all(after(x), F.lit(r'"([^"]+)"'), F.lit(1))).alias("v")))
+    every = F.concat(strings, numbers, lists)
+    keys = F.array_distinct(F.transform(every, lambda x: x["k"]))
+    last = lambda k: F.element_at(F.filter(every, lambda x: x["k"] == k), -1)["v"]
+    return F.when(F.size(keys) > 0, F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(bare(k), F.lit(":"), last(k))), ","), F.lit("}")))
+
+
+def conforms(data: X.Text, schema: dict) -> Column:
+    """Whether a JSON object has a schema's required keys, and those of its properties that it has the
+    right type (string, number, array) and range."""
+    d = X.col(data)
+    ok = F.try_parse_json(d).isNotNull() & F.trim(d).startswith("{")
+    keys = F.coalesce(F.json_object_keys(d), F.array().cast("array<string>"))
+    for name in schema.get("required", ()):
+        ok = ok & F.array_contains(keys, name)
+    for name, rule in schema.get("properties", {}).items():
+        kind = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(d), f"$.{name}", "variant")), F.lit("VOID"))
+        value = F.get_json_object(d, f"$.{name}").try_cast("double")
+        want = {"string": kind == "STRING", "number": kind.rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)"), "array": kind.startswith("ARRAY")}.get(rule.get("type"))
+        good = F.lit(True) if want is None else want
+        if rule.get("type") == "number":
+            good = good & F.coalesce(value >= F.lit(float(rule.get("minimum", "-inf"))), F.lit(True)) & F.coalesce(value <= F.lit(float(rule.get("maximum", "inf"))), F.lit(True))
+        ok = ok & (~F.array_contains(keys, name) | good)
+    return F.coalesce(ok, F.lit(False))
+
+
+#: What a failed analysis is, and the keys of the two kinds of answers.
+ANALYSIS = {"domain": "general", "relevance_score": 0.5, "key_insights": [], "indian_context": "", "actionable_info": "", "data_points": [], "geographic_relevance": []}
+ANALYSIS_SCHEMA = {"required": ("domain", "relevance_score"), "properties": {"domain": {"type": "string"}, "relevance_score": {"type": "number", "minimum": 0, "maximum": 1}, "key_insights": {"type": "array"}}}
+QUERY_SCHEMA = {"required": ("queries",), "properties": {"queries": {"type": "array"}}}
+
+
+def default_analysis() -> Column:
+    """The analysis that stands for one that failed, as JSON."""
+    return F.lit(json.dumps({**ANALYSIS, "llm_processed": False, "parse_error": True}))
+
+
+def parsed(raw: X.Text, schema: dict = ANALYSIS_SCHEMA, default: Column | None = None) -> Column:
+    """The repaired object if it conforms, else the salvaged pairs if these do, else the default."""
+    fixed, rest = repaired(raw, schema.get("required", ())), salvaged(raw)
+    fallback = default_analysis() if default is None else default
+    return F.coalesce(F.when(conforms(fixed, schema), fixed), F.when(conforms(rest, schema), rest), fallback)
+
+
+def merged_analysis(data: X.Text) -> Column:
+    """An analysis as a struct: the score within 0 to 1 (0.5 if it is none), the lists up to 5, 10 and 10
+    entries, defaults where a key is missing."""
+    kind = "domain string, relevance_score string, key_insights array<string>, indian_context string, actionable_info string, data_points array<string>, geographic_relevance array<string>"
+    d = F.from_json(X.col(data), kind, {"mode": "PERMISSIVE"})
+    listed = lambda name, most: F.slice(F.coalesce(d[name], F.array().cast("array<string>")), 1, most).alias(name)
+    text = lambda name: F.coalesce(d[name], F.lit(ANALYSIS[name])).alias(name)
+    score = clamp(F.coalesce(d["relevance_score"].try_cast("double"), F.lit(0.5))).alias("relevance_score")
+    return F.struct(text("domain"), score, listed("key_insights", 5), text("indian_context"), text("actionable_info"), listed("data_points", 10), listed("geographic_relevance", 10))
+
+
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

@@ -18,10 +18,15 @@ def density(text: X.Text, title: X.Text = "", agri: Sequence[str] = L.AGRI_TERMS
     """Share of lexicon words in twice the title and the text, plus 0.2 where the title has one."""
     title = F.lit("") if isinstance(title, str) and not title else X.col(title)
     whole = F.concat_ws(" ", title, title, X.col(text))
-    n = X.word_count(whole)
-    share = lambda terms: X.term_count(whole, terms) / n
-    score = share(agri) * 0.5 + share(farm) * 0.3 + share(region) * 0.2
-    return F.when(n == 0, F.lit(0.0)).otherwise(_cap(score + F.when(X.term_count(title, agri) > 0, 0.2).otherwise(0.0)))
+
+    def score(t: Column) -> Column:
+        n = X.word_count(t)
+        # The text is cut into words once for all three lists.
+        parts = X.let(X.word_list(t), lambda found: F.struct(*[X._counted(t, found, terms).alias(name) for name, terms in (("a", agri), ("f", farm), ("r", region))]))
+        value = X.let(parts, lambda c: c["a"] / n * 0.5 + c["f"] / n * 0.3 + c["r"] / n * 0.2)
+        return F.when(n == 0, F.lit(0.0)).otherwise(_cap(value + F.when(X.term_count(title, agri) > 0, 0.2).otherwise(0.0)))
+
+    return X.let(whole, score)
 
 
 def occurrence(text: X.Text, terms: Sequence[str] = L.RELEVANCE_TERMS, places: Sequence[str] = L.PLACE_TERMS) -> Column:
@@ -31,6 +36,36 @@ def occurrence(text: X.Text, terms: Sequence[str] = L.RELEVANCE_TERMS, places: S
     return _cap(count(terms) * 0.1 + count(places) * 0.05)
 
 
+def occurrence_with_domain(content: X.Text, title: X.Text, snippet: X.Text, domains: Sequence[str], terms: Sequence[str] = L.RELEVANCE_TERMS[:5], places: Sequence[str] = L.PLACE_TERMS, compat: bool = False) -> Column:
+    """Occurrences in content, title and snippet, plus 0.5 for a listed domain.  ``compat`` looks for the
+    domain in the snippet as if that were the URL, where it hardly ever stands; else ``snippet``'s own
+    row is expected to name its URL in a column ``url``."""
+    low = F.lower(F.concat_ws(" ", X.col(content), X.col(title), X.col(snippet)))
+    count = lambda ts: sum((X.occurrences(low, t) for t in ts), F.lit(0))
+    host = F.lower(F.regexp_extract(F.coalesce(X.col(snippet) if compat else F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return _cap(count(terms) * 0.1 + count(places) * 0.05 + F.when(X.contains_any(host, domains), 0.5).otherwise(0.0))
+
+
+def term_coverage(text: X.Text, query: X.Text, terms: Sequence[str] = L.COVERAGE_TERMS) -> Column:
+    """0 to 10: seven times the share of the query's distinct words in the text, and half a point for
+    each lexicon term in it (3 at most)."""
+    low, asked = F.lower(F.coalesce(X.col(text), F.lit(""))), F.array_distinct(X.words(F.lower(X.col(query))))
+    share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, X.words(low))) / F.size(asked)).otherwise(0.0)
+    return F.least(share * 7 + F.least(X.match_count(low, terms) * 0.5, F.lit(3.0)), F.lit(10.0))
+
+
+def reputation(domain: X.Text, exact: dict[str, float] = L.REPUTATION) -> Column:
+    """0 to 1: a listed host, else by what the host contains; 0 without a URL's host given as null."""
+    d = X.col(domain)
+    out = F.when(d.isNull(), 0.0)
+    for name, value in exact.items():
+        out = out.when(d == name, value)
+    # Substrings of hosts and their scores, asked in this order.
+    for parts, value in (((".edu", ".gov", ".org"), 0.7), (("docs.", "documentation", "manual"), 0.6), (("blog", "medium.com", "dev.to"), 0.5)):
+        out = out.when(X.contains_any(d, parts), value)
+    return out.otherwise(0.4)
+
+
 def saturating(text: X.Text, terms: Sequence[str] = L.SATURATING_TERMS) -> Column:
     low = F.lower(X.col(text))
     return _cap(sum((F.least(X.occurrences(low, t) * 0.1, F.lit(0.2)) for t in terms), F.lit(0.0)))

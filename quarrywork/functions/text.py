@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -84,9 +85,32 @@ def term_pattern(terms: Sequence[str]) -> str:
     return r"(?iU)\b(?:" + "|".join(t.replace("-", r"\-") for t in terms) + r")\b"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda's argument is a bound variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def word_list(text: Text) -> Column:
+    """Runs of word characters, in lower case."""
+    return F.split(F.lower(col(text)), r"(?U)\W+")
+
+
 def term_count(text: Text, terms: Sequence[str]) -> Column:
-    """Whole-word occurrences of any term, case ignored."""
-    return F.regexp_count(col(text), F.lit(term_pattern(terms))).cast("long")
+    """Whole-word occurrences of any term, case ignored; of terms that begin alike the first listed counts."""
+    return let(col(text), lambda t: _counted(t, word_list(t), terms))
+
+
+def _counted(text: Column, found: Column, terms: Sequence[str]) -> Column:
+    """Terms of one word are counted in the list of words; the few others by a pattern, and what they
+    cover is not counted again."""
+    single = [t for t in terms if t.isalnum()]
+    several = [t for k, t in enumerate(terms) if not t.isalnum() and not any(s == re.split(r"\W", t)[0] for s in terms[:k])]
+    count = lambda words_: F.size(F.filter(words_, lambda w: w.isin(*single))) if single else F.lit(0)
+    if not several:
+        return count(found).cast("long")
+    pattern = term_pattern(several)
+    rest = F.regexp_count(text, F.lit(pattern)) + count(word_list(F.regexp_replace(text, pattern, " ")))
+    return F.when(contains_any(F.lower(text), several), rest).otherwise(count(found)).cast("long")
 
 
 def truncate_sentences(text: Text, limit: int = 1000) -> Column:

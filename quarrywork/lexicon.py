@@ -71,3 +71,20 @@ AGENTS = (
      "insect control, fungal, bacterial, viral, rust, blight, mildew, resistance, treatment"),
     ("sustainability_advisor", "sustainable practices, organic farming, environment", "conservation, renewable energy, water management"),
 )
+COVERAGE_TERMS = ("agriculture", "farming", "crop", "soil", "irrigation", "cultivation", "harvest", "fertilizer", "seed", "plant")
+REPUTATION = {
+    "wikipedia.org": 0.9, "github.com": 0.8, "stackoverflow.com": 0.8, "docs.python.org": 0.9, "mozilla.org": 0.8, "w3.org": 0.9, "ietf.org": 0.9,
+    "arxiv.org": 0.8, "nature.com": 0.9, "science.org": 0.9, "ieee.org": 0.8, "acm.org": 0.8,
+}
+SPECIAL_TERMS = {
+    "soil and climate management": "soil climate weather irrigation", "plant varieties and breeding": "varieties cultivars seeds breeding genetics",
+    "fertilizers and nutrition": "fertilizer nutrients NPK organic compost", "irrigation and water management": "irrigation water drip sprinkler scheduling",
+}
+SPECIAL_WORDS = {
+    "Crop Science & Plant Breeding": ("varieties", "genetics", "breeding", "yield"), "Soil Science & Fertility Management": ("soil", "fertility", "nutrients", "organic matter"),
+    "Water Resources & Irrigation": ("irrigation", "water", "efficiency", "conservation"), "Plant Protection & Pest Management": ("pest", "disease", "protection", "management"),
+    "Agricultural Technology & Precision Farming": ("technology", "precision", "smart", "digital"), "Sustainable & Organic Farming": ("sustainable", "organic", "natural", "eco-friendly"),
+    "Agricultural Economics & Policy": ("economics", "policy", "market", "finance"), "Climate Change & Adaptation": ("climate", "adaptation", "resilience", "weather"),
+    "Horticulture & Plantation Crops": ("horticulture", "fruits", "vegetables", "plantation"), "Livestock & Animal Husbandry": ("livestock", "animal", "dairy", "cattle"),
+    "Food Processing & Post-Harvest": ("processing", "storage", "post-harvest", "value-addition"), "Rural Development & Extension": ("extension", "training", "rural", "development"),
+}

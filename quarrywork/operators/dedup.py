@@ -13,15 +13,14 @@ from ..session import cut
 
 
 def keep_first(rows: DataFrame, key: Column | str, order: Sequence[str]) -> DataFrame:
-    """The first row of each key.  A minimum of the order columns, combined map-side, so that a hot
-    key is one row a task; the rows themselves move once, to be joined with it."""
+    """The first row of each key; of rows that are equal in ``order``, one.
+
+    One aggregate with map-side combining: a hot key leaves each task as one row, and rows that are not
+    first are never shuffled.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    named = rows.withColumn("__key", key)
-    first = named.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first"))
-    on = named["__key"].eqNullSafe(first["__key"])
-    for o in order:
-        on = on & named[o].eqNullSafe(first[f"__first.{o}"])
-    return named.join(first, on, "left_semi").drop("__key")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(key.alias("key")).agg(first.alias("row")).select("row.*")
 
 
 def checked(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
@@ -96,6 +95,18 @@ def state_of(rows: DataFrame, url: str = "url", title: str = "title", content: s
     return rows.select(F.explode(keys).alias("s")).select("s.kind", "s.key").where("key IS NOT NULL AND key <> ''").distinct()
 
 
+def state_counts(state: DataFrame) -> DataFrame:
+    """Distinct URLs, titles and contents of a state table (kind, key): one row."""
+    n = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("key")))
+    return state.agg(n("url").alias("total_urls"), n("title").alias("total_titles"), n("content").alias("total_content_hashes"))
+
+
+def against_state(rows: DataFrame, state: DataFrame, **columns: str) -> DataFrame:
+    """Rows that an earlier run's state does not know: nothing of this run is marked, so rows that are
+    equal to each other all stay."""
+    return membership(rows, state, **columns).where("NOT is_duplicate_url AND NOT is_duplicate_content").drop("is_duplicate_url", "is_duplicate_content")
+
+
 def similar_to_recent(rows: DataFrame, group: str, order: str, text: str, ratio: float = 0.85, recent: int = 100, length: int = 500) -> DataFrame:
     """Keeps rows whose prefix is not like (difflib ratio) one of the last ``recent`` kept of its group."""
     import difflib

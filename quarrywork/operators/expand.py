@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import lexicon as L
 from ..functions import text as X
+from ..session import cut
 
 #: Words that call for one more query, in this order.
 CONTEXT = (
@@ -62,14 +63,84 @@ def round_robin(index: Column, groups: int) -> Column:
     return F.pmod(index, F.lit(groups)).cast("long")
 
 
+def with_agent_context(query: X.Text, agent: X.Text, rows: Sequence[tuple[str, str, str]] = L.AGENTS) -> Column:
+    """The query followed by its agent's focus and expertise; the query alone without an agent."""
+    out = X.col(query)
+    for name, focus, expertise in rows:
+        out = F.when(X.col(agent) == name, F.concat_ws(" ", X.col(query), F.lit(focus), F.lit(expertise))).otherwise(out)
+    return out
+
+
+def routed(queries: DataFrame, text: str, rows: Sequence[tuple[str, str, str]] = L.AGENTS) -> DataFrame:
+    """Sub-queries with their best agent (null where none fits) and the query as that agent asks it."""
+    return queries.withColumn("agent", best_agent(text, rows)).withColumn("agent_query", with_agent_context(text, "agent", rows))
+
+
+def specialised(query: X.Text, specialisation: X.Text, terms: dict[str, str] = L.SPECIAL_TERMS) -> Column:
+    """The query with its specialisation's terms behind it (none: a space)."""
+    found = F.lit("")
+    for name, more in terms.items():
+        found = F.when(X.col(specialisation) == name, more).otherwise(found)
+    return F.concat(X.col(query), F.lit(" "), found)
+
+
+def with_picked_word(query: X.Text, specialisation: X.Text, words: dict[str, Sequence[str]] = L.SPECIAL_WORDS, seed: int = 1) -> Column:
+    """One word of the specialisation behind the query, picked by a digest of the query, unless the query
+    has it in any case; "agriculture" for an unknown specialisation."""
+    q = X.col(query)
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), q)), 1, 8), 16, 10).cast("long")
+    word = F.lit("agriculture")
+    for name, own in words.items():
+        pick = F.element_at(F.array(*[F.lit(w) for w in own]), (F.pmod(digest, F.lit(len(own))) + 1).cast("int"))
+        word = F.when(X.col(specialisation) == name, pick).otherwise(word)
+    return F.when(F.contains(F.lower(q), F.lower(word)), q).otherwise(F.concat_ws(" ", q, word))
+
+
+def or_fallback(generated_queries: X.Text, area: X.Text, specialisation: X.Text, place: X.Text, seed: int = 1) -> Column:
+    """One of a model's first five queries, picked by a digest; without any, ``area specialisation place``."""
+    some = F.slice(F.filter(X.col(generated_queries), lambda x: F.trim(x) != ""), 1, 5)
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.array_join(some, "|"))), 1, 8), 16, 10).cast("long")
+    own = F.concat_ws(" ", X.col(area), X.col(specialisation), X.col(place))
+    return F.when(F.size(some) > 0, F.element_at(some, (F.pmod(digest, F.greatest(F.size(some), F.lit(1))) + 1).cast("int"))).otherwise(own)
+
+
+def prompt(template: str, *values: Column) -> Column:
+    """A template with ``%s`` for each value."""
+    return F.format_string(template, *values)
+
+
+def expansion_prompt(queries: X.Text, most: int = 10) -> Column:
+    """What a model is asked to expand: the first ``most`` queries, one a line."""
+    return prompt("Base queries:\n%s\nWrite one new search query a line.", F.array_join(F.transform(F.slice(X.col(queries), 1, most), lambda q: F.concat(F.lit("- "), q)), "\n"))
+
+
+def extraction_prompt(title: X.Text, content: X.Text, most: int = 3000) -> Column:
+    """What a model is asked to extract from: the title and the content's first ``most`` characters."""
+    return prompt("Title: %s\nContent: %s\nAnswer with one JSON object.", F.coalesce(X.col(title), F.lit("")), F.substring(F.coalesce(X.col(content), F.lit("")), 1, most))
+
+
+#: Queries that one batch of a greedy assignment holds at most.
+BATCH = 10_000
+
+
 def assigned(queries: DataFrame, order: str, text: str, batch: str | None = None, rows: Sequence[tuple[str, str, str]] = L.AGENTS) -> DataFrame:
     """Greedy assignment in order: most hits, then the least loaded agent; no hit: least loaded of all.
 
-    The load runs within a batch of queries (``batch`` column, one job's worth), so batches are
-    independent groups.
+    The load runs within a batch of queries: ``batch`` names the column of a job, or batches are the
+    runs of ``BATCH`` queries in order, so that no task holds more of them.
     """
     names = [a for a, _, _ in rows]
-    scored = queries.withColumn("__s", F.array(*[agent_score(F.col(text), f, e) for _, f, e in rows])).withColumn("__b", F.col(batch) if batch else F.lit("all"))
+    scored = queries.withColumn("__s", F.array(*[agent_score(F.col(text), f, e) for _, f, e in rows]))
+    if batch:
+        scored = scored.withColumn("__b", F.col(batch).cast("string"))
+    else:
+        # Order values are dealt in ranges by their rank: counts of ranges first, then ranks inside them.
+        dealt = scored.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+        dealt = cut(dealt)
+        sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+        sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        rank = F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1
+        scored = dealt.join(F.broadcast(sizes), "__p").withColumn("__b", F.floor(rank / BATCH).cast("string")).drop("__p", "__before")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -86,16 +157,40 @@ def assigned(queries: DataFrame, order: str, text: str, batch: str | None = None
 
 
 def generated(spark: SparkSession, n: int, areas: Sequence[str], contexts: Sequence[str], modifiers: Sequence[str], seed: int = 1) -> DataFrame:
-    """``n`` template queries by seeded hash picks, distinct, in order: id, query."""
-    pick = lambda terms, salt: F.element_at(F.array(*[F.lit(t) for t in terms]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(terms))) + 1).cast("int"))
+    """``n`` template queries by seeded digest picks, distinct, in order: id, query."""
+    def pick(terms: Sequence[str], salt: int) -> Column:
+        digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(str(salt)))), 1, 8), 16, 10).cast("long")
+        return F.element_at(F.array(*[F.lit(t) for t in terms]), (F.pmod(digest, F.lit(len(terms))) + 1).cast("int"))
+
     rows = spark.range(4 * n).select("id", F.concat_ws(" ", pick(modifiers, 1), pick(areas, 2), pick(contexts, 3)).alias("query"))
     return rows.groupBy("query").agg(F.min("id").alias("id")).orderBy("id").limit(n).select("id", "query")
 
 
+#: Beginnings of lines that are no queries, in lower case.
+CHATTY = ("here are", "here is", "sure", "certainly", "of course", "below are", "i can", "note:")
+PLACEHOLDER = r"(?i)\[[^\]]*\]|<[^>]*>|\bquery \d+\b|\.\.\."
+
+
 def parsed_list(output: X.Text, least: int = 10, most: int = 10) -> Column:
-    """Lines of a numbered or bulleted list without their marks, longer than ``least`` characters."""
-    lines = F.filter(F.split(X.col(output), "\n"), lambda x: F.trim(x).rlike(r"^(?:\d+[.)]|[-*•])\s"))
-    return F.slice(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:\d+[.)]|[-*•])\s+", ""))), lambda x: F.length(x) > least), 1, most)
+    """Lines of a numbered or bulleted list without their marks, longer than ``least`` characters.
+
+    Placeholders and chatty lines are skipped.  Without any such line, all lines are taken that end in a
+    question mark; without these, all longer lines.
+    """
+    lines = F.transform(F.split(X.col(output), "\n"), lambda x: F.trim(x))
+    good = lambda x: (F.length(x) > least) & ~x.rlike(PLACEHOLDER) & ~_starts(F.lower(x), CHATTY)
+    marked = F.filter(lines, lambda x: x.rlike(r"^(?:\d+[.)]|[-*•])\s"))
+    first = F.filter(F.transform(marked, lambda x: F.trim(F.regexp_replace(x, r"^(?:\d+[.)]|[-*•])\s+", ""))), good)
+    asked = F.filter(lines, lambda x: x.endswith("?") & good(x))
+    rest = F.filter(lines, good)
+    return F.slice(F.when(F.size(first) > 0, first).when(F.size(asked) > 0, asked).otherwise(rest), 1, most)
+
+
+def _starts(x: Column, beginnings: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for b in beginnings:
+        out = out | x.startswith(b)
+    return out
 
 
 def focused(query: X.Text, focus: X.Text, run_year: int) -> Column:

@@ -45,6 +45,39 @@ def running_rate(rows: DataFrame, key: str, order: Sequence[str], success: Colum
     return rows.withColumn("rate", F.round(rate, 6)).withColumn("delay", delay)
 
 
+def adaptive_delay(rows: DataFrame, key: str, order: Sequence[str], success: Column, every: int = 10, usual: float = 0.1) -> DataFrame:
+    """The running rate, and the delay that follows from it at every ``every``-th row; ``usual`` at others."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    out = running_rate(rows.withColumn("nth", nth), key, order, success)
+    return out.withColumn("delay", F.when(F.col("nth") % every == 0, F.col("delay")).otherwise(usual))
+
+
+def top_by_last_mean(rows: DataFrame, key: str, order: Sequence[str], value: str, most: int = 5, n: int = 10) -> DataFrame:
+    """The ``most`` keys with the highest mean of their last ``n`` values; ties by key."""
+    last = last_rows(rows, key, [F.desc(c) for c in order], n)
+    mean = F.round(F.sum(F.col(value).cast("decimal(38,10)")).cast("double") / F.count(value), 6)
+    return last.groupBy(key).agg(mean.alias("last_mean")).orderBy(F.desc("last_mean"), key).limit(most)
+
+
+def levels(rows: DataFrame, success: Column, value: str, outer: str, inner: str) -> DataFrame:
+    """Counts and sums for each pair, for each ``outer`` and for all, in one pass (grouping sets)."""
+    grouped = rows.withColumn("__ok", success).rollup(outer, inner).agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("__ok").alias("n_success"),
+        F.round(F.coalesce(F.sum(F.col(value).cast("decimal(38,10)")).cast("double"), F.lit(0.0)), 4).alias("total"),
+    )
+    return grouped.withColumn("level", F.when(F.col("level") == 0, 0).when(F.col("level") == 1, 1).otherwise(2))
+
+
+def analysed(records: DataFrame, facets_of: Sequence[str], score: str, most: int = 10) -> DataFrame:
+    """facet, value, n, mean: the ``most`` commonest values of each facet (ties by value), and the mean
+    score under facet "all"."""
+    counts = facets(records, facets_of)
+    best = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    top = counts.withColumn("__r", best).where(F.col("__r") <= most).select("facet", "value", "n", F.lit(None).cast("double").alias("mean"))
+    mean = F.round(F.sum(F.col(score).cast("decimal(38,10)")).cast("double") / F.count(score), 6)
+    return top.unionByName(records.agg(F.lit("all").alias("facet"), F.lit(None).cast("string").alias("value"), F.count(F.lit(1)).alias("n"), mean.alias("mean")))
+
+
 def last_rows(rows: DataFrame, key: str, order: Sequence[Column], n: int = 50) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scoring import inverse_distance
+from ..functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda's argument is a bound variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def unit(vector: Column) -> Column:
     scaled = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
     return let(vector.cast("array<double>"), scaled)
@@ -41,17 +41,21 @@ def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__b").drop("__b")
 
 
-def top_k(queries: DataFrame, flat: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of a flat index for each query row (query_id, unit).
+def top_k(queries: DataFrame, flat: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The k nearest rows of a flat index for each query row (query_id, unit); ties by id.
 
     Queries are the stated, smaller side: every index row meets them where it lies, or, beyond
-    ``QUERY_BLOCK`` of them, block by block.  The k best of each 64th are kept before the last window.
+    ``QUERY_BLOCK`` of them, block by block.  Only ids and products are ranked (each task keeps its own k
+    best of a query before the shuffle); the winners are joined with their rows.  With ``digits``
+    products are ranked as rounded to so many.
     """
-    scored = against_all(queries.select("query_id", F.col("unit").alias("__q")), flat).withColumn("inner_product", dot(F.col("__q"), F.col("unit"))).drop("__q", "unit")
+    product = dot(F.col("__q"), F.col("unit"))
+    scored = against_all(queries.select("query_id", F.col("unit").alias("__q")), flat.select("id", "unit"))
+    scored = scored.select("query_id", "id", (product if digits is None else F.round(product, digits)).alias("inner_product"))
     w = W.partitionBy("query_id").orderBy(F.desc("inner_product"), "id")
-    part = W.partitionBy("query_id", "__p").orderBy(F.desc("inner_product"), "id")
-    local = scored.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k).drop("__p", "__r")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("similarity_score", inverse_distance("inner_product"))
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("similarity_score", inverse_distance("inner_product"))
+    more = [c for c in flat.columns if c not in ("id", "unit")]
+    return best.join(flat.select("id", *more), "id").select("query_id", "id", "inner_product", *more, "rank", "similarity_score") if more else best
 
 
 def ivf(flat: DataFrame, lists: int, seed: int = 11) -> tuple[DataFrame, list]:
@@ -84,8 +88,28 @@ def matching_sources(sentences: DataFrame, sources: DataFrame, threshold: float
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Deterministic stand-in for an embedding model: counts of hashed words, unit length."""
+    """Deterministic stand-in for an embedding model: counts of words by digest, unit length.
+
+    Digests are taken in the JVM; the counts of a batch are one ``bincount``.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda a: a == i)).cast("double"))
-    return unit(let(at, count))
+    at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dim)))
+    return unit(_histograms(dim)(at))
+
+
+@lru_cache(maxsize=None)
+def _histograms(dim: int):
+    @F.arrow_udf("array<double>")
+    def counts(column: pa.Array) -> pa.Array:
+        size = np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        flat = np.bincount(row * dim + column.flatten().to_numpy(zero_copy_only=False), minlength=len(size) * dim).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * dim, pa.int32()), pa.array(flat))
+
+    return counts
+
+
+def embedded(rows: DataFrame, text: str, model=hash_embedding, out: str = "unit") -> DataFrame:
+    """Rows with unit vectors of a text column.  ``model`` is a function from a column of texts to one of
+    vectors; a real model goes here as an Arrow UDF, which loads it once a worker and gets batches."""
+    return rows.withColumn(out, unit(model(F.col(text))))

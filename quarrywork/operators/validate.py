@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicon as L
-from ..schemas import REQUIRED
+from ..schemas import CORPUS_RECORD, REQUIRED
 
 #: Fixed value: the form of a valid link.
 URL = r"(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
 
 
+# The messages.
 def errors(have: list[str]) -> Column:
     """Messages for one record; missing required fields alone where there are any."""
     missing = [F.when(F.lit(True) if f not in have else F.col(f).isNull(), F.lit(f"Missing required field: {f}")) for f in REQUIRED]
@@ -33,6 +34,27 @@ def errors(have: list[str]) -> Column:
     return F.when(F.size(absent) > 0, absent).otherwise(F.array_compact(F.array(*found)))
 
 
+#: What a field of each kind must be, as its message names it.
+KINDS = {"string": "<class 'str'>", "array<string>": "<class 'list'>", "double": "(<class 'int'>, <class 'float'>)", "bigint": "<class 'int'>", "boolean": "<class 'bool'>"}
+
+
+def type_errors(record: str = "record") -> Column:
+    """Messages for the fields of a raw JSON record that are there and not of their type; a boolean is
+    taken for a whole number, as it is one where records come from."""
+    data = F.try_parse_json(F.col(record))
+    keys = F.coalesce(F.json_object_keys(F.col(record)), F.array().cast("array<string>"))
+    fits = {"string": ("STRING",), "array<string>": ("ARRAY",), "double": ("BIGINT", "DOUBLE", "DECIMAL", "BOOLEAN"), "bigint": ("BIGINT", "BOOLEAN"), "boolean": ("BOOLEAN",)}
+    found = []
+    for f in CORPUS_RECORD:
+        kind = f.dataType.simpleString()
+        if f.name not in REQUIRED or kind not in KINDS:
+            continue
+        own = F.coalesce(F.schema_of_variant(F.try_variant_get(data, f"$.{f.name}", "variant")), F.lit("VOID"))
+        bad = F.array_contains(keys, f.name) & ~own.rlike("^(" + "|".join(fits[kind]) + ")")
+        found.append(F.when(bad, F.concat(F.lit(f"Invalid type for {f.name}: expected {KINDS[kind]}, got "), own)))
+    return F.array_compact(F.array(*found))
+
+
 def validated(records: DataFrame) -> DataFrame:
     return records.withColumn("errors", errors(records.columns)).withColumn("valid", F.size("errors") == 0)
 

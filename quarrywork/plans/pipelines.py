@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X, urls as U
+from ..session import cut
 from ..operators import chunking, citations as K, dedup as D, expand as E, search as V, validate as Y
 
 
@@ -15,11 +16,14 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return chunks.withColumn("e", V.hash_embedding(F.col("chunk_text"))).transform(lambda c: V.index(c, "chunk", "e", "chunk_text"))
 
 
-def cited_reports(questions: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:
-    """Question -> two variants -> top k chunks each -> numbered, cited report."""
+def cited_reports(questions: DataFrame, documents: DataFrame, k: int = 3, index: DataFrame | None = None) -> DataFrame:
+    """Question -> two variants -> top k chunks each -> numbered, cited report.  ``index`` is one that has
+    been built before (``sinks.write_index``); without it the documents are chunked and embedded now."""
     asked = questions.select("item_id", F.posexplode(E.variants("text")).alias("sub", "q"))
     queries = asked.select(F.concat_ws("-", F.col("item_id").cast("string"), F.col("sub").cast("string")).alias("query_id"), V.hash_embedding(F.col("q")).alias("unit"))
-    hits = V.top_k(queries, build_index(documents), k)
+    # Written once: it is read to rank ids and again for the winners' texts.
+    flat = index if index is not None else cut(build_index(documents))
+    hits = V.top_k(queries, flat, k, digits=9)
     item, sub = F.split_part("query_id", F.lit("-"), F.lit(1)).cast("long"), F.split_part("query_id", F.lit("-"), F.lit(2)).cast("int")
     lines = hits.select(item.alias("item_id"), (sub * 1000 + F.col("rank")).alias("ord"), F.concat_ws(" ", F.concat(F.lit("["), K.citation_id(F.lit("DB"), sub + 1, F.col("rank")), F.lit("]")), X.abstract("chunk_text", 200)).alias("line"))
     return K.numbered(lines, "item_id", "ord", F.col("line"), "report")

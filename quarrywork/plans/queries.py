@@ -46,9 +46,9 @@ UNIT = "list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_tra
 # Vector search ------------------------------------------------------------------------------------
 
 _KNN = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q.query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.embedding::DOUBLE[]) AS ip FROM q, embeddings v),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ip, 9) DESC, id) AS rank FROM s)
 SELECT query_id, id, rank::INT AS rank, round(ip, 6) AS inner_product, 'DB-' || query_id || '-' || rank AS citation_id,
        round(CASE WHEN ip < 0 THEN 0 ELSE 1 / (1 + ip) END, 6) AS similarity_score
 FROM r WHERE rank <= 3"""
@@ -56,9 +56,9 @@ FROM r WHERE rank <= 3"""
 
 @query(_KNN)
 def knn_top3(spark, d):
-    """The three nearest vectors of five queries, with citation ids (the queries are the feature)."""
+    """The three nearest vectors of every row whose id is divisible by 20, with citation ids."""
     flat = V.index(read(spark, d, "embeddings"), "vec_id", "embedding")
-    got = V.top_k(flat.where("id < 5").withColumnRenamed("id", "query_id"), flat, 3)
+    got = V.top_k(flat.where("id % 20 = 0").withColumnRenamed("id", "query_id"), flat, 3, digits=9)
     return got.select(
         "query_id", "id", "rank", F.round("inner_product", 6).alias("inner_product"),
         K.citation_id(F.lit("DB"), F.col("query_id"), F.col("rank")).alias("citation_id"), F.round("similarity_score", 6).alias("similarity_score"),
@@ -66,13 +66,13 @@ def knn_top3(spark, d):
 
 
 @query("""
-WITH s AS (SELECT vec_id AS sent_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 20),
+WITH s AS (SELECT vec_id AS sent_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 m AS (SELECT s.sent_id, v.label AS source_id, max(list_cosine_similarity(s.e, v.embedding::DOUBLE[])) AS sim FROM s, embeddings v GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY sim DESC, source_id) AS rank FROM m WHERE sim >= 0.3)
 SELECT sent_id, source_id, round(sim, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 3""")
 def knn_threshold_sources(spark, d):
     flat = V.index(read(spark, d, "embeddings"), "vec_id", "embedding", "label")
-    got = V.matching_sources(flat.where("id < 20").select(F.col("id").alias("sent_id"), "unit"), flat.withColumnRenamed("label", "source_id"), 0.3)
+    got = V.matching_sources(flat.where("id % 20 = 0").select(F.col("id").alias("sent_id"), "unit"), flat.withColumnRenamed("label", "source_id"), 0.3)
     return got.select("sent_id", "source_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -161,9 +161,13 @@ def _keys(spark, d):
     return read(spark, d, "documents").select("doc_id", F.substring(text, 1, 2).alias("url"), F.concat("source", "lang", F.pmod("doc_id", F.lit(7)).cast("string")).alias("title"), text.alias("content"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, ['t' || title, 'c' || content, 'u' || url] AS keys FROM ({_KEYS})),
+g(i, doc_id, ok, marked) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL
+  SELECT k.i, k.doc_id, NOT list_has_any(g.marked, k.keys), CASE WHEN list_has_any(g.marked, k.keys) THEN g.marked ELSE list_concat(g.marked, k.keys) END FROM g JOIN k ON k.i = g.i + 1)
+SELECT doc_id FROM g WHERE ok""")
 def dedup_accept_mode(spark, d):
-    """Greedy over three keys; tested against a plain loop."""
+    """Greedy over three keys."""
     return D.accepted(_keys(spark, d), ["title", "content", "url"], "doc_id").select("doc_id")
 
 
@@ -204,7 +208,11 @@ def sentences_a(spark, d):
     return read(spark, d, "documents").withColumn("s", s).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first_sentence"))
 
 
-@query()
+_S = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+_ENDED = rf"list_filter(string_split(regexp_replace(text, '([.!?]){_S}', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+
+
+@query(f"SELECT doc_id, len({_ENDED}) AS n, (len({_ENDED}) - 1)::INT AS last FROM documents WHERE len({_ENDED}) > 0")
 def sentences_b(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.posexplode(X.sentences_with_ends("text")).alias("pos", "sentence"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
@@ -235,27 +243,28 @@ _COUNT = lambda w: f"((length(lower(text)) - length(replace(lower(text), '{w}',
 
 
 @query(f"""
-SELECT doc_id, round(least(({" + ".join(_COUNT(w) for w in WORDS)}) * 0.01 + ({" + ".join(_COUNT(w) for w in MORE)}) * 0.005, 1.0), 6)::DOUBLE AS occurrence,
+SELECT doc_id, round(least(({" + ".join(_COUNT(w) for w in WORDS)}) * 0.1 + ({" + ".join(_COUNT(w) for w in MORE)}) * 0.05, 1.0), 6)::DOUBLE AS occurrence,
        round(least({" + ".join(f"least({_COUNT(w)} * 0.1, 0.2)" for w in WORDS)}, 1.0), 6)::DOUBLE AS saturating,
        round(least(({" + ".join(f"contains(lower(text), '{w}')::INT" for w in WORDS[:2])}) * 0.3 + ({" + ".join(f"contains(lower(text), '{w}')::INT" for w in MORE)}) * 0.1, 1.0), 6)::DOUBLE AS presence,
        round(({" + ".join(f"contains(lower(text), '{w}')::INT" for w in WORDS)}) / {float(len(WORDS))}::DOUBLE, 6) AS coverage FROM documents""")
 def relevance_scores(spark, d):
-    low = F.lower("text")
-    count = lambda ws: sum((X.occurrences(low, w) for w in ws), F.lit(0))
-    occurrence = F.least(count(WORDS) * F.lit(0.01) + count(MORE) * F.lit(0.005), F.lit(1.0))
     return read(spark, d, "documents").select(
-        "doc_id", F.round(occurrence, 6).alias("occurrence"), F.round(S.saturating("text", WORDS), 6).alias("saturating"),
+        "doc_id", F.round(S.occurrence("text", WORDS, MORE), 6).alias("occurrence"), F.round(S.saturating("text", WORDS), 6).alias("saturating"),
         F.round(S.presence("text", WORDS[:2], MORE), 6).alias("presence"), F.round(S.coverage("text", WORDS), 6).alias("coverage"),
     )
 
 
-_TERM = lambda ws: f"len(regexp_extract_all(' ' || replace(t, ' ', '  ') || ' ', '(?i)[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}](?:{'|'.join(ws)})[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]'))"
+_NOT_WORD = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+_TERM = lambda ws: f"len(list_filter(regexp_split_to_array(lower(t), '{_NOT_WORD}'), lambda w: list_contains({sql_list(ws)}, w)))"
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_S}'), lambda w: w <> ''))::DOUBLE AS n FROM documents),
+s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE least({_TERM(WORDS)} / n * 0.5 + {_TERM(WORDS[:2])} / n * 0.3 + {_TERM(MORE)} / n * 0.2, 1.0) END AS s FROM t)
+SELECT doc_id, round(s, 9)::DOUBLE AS density, s >= 0.3 AS relevant FROM s""")
 def relevance_density(spark, d):
     n = S.density("text", agri=WORDS, farm=WORDS[:2], region=MORE)
-    return read(spark, d, "documents").select("doc_id", F.round(n, 6).alias("density"), (n >= 0.3).alias("relevant"))
+    return read(spark, d, "documents").select("doc_id", F.round(n, 9).alias("density"), (n >= 0.3).alias("relevant"))
 
 
 @query("""
@@ -282,9 +291,9 @@ def genre_case(spark, d):
 
 @query("""
 SELECT page_id, CASE WHEN contains(u, 'gov.in') OR contains(u, 'nic.in') THEN 'government_content' WHEN contains(u, 'edu') OR contains(u, 'ac.in') OR contains(u, 'university') THEN 'academic_content'
-  WHEN contains(h, 'news') OR contains(h, 'article') THEN 'news_article' ELSE 'web_content' END AS category FROM (SELECT page_id, lower(url) AS u, lower(substr(html, 1, 600)) AS h FROM pages)""")
+  WHEN contains(h, 'news') OR contains(h, 'article') THEN 'news_article' ELSE 'web_content' END AS category FROM (SELECT page_id, lower(url) AS u, lower(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS h FROM pages)""")
 def category_case(spark, d):
-    return read(spark, d, "pages").select("page_id", C.category("url", F.substring("html", 1, 600), F.lit(False)).alias("category"))
+    return read(spark, d, "pages").select("page_id", C.category("url", H.title("html"), F.lit(False)).alias("category"))
 
 
 _RULES = {"a": ("the", "of"), "b": ("que",), "c": ("der", "und")}
@@ -368,9 +377,12 @@ def json_repair(spark, d):
 
 
 @query("""
-SELECT item_id, unnest([text, text || ' agriculture', text || ' farming']) AS variant, generate_subscripts([1, 2, 3], 1)::INT - 1 AS pos FROM benchmark""")
+WITH v AS (SELECT item_id, list_filter([text, text || ' agriculture', text || ' farming', CASE WHEN contains(t, 'disease') OR contains(t, 'pest') OR contains(t, 'infection') THEN text || ' plant pathology treatment'
+  WHEN contains(t, 'price') OR contains(t, 'cost') OR contains(t, 'market') OR contains(t, 'economic') THEN text || ' agricultural economics market analysis'
+  WHEN contains(t, 'climate') OR contains(t, 'weather') OR contains(t, 'rain') THEN text || ' climate agriculture impact' END], lambda x: x IS NOT NULL) AS v FROM (SELECT *, lower(text) AS t FROM benchmark))
+SELECT item_id, unnest(v) AS variant, (generate_subscripts(v, 1) - 1)::INT AS pos FROM v""")
 def query_fanout(spark, d):
-    return read(spark, d, "benchmark").select("item_id", F.posexplode(F.slice(E.expanded("text"), 1, 3)).alias("pos", "variant"))
+    return read(spark, d, "benchmark").select("item_id", F.posexplode(E.expanded("text")).alias("pos", "variant"))
 
 
 @query("""
@@ -397,13 +409,25 @@ def agent_argmax(spark, d):
     return read(spark, d, "benchmark").select("item_id", E.best_agent("text", _AGENTS).alias("agent"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY item_id) AS i, item_id, [2 * (contains(t, 'the')::INT + contains(t, 'of')::INT) + contains(t, 'and')::INT,
+  2 * (contains(t, 'que')::INT + contains(t, 'la')::INT) + contains(t, 'der')::INT + contains(t, 'en')::INT, 2 * contains(t, 'die')::INT + contains(t, 'in')::INT] AS s FROM (SELECT item_id, lower(text) AS t FROM benchmark)),
+c AS (SELECT i, item_id, list_filter([1, 2, 3], lambda j: list_max(s) = 0 OR s[j] = list_max(s)) AS c FROM s),
+g(i, item_id, pick, load) AS (SELECT 0::BIGINT, NULL::BIGINT, 0, [0, 0, 0] UNION ALL
+  SELECT i, item_id, pick, list_transform([1, 2, 3], lambda j: load[j] + (j = pick)::INT) FROM (
+    SELECT c.i, c.item_id, g.load, list_sort(list_transform(c.c, lambda j: {'l': g.load[j], 'j': j}))[1].j AS pick FROM g JOIN c ON c.i = g.i + 1))
+SELECT item_id, ['first', 'second', 'third'][pick] AS agent FROM g WHERE i > 0""")
 def greedy_query_assignment(spark, d):
     ship_package(spark)
     return E.assigned(read(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", rows=_AGENTS).select("item_id", "agent")
 
 
-@query()
+_DIGEST = lambda k, n: f"(('0x' || substr(md5(id || ':1:{k}'), 1, 8))::BIGINT % {n} + 1)::INT"
+
+
+@query(f"""
+WITH r AS (SELECT id, {sql_list(L.METHODS)}[{_DIGEST(1, len(L.METHODS))}] || ' ' || {sql_list(L.CROPS)}[{_DIGEST(2, len(L.CROPS))}] || ' ' || {sql_list(L.STATES)}[{_DIGEST(3, len(L.STATES))}] AS query FROM range(0, 200) t(id))
+SELECT min(id) AS id, query FROM r GROUP BY query ORDER BY 1 LIMIT 50""")
 def template_queries(spark, d):
     return E.generated(spark, 50, L.CROPS, L.STATES, L.METHODS)
 
@@ -435,7 +459,15 @@ def citations_used(spark, d):
     return got.select("answer_id", F.array_join("valid", ",").alias("valid"), F.array_join("invalid", ",").alias("invalid"), "n_citations")
 
 
-@query()
+_ANY = lambda ps: "(" + " OR ".join(f"regexp_matches(x, '(?i){p}')" for p in ps) + ")"
+_N = f"len(list_filter(regexp_split_to_array(x, '{_S}'), lambda w: w <> ''))"
+
+
+@query(rf"""
+WITH a AS ({_ANSWER}), f AS (SELECT answer_id, len(regexp_extract_all(text, '{K.PATTERN}')) AS n, list_filter({_ENDED}, lambda x: NOT {_ANY(K.OTHER)} AND (({_N} > 8 AND {_ANY(K.FACTUAL)}) OR {_N} > 15)) AS facts FROM a),
+u AS (SELECT *, list_filter(facts, lambda x: NOT regexp_matches(x, '{K.PATTERN}')) AS u FROM f),
+c AS (SELECT *, CASE WHEN len(facts) = 0 THEN 1.0 ELSE (len(facts) - len(u)) / len(facts)::DOUBLE END::DOUBLE AS c FROM u)
+SELECT answer_id, least(len(u), 5)::INT AS n_uncited, round(c, 6) AS coverage, CASE WHEN n = 0 THEN 'regenerate' WHEN c > 0.8 THEN 'strip' WHEN c > 0.5 THEN 'annotate' ELSE 'regenerate' END AS action FROM c""")
 def citation_coverage(spark, d):
     got = K.validate(answers(spark, d), known(spark, d))
     return got.select("answer_id", F.size("uncited").alias("n_uncited"), F.round("coverage", 6).alias("coverage"), K.policy("coverage", "n_citations").alias("action"))
@@ -559,9 +591,33 @@ def html_main_text(spark, d):
 # Compositions -----------------------------------------------------------------------------------------------
 
 
-@query()
+_HISTOGRAM = lambda t: f"list_transform(range(64), lambda i: len(list_filter({t}, lambda p: p = i))::DOUBLE)"
+_AT = lambda t: f"list_transform(list_filter(regexp_split_to_array(lower({t}), '{_NOT_WORD}'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::BIGINT % 64)"
+_RAG = f"""
+WITH b AS (SELECT item_id, text, NOT (contains(lower(text), 'agriculture') OR contains(lower(text), 'farming')) AS plain FROM benchmark),
+v AS (SELECT item_id, unnest([0, 1]) AS sub, unnest(CASE WHEN plain THEN [text, text || ' agriculture'] ELSE [text, text || ' best practices'] END) AS q FROM b),
+qa AS (SELECT item_id, sub, {_AT('q')} AS pos FROM v), q AS (SELECT item_id, sub, {_HISTOGRAM('pos')} AS e FROM qa),
+t AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_S}'), lambda w: w <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM t WHERE len(w) > 0),
+s AS (SELECT *, unnest(CASE WHEN n <= 256 THEN [0] ELSE range(0, n, 231) END) AS s FROM n),
+c AS (SELECT doc_id || '-' || (s // 231) AS id, CASE WHEN n <= 256 THEN text ELSE array_to_string(list_slice(w, s + 1, s + 256), ' ') END AS chunk FROM s),
+ca AS (SELECT id, chunk, {_AT('chunk')} AS pos FROM c WHERE length(trim(chunk, ' ')) >= 50), ce AS (SELECT id, chunk, {_HISTOGRAM('pos')} AS e FROM ca),
+p AS (SELECT item_id, sub, id, chunk, coalesce(list_inner_product(q.e, ce.e) / nullif(sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(ce.e, ce.e)), 0), 0) AS ip FROM q, ce),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, sub ORDER BY round(ip, 9) DESC, id) AS rank FROM p QUALIFY rank <= 3),
+a AS (SELECT *, trim(regexp_replace(chunk, '{_S}', ' ', 'g')) AS t FROM k), h AS (SELECT *, substr(t, 1, 200) AS head FROM a),
+x AS (SELECT *, 201 - strpos(reverse(head), '.') AS stop, 201 - strpos(reverse(head), ' ') AS space FROM h),
+l AS (SELECT item_id, sub, rank, '[DB-' || (sub + 1) || '-' || rank || '] ' || CASE WHEN length(t) <= 200 THEN t WHEN strpos(head, '.') > 0 AND stop - 1 > 140 THEN substr(head, 1, stop::INT)
+  ELSE CASE WHEN strpos(head, ' ') > 0 THEN substr(head, 1, (space - 1)::INT) ELSE head END || '...' END AS line FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sub, rank) AS nr FROM l)
+SELECT item_id, string_agg('[' || nr || '] ' || line, chr(10) ORDER BY nr) AS report FROM o GROUP BY item_id"""
+
+
+@query(_RAG)
 def rag_pipeline(spark, d):
     """Questions -> variants -> nearest chunks of the corpus -> cited report, one row a question."""
     from .pipelines import cited_reports
 
+    ship_package(spark)
     return cited_reports(read(spark, d, "benchmark"), read(spark, d, "documents"))
+
+
+from . import record_queries  # noqa: E402,F401  (adds its queries)

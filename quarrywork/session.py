@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,17 +34,36 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` with its lineage cut by a checkpoint in the cluster's shared folder.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as a URI: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names the folder; only where it is unset, as in tests, a private one is
-    made.
+    Only where it is unset and the master is local, as in tests, a private folder is made; on any other
+    master that is an error, as executors would not see each other's files.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        path = tempfile.mkdtemp(prefix="quarrywork-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _OWN[context.applicationId] = f"file://{path}"
+    return _OWN[context.applicationId]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table or file in the shared folder."""
+    return f"{shared_dir(spark)}/quarrywork/{name}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` with its lineage cut by a checkpoint in the shared folder."""
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="quarrywork-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()

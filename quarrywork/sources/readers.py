@@ -2,32 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import codecs
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..schemas import CORPUS_RECORD
 
 
+#: Splits of files whose counts are broadcast at most (some 100 bytes each); beyond it the join shuffles.
+BROADCAST_SPLITS = 100_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, row_idx (the line's number in its file), line_no (over all files in order of name).
+
+    Rows of a split have consecutive ids, so a line's place is its id less its split's least one, plus
+    the lines of the splits before: counts by split are combined map-side, and only they are summed up
+    in order (one row a split).
+    """
+    ids = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    splits = ids.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.orderBy("file", "__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "__at", "__first", before(W.partitionBy("file")).alias("__own"), before(W.partitionBy()).alias("__all"))
+    splits = F.broadcast(splits) if spark.read.text(path).rdd.getNumPartitions() <= BROADCAST_SPLITS else splits
+    place = F.col("__id") - F.col("__first")
+    return ids.join(splits, ["file", "__at"]).select("value", "file", (place + F.col("__own")).alias("row_idx"), (place + F.col("__all")).alias("line_no"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_RECORD, keep: Column | None = None, most: int | None = None) -> DataFrame:
     """JSON lines with ``row_idx``, the line's number in its file (blank lines count).
 
     Blank and malformed lines are dropped; ``keep`` filters records; ``most`` stops after that many
-    kept ones.  The number comes from the file's row index, so lines are not gathered to be counted.
+    kept ones, in order of file and line.
     """
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_idx"), F.col("_metadata.file_path").alias("__f"))
-    rows = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNotNull()).select(parsed.alias("r"), "row_idx").select("r.*", "row_idx")
+    lines = numbered_lines(spark, path).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    rows = lines.select(parsed.alias("r"), "row_idx", "line_no").select("r.*", "row_idx", "line_no")
     rows = rows.where(keep) if keep is not None else rows
-    return rows.orderBy("row_idx").limit(most) if most is not None else rows
+    return (rows.orderBy("line_no").limit(most) if most is not None else rows).drop("line_no")
 
 
 def equal_domain(domain: str | None, column: str = "source_domain") -> Column:
     return F.lit(True) if domain is None else F.coalesce(F.col(column), F.lit("")) == domain
 
 
+def _objects(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path -> path, pos, object: the outermost objects of a file's text, as they stand there.
+
+    The file is read in pieces and scanned for braces outside strings, so what is held is one piece
+    and one object.
+    """
+    from pyarrow import fs
+
+    mark = re.compile(r'["\\{}]')
+    for batch in paths:
+        for path in batch.column(0).to_pylist():
+            system, name = fs.FileSystem.from_uri(path)
+            depth, quoted, skip, held, pos, found = 0, False, False, [], 0, []
+            with system.open_input_stream(name) as stream:
+                decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+                while True:
+                    raw = stream.read(1 << 20)
+                    text, start, at = decode(raw, not raw), 0, 0
+                    if skip:
+                        at, skip = min(1, len(text)), not text
+                    while hit := mark.search(text, at):
+                        at, c = hit.end(), hit.group()
+                        if c == "\\":
+                            at, skip = at + 1, at >= len(text)
+                        elif c == '"':
+                            quoted = not quoted if depth else False
+                        elif not quoted and c == "{":
+                            start = hit.start() if depth == 0 else start
+                            depth += 1
+                        elif not quoted and depth:
+                            depth -= 1
+                            if depth == 0:
+                                found.append((path, pos, "".join([*held, text[start:at]])))
+                                held, pos = [], pos + 1
+                    if depth:
+                        held.append(text[start:])
+                    if found and (not raw or len(found) >= 1000):
+                        yield pa.record_batch([pa.array(c) for c in zip(*found)], names=["file", "pos", "object"])
+                        found = []
+                    if not raw:
+                        break
+
+
 def json_document(spark: SparkSession, path: str, schema: T.StructType, first: int | None = None) -> DataFrame:
-    """An array of objects (or one object) as rows; truncation only where ``first`` asks for it."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.limit(first) if first is not None else rows
+    """An array of objects (or one object) as rows; truncation, in order, only where ``first`` asks for it.
+
+    An array has no places to split at, so a file is one task, which streams it; several files are
+    several tasks.  A malformed object is skipped and the others are read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    files = files.repartition(max(1, files.count()))
+    rows = files.mapInArrow(_objects, "file string, pos long, object string").where(F.try_parse_json("object").isNotNull())
+    rows = rows.orderBy("file", "pos").limit(first) if first is not None else rows
+    return rows.select(F.from_json("object", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
+def metadata(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The metadata of an index: Parquet where the folder has a finished copy of it, else the JSON document,
+    of which a Parquet copy is left for the next time.  No other binary format is read."""
+    copy = f"{path}.parquet"
+    fs, p = _file_system(spark, f"{copy}/_SUCCESS")
+    if not fs.exists(p):
+        json_document(spark, path, schema).write.mode("overwrite").parquet(copy)
+    return spark.read.schema(schema).parquet(copy)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -38,17 +128,32 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str, head: int | None = None, tail: int | None = None) -> DataFrame:
-    """Lines with their order; the first or the last few of them."""
+    """Lines with their order over all files by name; the first or the last few of them."""
     if head is not None and tail is not None:
         raise ValueError("head and tail exclude each other")
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    rows = numbered_lines(spark, path).select("value", "line_no")
     if head is not None:
         return rows.orderBy("line_no").limit(head)
     return rows.orderBy(F.desc("line_no")).limit(tail) if tail is not None else rows
 
 
+def state(spark: SparkSession, path: str) -> DataFrame:
+    """The state (kind, key) of earlier runs; empty where there is none or its files are damaged."""
+    schema = "kind string, key string"
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path).where("kind IS NOT NULL AND key IS NOT NULL")
+
+
 def file_info(spark: SparkSession, path: str, large_mb: float = 100, stream_mb: float = 500) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", F.col("length").alias("size_bytes"))
+    """Size and time of each file, whose contents are not read; one row with ``exists`` false where there is none."""
+    fs, p = _file_system(spark, path)
+    kind = "path string, modificationTime timestamp, size_bytes long"
+    if fs.globStatus(p):
+        files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", F.col("length").alias("size_bytes")).withColumn("exists", F.lit(True))
+    else:
+        files = spark.createDataFrame([(path, None, 0)], kind).withColumn("exists", F.lit(False))
     mb = F.col("size_bytes") / 1048576
     return files.withColumns({"size_mb": mb, "size_gb": mb / 1024, "is_large": mb > large_mb, "requires_streaming": mb > stream_mb})
 
@@ -62,8 +167,6 @@ def bootstrap_state(records: DataFrame) -> DataFrame:
 
 def candidates(hits: DataFrame, most: int) -> DataFrame:
     """Hits (query_id, strategy, rank, href, ...) in order of strategy, distinct by URL, ``most`` a query."""
-    from pyspark.sql import Window as W
-
     order = [F.col("strategy"), F.col("rank")]
     first = F.row_number().over(W.partitionBy("query_id", "href").orderBy(*order))
     kept = hits.withColumn("__f", first).where("__f = 1").drop("__f")

@@ -31,6 +31,43 @@ def write_successes(results: DataFrame, path: str) -> None:
     results.where("success").select(F.explode("data_entries").alias("e")).select("e.*").write.mode("overwrite").json(path)
 
 
+def write_state(state: DataFrame, path: str) -> None:
+    """The dedup state (kind, key) of a run, each key once; replaces what earlier runs left."""
+    state.select("kind", "key").distinct().write.mode("overwrite").parquet(path)
+
+
+def write_index(flat: DataFrame, path: str) -> dict[str, int]:
+    """A flat index as an artefact: the rows under ``rows`` and its numbers under ``stats``, which are
+    written last, so that a reader finds whole indexes only.  Returns the numbers."""
+    seen = Observation()
+    size = F.size("unit")
+    flat.observe(seen, F.count(F.lit(1)).alias("n"), F.min(size).alias("dim"), F.max(size).alias("widest")).write.mode("overwrite").parquet(f"{path}/rows")
+    got = seen.get
+    if got["dim"] != got["widest"]:
+        raise ValueError(f"vectors of {got['dim']} and {got['widest']} numbers in one index")
+    stats = {"n": got["n"], "dim": got["dim"] or 0}
+    flat.sparkSession.createDataFrame([tuple(stats.values())], "n long, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    return stats
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a finished index; an index whose rows do not agree with its numbers is an error."""
+    stats = spark.read.schema("n long, dim int").json(f"{path}/stats").first()
+    rows = spark.read.parquet(f"{path}/rows")
+    n = rows.count()
+    if stats is None or n != stats["n"]:
+        raise ValueError(f"{path} has {n} rows instead of {stats and stats['n']}")
+    return rows
+
+
+def analytics(agents: DataFrame, key: str, run: str) -> DataFrame:
+    """One JSON document of a run: totals, and a list of its agents in order of ``key`` (a bounded list)."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(key), *[F.col(c) for c in agents.columns if c != key])))
+    total = [F.sum(c).alias(f"total_{c}") for c, kind in agents.dtypes if c != key and kind in ("int", "bigint", "double")]
+    whole = agents.agg(F.count(F.lit(1)).alias("agents"), *total, parts.alias("agent_performance"))
+    return whole.select(F.lit(run).alias("run"), F.to_json(F.struct("*")).alias("document"))
+
+
 def as_document(rows: DataFrame, out: str = "document") -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias(out))
 
