@@ -15,11 +15,11 @@ pairs further above the threshold less.  Pairs are tested on 64 tokens first (th
 Large groups.  Only connectivity is asked for, so first every document is compared with one leader:
 of its root children's least ids the one most like it.  That is one pair a document, and it joins
 groups of near copies of any size.  Nodes whose documents all have one component are then finished;
-the trees look only for pairs between components.  Branching cannot part a group of near copies, and
-going on would repeat it in ever more nodes: a node that kept at least ``KEEPS`` of its parent's
-documents, nearly all of one component (up to ``REST`` others), is finished by comparing these others
-with all of it, dealt over tasks.  The same is done with such nodes at ``DEPTH``; all others that are
-still large there are compared in blocks of ``BLOCK`` documents, whole, and each block pair is a task.
+the trees look only for pairs between components.  Branching cannot part documents that are nearly
+all alike, and going on would repeat them in ever more nodes, so a node that kept at least ``KEEPS`` of
+its parent's documents is finished at once: where up to ``REST`` documents lie outside its largest
+component, by comparing these with all of it, dealt over tasks, else in blocks of ``BLOCK`` documents,
+whole, each block pair a task of its own.  The same is done with nodes still large at ``DEPTH``.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with
 nothing; shorter texts than five words have one shingle; a null id links with nothing and stays;
@@ -47,7 +47,7 @@ WIDTH, TREES, BRANCH, SMALL, DEPTH, BLOCK = 64, 6, 2, 48, 12, 256
 KEEPS = 0.75
 #: Documents outside an unparted node's largest component up to which they are compared with the whole
 #: node, and the documents of a node that one task then holds.
-REST, CHUNK = 1024, 2048
+REST, CHUNK = 256, 1024
 #: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
 ALIKE = 34
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it the join shuffles.
@@ -328,7 +328,7 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig", F.lit(None).cast("long").alias("was"))
     small: list[DataFrame] = []
     lopsided: list[DataFrame] = []
-    found: list[DataFrame] = []
+    dense: list[DataFrame] = []
     columns = ["node", "id", "comp", "sig"]
     for depth in range(DEPTH + 1):
         state = tables.table(f"level-{depth}", state)
@@ -336,24 +336,27 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
         stats = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("was").alias("was")).where("k > 1")
         unparted = F.lit(depth == DEPTH) | F.coalesce(F.col("n") >= KEEPS * F.col("was"), F.lit(False))
         rest = F.col("n") - F.col("top.c")
+        way = F.when(F.col("n") <= SMALL, "small").when(~unparted, "branch").when(rest <= REST, "lopsided").otherwise("blocks")
         # Written, so that the join below reads nothing but two shuffles and a hot node may be split.
-        stats = tables.table(f"stats-{depth}", stats.select("node", "n", F.col("top.comp").alias("main"), (unparted & (rest <= REST)).alias("ends")))
+        stats = tables.table(f"stats-{depth}", stats.select("node", "n", F.col("top.comp").alias("main"), way.alias("way")))
         alive = tables.table(f"alive-{depth}", state.drop("was").join(stats.hint("shuffle_hash"), "node"))
         tables.drop(f"level-{depth}", f"stats-{depth}")
-        small.append(alive.where(F.col("n") <= SMALL).select(*columns))
-        lopsided.append(alive.where((F.col("n") > SMALL) & F.col("ends")))
-        large = alive.where((F.col("n") > SMALL) & ~F.col("ends")).select(*columns, "n")
+        for way, kept in (("small", small), ("lopsided", lopsided), ("blocks", dense)):
+            kept.append(alive.where(F.col("way") == way).drop("way"))
+        large = alive.where("way = 'branch'").select(*columns, "n")
         if large.isEmpty():
             break
-        if depth == DEPTH:
-            found.append(_blocks(tables, large.drop("n")))
         state = large.mapInArrow(_branch, "node long, id long, comp long, sig binary, was long")
     # Nodes have names of their own at every depth, so all depths are finished together.
     sure = _lopsided(tables, "lopsided", texts, reduce(DataFrame.unionByName, lopsided))
     edges = edges if sure is None else edges.unionByName(sure)
-    together = reduce(DataFrame.unionByName, small).repartition("node").sortWithinPartitions("node")
-    pairs = reduce(DataFrame.unionByName, [together.mapInArrow(_exhaust, "a long, b long"), *found])
+    together = reduce(DataFrame.unionByName, small).select(*columns).repartition("node").sortWithinPartitions("node")
+    pairs = together.mapInArrow(_exhaust, "a long, b long")
+    crowds = reduce(DataFrame.unionByName, dense).select(*columns)
+    if not crowds.isEmpty():
+        pairs = pairs.unionByName(_blocks(tables, crowds))
     pairs = tables.table("pairs", pairs.distinct())
+    tables.drop(*[f"alive-{k}" for k in range(DEPTH + 1)])
     if pairs.isEmpty():
         return edges
     return edges.unionByName(_confirm(tables, "path", texts, pairs))
