@@ -44,7 +44,7 @@ THRESHOLD = 0.93
 SEED = 99
 #: Distinct vectors of a label up to which a plan is used; its blocks, scale, tables and probes.
 PLANS = (
-    (1 << 13, 1, 0.9, 5, 16), (1 << 17, 2, 0.6, 8, 32), (1 << 19, 2, 0.7, 9, 64),
+    (1 << 15, 1, 0.9, 5, 16), (1 << 17, 2, 0.6, 8, 32), (1 << 19, 2, 0.7, 9, 64),
     (1 << 21, 2, 0.8, 16, 64), (1 << 24, 3, 0.6, 11, 160), (None, 3, 0.7, 16, 320),
 )
 #: Differing sign bits of 64 up to which a meeting of two single vectors is looked at.

@@ -98,14 +98,14 @@ def test_every_plan_has_its_recall():
 def test_chance_meetings_do_not_grow_with_the_label():
     """Meetings a vector among random vectors of one label, at n, 2n, 4n and 8n."""
     met = []
-    for n in (5_000, 10_000, 20_000, 40_000):
+    for n in (10_000, 20_000, 40_000, 80_000):
         unit = np.random.default_rng(n).normal(size=(n, 64))
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         home, probe, _ = lattice.cells(unit, np.zeros(n, np.uint64), lattice.plan_of(n))
         cell, count = np.unique(home, return_counts=True)
         at = np.minimum(np.searchsorted(cell, probe), len(cell) - 1)
         met.append(((cell[at] == probe) * count[at]).sum() / n)
-    assert max(met) < 200 and met[3] < 1.5 * max(met[0], met[1])
+    assert max(met) < 350 and met[3] < met[1]
 
 
 def test_lattice_with_finer_cells_finds_nearly_all_pairs(spark, monkeypatch):
