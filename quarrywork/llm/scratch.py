@@ -1,8 +1,6 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Where it is unset and the master is local
-(tests, a laptop) a private folder is made once; on any other master that is an error, as executors
-would not see each other's files.  Tables are plain Parquet, so a lost executor costs a re-read and
+``session.shared_dir`` names the folder.  Tables are plain Parquet, so a lost executor costs a re-read and
 never a recomputation.  Results read some of these tables lazily, so what an operator has not dropped
 itself goes when the driver ends.
 """
@@ -10,30 +8,10 @@ itself goes when the driver ends.
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as a URI; a private one only where the session names none."""
-    named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        import shutil
-
-        path = tempfile.mkdtemp(prefix="quarrywork-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _OWN[app] = f"file://{path}"
-    return _OWN[app]
+from ..session import new_path
 
 
 def unused(rows: DataFrame, name: str) -> str:
@@ -44,10 +22,6 @@ def unused(rows: DataFrame, name: str) -> str:
     return name
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarrywork/{name}-{uuid.uuid4().hex}"
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,10 +29,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 _LEFT: set[str] = set()
+_HOOKED: set[str] = set()
 
 
 def _drop_left(spark: SparkSession) -> None:
-    """Drops what is left of the tables when the driver ends, where its session still runs."""
+    """Drops what is left when the driver ends, where its session still runs."""
     try:
         for path in list(_LEFT):
             drop_path(spark, path)
@@ -66,6 +41,16 @@ def _drop_left(spark: SparkSession) -> None:
         pass
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new path whose contents go when the driver ends."""
+    if spark.sparkContext.applicationId not in _HOOKED:
+        _HOOKED.add(spark.sparkContext.applicationId)
+        atexit.register(_drop_left, spark)
+    path = new_path(spark, name)
+    _LEFT.add(path)
+    return path
+
+
 class Scratch:
     """Writes tables for one operator run and drops those that are no longer read."""
 
@@ -74,10 +59,7 @@ class Scratch:
 
     def table(self, label: str, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads it (lineage ends here)."""
-        path = new_path(self.spark, f"{self.name}-{label}")
-        if not _LEFT:
-            atexit.register(_drop_left, self.spark)
-        _LEFT.add(path)
+        path = passing_path(self.spark, f"{self.name}-{label}")
         df.write.parquet(path)
         self._paths[label] = path
         return self.spark.read.schema(df.schema).parquet(path)

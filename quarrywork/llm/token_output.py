@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .encoding import shared_encoder
-from .scratch import new_path
+from .scratch import passing_path
 
 SEQ_LEN, ROWS = 2048, 256
 END_ID = 2
@@ -172,4 +172,4 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write to a new shared folder and read the files back."""
-    return read(write(docs, new_path(spark, "tokens"), tokenizer_path, **options))
+    return read(write(docs, passing_path(spark, "tokens"), tokenizer_path, **options))

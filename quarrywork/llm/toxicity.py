@@ -9,8 +9,8 @@ states.  Forward-backward marginals give every word of a text a probability; the
 comes from its most toxic word through a logistic curve fitted on the training documents, and the
 words above one half are the offending spans.
 
-The classifier is fitted on at most ``FIT_DOCS`` training documents a class (a documented bound, in
-the order of a hash of the id) of at most ``FIT_LENGTH`` characters each, so what the driver collects
+The classifier is fitted on at most ``FIT_DOCS`` toxic and ``FIT_CLEAN`` clean training documents (a
+documented bound, in the order of a hash of the id) of at most ``FIT_LENGTH`` characters each, so what the driver collects
 is bounded in rows and bytes; the model keeps weights only of the few types that speak for toxicity,
 found by their full 64-bit hashes.  Every document is scored by its whole text.
 
@@ -33,13 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import among_first
 from .scratch import unused
 from .wordhash import mix, slices, words
 
 SLOTS = 1 << 20
 CHUNK = 64
-#: Training documents of each class that the chain is fitted on at most, and their length.
-FIT_DOCS, FIT_LENGTH = 1200, 50_000
+#: Toxic and clean training documents that the chain is fitted on at most, and their length.
+FIT_DOCS, FIT_CLEAN, FIT_LENGTH = 1200, 2400, 50_000
 THRESHOLD = 0.7
 #: A type is toxic from so many places in toxic training documents, such log-odds and such a
 #: log-likelihood ratio on.
@@ -165,15 +166,17 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``fit_docs`` training rows a class, by the order of a hash.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int, fit_clean: int = FIT_CLEAN) -> list[tuple[str, int]]:
+    """Texts and labels of at most ``fit_docs`` toxic and ``fit_clean`` clean training rows, by the order of a hash.
 
     The sample is drawn from the labels, so what is broadcast to the texts' scan is that many ids.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
     named = named.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("id"), "id"]
-    some = named.where("toxic = 1").orderBy(*order).limit(fit_docs).unionByName(named.where("toxic = 0").orderBy(*order).limit(fit_docs))
+    named = named.withColumn("h", F.xxhash64("id"))
+    some = [named.where(F.col("toxic") == kind) for kind in (1, 0)]
+    some = [rows.where(among_first(rows, F.col("h"), most)) for rows, most in zip(some, (fit_docs, fit_clean))]
+    some = some[0].unionByName(some[1]).drop("h")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= FIT_LENGTH)
     # One text for each id, however often it repeats.
     rows = rows.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -203,9 +206,9 @@ def toxic_types(bucket: np.ndarray, size: int, before: np.ndarray, kinds: np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_docs: int = FIT_DOCS) -> Model:
+        fit_docs: int = FIT_DOCS, fit_clean: int = FIT_CLEAN) -> Model:
     """The model from labelled rows that are not held out."""
-    rows = sample(docs, labels, id_col, text_col, label_col, fit_docs)
+    rows = sample(docs, labels, id_col, text_col, label_col, fit_docs, fit_clean)
     return train([t for t, _ in rows], np.array([k for _, k in rows], np.int64))
 
 
