@@ -54,6 +54,19 @@ def tags(text: X.Text, base: tuple[Column, ...] = (), mapping: dict[str, tuple[s
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*base, *found))))
 
 
+def tags_in_order(text: X.Text, first: Column, mapping: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """``first`` and the tags of which a keyword is a substring, in the mapping's order, repeats kept."""
+    low = F.lower(X.col(text))
+    found = [F.when(X.contains_any(low, keys), F.lit(tag)) for tag, keys in (mapping or L.PDF_TAGS).items()]
+    return F.array_compact(F.array(first, *found))
+
+
+def goes_to(url: X.Text, patterns: Column) -> Column:
+    """Whether a URL contains one of an agent's patterns; an agent without any gets every URL."""
+    p = F.coalesce(patterns, F.array().cast("array<string>"))
+    return (F.size(p) == 0) | F.exists(p, lambda x: F.contains(F.coalesce(X.col(url), F.lit("")), x))
+
+
 def is_bot_check(html: X.Text) -> Column:
     return (F.length(X.col(html)) < 500) | (X.match_count(F.lower(X.col(html)), L.BOT_MARKS) >= 2)
 

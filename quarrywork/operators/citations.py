@@ -141,8 +141,8 @@ def preview(text: X.Text, most: int = 200) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
 
 
-def flattened(database: DataFrame, web: DataFrame) -> DataFrame:
-    """Citations of all sub-queries' results, in order of sub-query, source and rank.
+def flattened(database: DataFrame, web: DataFrame, *group: str) -> DataFrame:
+    """Citations of all sub-queries' results, in order of sub-query, source and rank, of each ``group``.
 
     ``database``: sub, rank, title, source, text, score; ``web``: sub, rank, title, url, snippet,
     content, score (sub and rank from 0).  Without a title, a chunk is named by its source; a web hit
@@ -150,9 +150,9 @@ def flattened(database: DataFrame, web: DataFrame) -> DataFrame:
     """
     ids = lambda kind: citation_id(F.lit(kind), F.col("sub") + 1, F.col("rank") + 1)
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("source"))
-    own = database.select("sub", "rank", F.lit("database").alias("type"), ids("DB").alias("citation_id"), title.alias("title"), F.col("source").alias("url"), preview("text").alias("content_preview"), F.col("score").cast("double").alias("score"), F.col("text").alias("full_content"))
+    own = database.select(*group, "sub", "rank", F.lit("database").alias("type"), ids("DB").alias("citation_id"), title.alias("title"), F.col("source").alias("url"), preview("text").alias("content_preview"), F.col("score").cast("double").alias("score"), F.col("text").alias("full_content"))
     full = F.coalesce(F.nullif("content", F.lit("")), F.col("snippet"))
-    hits = web.select("sub", "rank", F.lit("web").alias("type"), ids("WEB").alias("citation_id"), "title", "url", preview("snippet").alias("content_preview"), F.col("score").cast("double").alias("score"), full.alias("full_content"))
+    hits = web.select(*group, "sub", "rank", F.lit("web").alias("type"), ids("WEB").alias("citation_id"), "title", "url", preview("snippet").alias("content_preview"), F.col("score").cast("double").alias("score"), full.alias("full_content"))
     return own.unionByName(hits).withColumn("ord", F.struct("sub", "type", "rank"))
 
 
@@ -198,6 +198,26 @@ def as_strings(citations: X.Text) -> Column:
     return F.array_compact(F.transform(X.col(citations), one))
 
 
+def rendered(questions: DataFrame, citations: DataFrame, group: str = "item_id", question: str = "text") -> DataFrame:
+    """One report a question: its sections by sub-query (from 1) with numbered previews, an index of all
+    citations in order of id, and the counts of both kinds.
+
+    ``citations``: group, sub, type, rank, citation_id, title, url, content_preview.  A question without
+    any gets the heading and zeros.
+    """
+    ordered = lambda *by: F.array_sort(F.collect_list(F.struct(*by, "citation_id", "title", "url", "content_preview")))
+    entry = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **"), x["title"], F.lit("** ["), x["citation_id"], F.lit("]\n   "), x["content_preview"])
+    sections = citations.groupBy(group, "sub").agg(F.array_join(F.transform(ordered("type", "rank"), entry), "\n").alias("lines"))
+    sections = sections.withColumn("section", F.concat(F.lit("## Sub-query "), (F.col("sub") + 1).cast("string"), F.lit("\n\n"), "lines"))
+    body = sections.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "section"))), lambda x: x["section"]), "\n\n").alias("body"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("citation_id", "title", "url"))), lambda x: F.concat(F.lit("- ["), x["citation_id"], F.lit("] "), x["title"], F.lit(" - "), x["url"]))
+    index = citations.groupBy(group).agg(F.array_join(listed, "\n").alias("index"), F.count_if(F.col("type") == "database").alias("n_db"), F.count_if(F.col("type") == "web").alias("n_web"))
+    out = questions.select(group, F.col(question).alias("__q")).join(body, group, "left").join(index, group, "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    part = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(head), F.col(c))).otherwise("")
+    return out.select(group, F.concat(F.lit("# "), F.coalesce("__q", F.lit("")), part("\n\n", "body"), part("\n\n## Citations\n\n", "index"), F.lit("\n\nDatabase: "), n("n_db"), F.lit(", web: "), n("n_web")).alias("report"))
+
+
 #: Fixed value: what is added to an answer with uncited facts.
 NOTE = "\n\n**Note:** Some statements in this answer may benefit from additional citations. Please refer to the complete research report for detailed source information."
 

@@ -40,35 +40,35 @@ def accepted(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     This is the first maximal independent set in ``order``.  Rounds of two aggregates: a row that is
     the earliest open one in all of its keys is accepted, and all that share a key with it are
-    rejected.  Rounds go on until no row is open; a remainder of at most ``FEW`` entries is finished
-    by the plain loop.  Nothing is gathered by component.  ``order`` must be unique.
+    rejected.  Rounds go on until at most ``FEW`` entries (rows and keys) are open, which are finished by
+    the plain loop on the driver.  Nothing is gathered by component.  ``order`` must be unique.
     """
     kinds = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)])
     edges = rows.select(F.col(order).alias("o"), F.explode_outer(F.array_compact(kinds)).alias("k"))
-    open_, taken = edges, None
+    open_, taken = cut(edges), None
     for done in itertools.count(1):
+        if open_.count() <= FEW:
+            rest = _greedy(open_)
+            taken = rest if taken is None else taken.union(rest)
+            break
         least = open_.where("k IS NOT NULL").groupBy("k").agg(F.min("o").alias("m"))
         state = open_.join(least, "k", "left").groupBy("o").agg(F.max(F.when(F.col("m") < F.col("o"), 1).otherwise(0)).alias("later"))
         won = cut(state.where("later = 0").select("o"))
-        if won.isEmpty():
-            break
         taken = won if taken is None else taken.union(won)
         if done % 20 == 0:
             taken = cut(taken)
-        closed = open_.join(won, "o", "left_semi").where("k IS NOT NULL").select("k").distinct()
+        # Written before the joins, so that rows of a hot key may be split.
+        closed = cut(open_.join(won, "o", "left_semi").where("k IS NOT NULL").select("k").distinct())
         lost = open_.join(closed, "k", "left_semi").select("o").distinct()
         open_ = cut(open_.join(won, "o", "left_anti").join(lost, "o", "left_anti"))
-        if open_.count() <= FEW:
-            taken = taken.union(_greedy(open_))
-            break
-    return rows.join(taken.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left_semi") if taken is not None else rows
+    return rows.join(taken.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left_semi")
 
 
 def _greedy(open_: DataFrame) -> DataFrame:
     """The accepted ones of few open rows (o, k), row by row in order of o."""
     marked, won = set(), []
     for o, group in itertools.groupby(open_.orderBy("o").collect(), key=lambda r: r.o):
-        own = {r.k for r in group}
+        own = {r.k for r in group if r.k is not None}
         if not own & marked:
             marked |= own
             won.append((o,))

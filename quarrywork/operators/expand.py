@@ -171,6 +171,12 @@ CHATTY = ("here are", "here is", "sure", "certainly", "of course", "below are",
 PLACEHOLDER = r"(?i)\[[^\]]*\]|<[^>]*>|\bquery \d+\b|\.\.\."
 
 
+def query_list(spark: SparkSession, queries: Sequence[str], most: int | None = None) -> DataFrame:
+    """ord, query: a constant list of queries, the first ``most`` of it (none or 0: all)."""
+    literal = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(q).alias("query")) for i, q in enumerate(queries[: most or None])])
+    return spark.range(1).select(F.explode(literal).alias("q")).select("q.*")
+
+
 def parsed_list(output: X.Text, least: int = 10, most: int = 10) -> Column:
     """Lines of a numbered or bulleted list without their marks, longer than ``least`` characters.
 

@@ -4,7 +4,7 @@ words that occur."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import lexicon as L
 from ..functions import classify as C, content as T, html as H, json_repair as J, scoring as S, text as X, urls as U
@@ -779,3 +779,109 @@ SELECT r.record_id, chunk_id, chunk_hash FROM c JOIN r USING (doc_id) WHERE chun
 def record_chunks(spark, d):
     rows = read(spark, d, "documents").select(F.col("text").alias("text_extracted"), F.substring("text", 1, 50).alias("abstract"), F.concat(F.lit("https://x/"), "source").alias("link"), F.col("doc_id").alias("row_idx"), F.lit(None).cast("double").alias("relevance_score"))
     return chunking.record_chunks(rows).select("record_id", "chunk_id", F.md5("chunk_text").alias("chunk_hash"))
+
+
+# Reports, streams and state machines ----------------------------------------------------------------------------
+
+
+_MATERIAL = """
+WITH q AS (SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) v(item_id, text)), c AS (SELECT conv_id % 2 + 1 AS item_id, (turn % 3)::INT AS sub, CASE WHEN turn % 2 = 0 THEN 'database' ELSE 'web' END AS type, (conv_id * 100 + turn)::INT AS rank,
+  CASE WHEN turn % 2 = 0 THEN 'DB-' ELSE 'WEB-' END || (turn % 3 + 1) || '-' || (conv_id * 100 + turn + 1) AS citation_id, role AS title, 'u' || turn AS url, substr(coalesce(text, ''), 1, 30) AS content_preview FROM conversations)"""
+
+
+@query(_MATERIAL + """, n AS (SELECT *, row_number() OVER (PARTITION BY item_id, sub ORDER BY type, rank, citation_id) AS i FROM c),
+s AS (SELECT item_id, sub, '## Sub-query ' || (sub + 1) || chr(10) || chr(10) || string_agg(i || '. **' || title || '** [' || citation_id || ']' || chr(10) || '   ' || content_preview, chr(10) ORDER BY i) AS section FROM n GROUP BY item_id, sub),
+b AS (SELECT item_id, string_agg(section, chr(10) || chr(10) ORDER BY sub) AS body FROM s GROUP BY 1),
+x AS (SELECT item_id, string_agg('- [' || citation_id || '] ' || title || ' - ' || url, chr(10) ORDER BY citation_id, title, url) AS idx, count(*) FILTER (WHERE type = 'database') AS n_db, count(*) FILTER (WHERE type = 'web') AS n_web FROM c GROUP BY 1)
+SELECT q.item_id::BIGINT AS item_id, '# ' || coalesce(text, '') || coalesce(chr(10) || chr(10) || body, '') || coalesce(chr(10) || chr(10) || '## Citations' || chr(10) || chr(10) || idx, '') || chr(10) || chr(10) || 'Database: ' || coalesce(n_db, 0) || ', web: ' || coalesce(n_web, 0) AS report
+FROM q LEFT JOIN b ON q.item_id = b.item_id LEFT JOIN x ON q.item_id = x.item_id""")
+def rendered_report(spark, d):
+    """Sections, citation index and counts; the third question has no citations."""
+    t, c = F.col("turn"), F.col("conv_id")
+    rank, even = (c * 100 + t).cast("int"), F.pmod(t, F.lit(2)) == 0
+    sub = F.pmod(t, F.lit(3)).cast("int")
+    name = F.concat(F.when(even, "DB-").otherwise("WEB-"), (sub + 1).cast("string"), F.lit("-"), (rank + 1).cast("string"))
+    rows = read(spark, d, "conversations").select((F.pmod(c, F.lit(2)) + 1).alias("item_id"), sub.alias("sub"), F.when(even, "database").otherwise("web").alias("type"), rank.alias("rank"), name.alias("citation_id"), F.col("role").alias("title"), F.concat(F.lit("u"), t.cast("string")).alias("url"), F.substring(F.coalesce("text", F.lit("")), 1, 30).alias("content_preview"))
+    questions = spark.createDataFrame([(1, "one"), (2, "two"), (3, None)], "item_id long, text string")
+    return K.rendered(questions, rows)
+
+
+@query()
+def sub_query_material(spark, d):
+    """Chunks and web hits of every question's sub-queries, tested against its parts."""
+    from .pipelines import build_index, material
+
+    ship_package(spark)
+    path = new_path(spark, "chunks")
+    sinks.write_index(build_index(read(spark, d, "documents")), path)
+    got = material(read(spark, d, "benchmark"), sinks.read_index(spark, path), searched(spark, d).drop("item_id").distinct(), agents=_ROUTES)
+    return got.select("item_id", "sub", "type", "rank", "citation_id", "title", "url", F.md5("full_content").alias("content"))
+
+
+@query(f"""
+WITH h AS (SELECT item_id, query, rank, href FROM ({_SEARCH})), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_id, split_part(replace(regexp_replace(trim(lower(href)), '/+$', ''), 'www.', ''), '?', 1) ORDER BY query, rank) = 1)
+SELECT item_id, query, rank, href FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY query, rank) <= 5""")
+def web_first_five(spark, d):
+    """Distinct URLs of each question, the first five of them."""
+    rows = searched(spark, d).select("item_id", "query", "rank", "href")
+    first = D.keep_first(rows.withColumn("k", F.struct("item_id", U.normalize("href"))), "k", ["query", "rank"]).drop("k")
+    return R.last_rows(first, "item_id", [F.col("query"), F.col("rank")], 5)
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_concat([lang], list_filter(['a', 'b', 'c'], lambda t: (t = 'a' AND (contains(lower(text), 'the') OR contains(lower(text), 'of'))) OR (t = 'b' AND contains(lower(text), 'que')) OR (t = 'c' AND contains(lower(text), 'der')))), ',') AS tags,
+  CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN contains('http://' || source || '.org', '_1') ELSE contains('http://' || source || '.org', '_2') OR contains('http://' || source || '.org', '_3') END AS goes FROM documents""")
+def ordered_tags(spark, d):
+    patterns = F.when(F.pmod("doc_id", F.lit(3)) == 1, F.array(F.lit("_1"))).when(F.pmod("doc_id", F.lit(3)) == 2, F.array(F.lit("_2"), F.lit("_3")))
+    return read(spark, d, "documents").select("doc_id", F.array_join(C.tags_in_order("text", F.col("lang"), {"a": ("the", "of"), "b": ("que",), "c": ("der",)}), ",").alias("tags"), C.goes_to(F.concat(F.lit("http://"), "source", F.lit(".org")), patterns).alias("goes"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
+g(user_id, event_id, i, room, last, delay) AS (SELECT user_id, event_id, i, 1.0::DOUBLE, t, 0.0::DOUBLE FROM e WHERE i = 1 UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN room >= 1 THEN room - 1 ELSE room END, t, CASE WHEN room >= 1 THEN 0.0 ELSE (1 - room) / 0.00001::DOUBLE END FROM (
+    SELECT e.user_id, e.event_id, e.i, e.t, least(2.0::DOUBLE, g.room + (e.t - g.last) * 0.00001::DOUBLE) AS room FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1))
+SELECT event_id, round(delay, 3) AS delay FROM g""")
+def token_bucket(spark, d):
+    """A bucket of two tokens, one more in 100,000 seconds, for each user."""
+    ship_package(spark)
+    rows = read(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"))
+    rows = rows.withColumn("o", F.struct("t", "event_id"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id"))
+    return R.token_bucket(rows.drop("o").withColumn("nth", nth), "user_id", "nth", "t", 0.00001, 2.0).select("event_id", F.round("delay", 3).alias("delay"))
+
+
+@query("SELECT (row_number() OVER () - 1)::INT AS ord, q AS query FROM (SELECT unnest(['a', 'b', 'c']) AS q)")
+def static_queries(spark, d):
+    return E.query_list(spark, ["a", "b", "c", "d"], 3)
+
+
+@query("SELECT DISTINCT split_part(replace(regexp_replace(trim(lower(url)), '/+$', ''), 'www.', ''), '?', 1) AS url FROM pages")
+def stream_distinct(spark, d):
+    """Records as a stream of files, each twice; one of each URL is written, exactly once."""
+    from ..schemas import CORPUS_RECORD
+    from ..streaming import ingest
+
+    source, target, mark = (new_path(spark, n) for n in ("stream-in", "stream-out", "stream-mark"))
+    rows = read(spark, d, "pages").select(F.col("url").alias("link"), F.lit("t").alias("title"), F.lit("2024-01-01T00:00:00").alias("extraction_timestamp"))
+    for _ in range(2):
+        rows.write.mode("append").json(source)
+    stream = ingest.distinct_urls(ingest.read_records(spark, source, CORPUS_RECORD)).select("link")
+    ingest.append_to(stream, target, mark).awaitTermination()
+    return spark.read.schema("link string").json(target).select(U.normalize("link").alias("url"))
+
+
+@query(f"""{_STATE.replace("WITH n", "WITH RECURSIVE n")}, s AS (SELECT * FROM n WHERE page_id % 50 = 0),
+f AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, ['u' || u, 't' || t, 'c' || c] AS keys FROM n WHERE u NOT IN (SELECT u FROM s) AND t NOT IN (SELECT t FROM s) AND c NOT IN (SELECT c FROM s)),
+g(i, page_id, ok, marked) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL
+  SELECT f.i, f.page_id, NOT list_has_any(g.marked, f.keys), CASE WHEN list_has_any(g.marked, f.keys) THEN g.marked ELSE list_concat(g.marked, f.keys) END FROM g JOIN f ON f.i = g.i + 1)
+SELECT page_id FROM g WHERE ok""")
+def append_new(spark, d):
+    """Rows that neither the state nor an earlier row knows, appended and counted."""
+    rows = state_rows(spark, d).withColumn("ord", F.col("page_id"))
+    path = new_path(spark, "new")
+    known = D.state_of(rows.where("page_id % 50 = 0"))
+    _, done = sinks.append_new(rows.where("page_id % 50 <> 0"), known, path, "url", "title", "content")
+    written = sinks.stats(spark, path)
+    assert written["entries"] == done["written"] and written["bytes"] > 0
+    return spark.read.schema("page_id long").json(path)

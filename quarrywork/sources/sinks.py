@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
+from ..functions import text as X, urls as U
+from ..operators import dedup as D
 from ..schemas import VERSION
+from ..session import cut
 
 
 def append_jsonl(rows: DataFrame, path: str) -> int:
@@ -14,6 +17,32 @@ def append_jsonl(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def append_new(rows: DataFrame, known: DataFrame, path: str, url: str = "link", title: str = "title", content: str = "text_extracted", order: str = "ord") -> tuple[DataFrame, dict[str, int]]:
+    """Appends the rows that neither the state (kind, key) nor an earlier row of their own run knows.
+
+    A row without title or content is told by its URL alone.  Returns the state that the written rows
+    leave behind and the numbers of rows written and held back.
+    """
+    spoken = (F.coalesce(F.trim(title), F.lit("")) != "") & (F.coalesce(F.trim(content), F.lit("")) != "")
+    told = rows.withColumns({"__u": F.md5(U.normalize(url)), "__t": F.when(spoken, X.normalize(title)), "__c": F.when(spoken, F.md5(X.normalize(content)))})
+    for column, kind in (("__u", "url"), ("__t", "title"), ("__c", "content")):
+        told = told.join(known.where(F.col("kind") == kind).select(F.col("key").alias(column)).distinct(), column, "left_anti")
+    kept = cut(D.accepted(told, ["__u", "__t", "__c"], order))
+    n = append_jsonl(kept.drop("__u", "__t", "__c"), path)
+    keys = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")) for c, kind in (("__u", "url"), ("__t", "title"), ("__c", "content"))])
+    state = known.select("kind", "key").unionByName(kept.select(F.explode(keys).alias("s")).select("s.kind", "s.key").where("key IS NOT NULL")).distinct()
+    return state, {"written": n, "duplicates": rows.count() - n}
+
+
+def stats(spark: SparkSession, path: str) -> dict[str, int]:
+    """Entries and bytes of a folder of JSON lines; both 0 where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return {"entries": 0, "bytes": 0}
+    return {"entries": spark.read.text(path).where(F.trim("value") != "").count(), "bytes": fs.getContentSummary(p).getLength()}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

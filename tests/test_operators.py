@@ -36,6 +36,14 @@ def test_accepted_settles_long_chains(spark, monkeypatch):
         assert sorted(r.ord for r in D.accepted(df, ["u", "t"], "ord").collect()) == list(range(0, n, 2))
 
 
+def test_accepted_keeps_rows_without_keys(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, None), (2, None, None), (3, "a", None), (4, "a", None)], "ord long, u string, t string")
+    for few in (D.FEW, 0):
+        monkeypatch.setattr(D, "FEW", few)
+        assert sorted(r.ord for r in D.accepted(df, ["u", "t"], "ord").collect()) == [1, 2, 3]
+        assert D.accepted(df.where("false"), ["u", "t"], "ord").count() == 0
+
+
 def test_dedup_modes(spark):
     df = spark.createDataFrame([(1, "u1", "t1"), (2, "u2", "t1"), (3, "u2", "t2")], "ord long, url string, title string")
     assert sorted(r.ord for r in D.accepted(df, ["url", "title"], "ord").collect()) == [1, 3]

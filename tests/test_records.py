@@ -247,3 +247,57 @@ def test_parsed_lists_fall_back(spark):
         E.parsed_list(F.lit("a line of some words\nx")).alias("c"), E.parsed_list(F.lit(None).cast("string")).alias("d"),
     )
     assert (r.a, r.b, r.c, r.d) == (["first real query", "second real query"], ["Is this a question line?"], ["a line of some words"], None)
+
+
+def test_material_of_sub_queries(spark, sf):
+    """Chunks are the nearest ones to the agent's form of each variant, hits the first ones of the variant."""
+    from quarrywork.plans import record_queries as M
+
+    got = M.sub_query_material(spark, sf).collect()
+    questions = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    variants = {r.item_id: r.v for r in spark.createDataFrame(list(questions.items()), "item_id long, text string").select("item_id", E.variants("text").alias("v")).collect()}
+    assert {(r.item_id, r["sub"]) for r in got} == {(i, k) for i, v in variants.items() for k in range(len(v))}
+    hits = {}
+    for r in M.searched(spark, sf).drop("item_id").distinct().collect():
+        hits.setdefault(r["query"], {})[r["rank"]] = r
+    web = {(r.item_id, r["sub"], r["rank"]): r for r in got if r.type == "web"}
+    for (i, k, rank), r in web.items():
+        assert (r.url, r.title) == (hits[variants[i][k]][rank + 1].href, hits[variants[i][k]][rank + 1].title) and r.citation_id == f"WEB-{k + 1}-{rank + 1}"
+    asked = {(i, k): q for i, v in variants.items() for k, q in enumerate(v)}
+    routed = {(r.i, r.k): r.agent_query for r in E.routed(spark.createDataFrame([(i, k, q) for (i, k), q in asked.items()], "i long, k int, q string"), "q", M._ROUTES).collect()}
+    index = build_index(spark.read.parquet(f"{sf}/documents.parquet"))
+    some = dict(list(routed.items())[:3])
+    unit = spark.createDataFrame([(f"{i}-{k}", q) for (i, k), q in some.items()], "query_id string, q string").select("query_id", V.hash_embedding(F.col("q")).alias("unit"))
+    best = {(r.query_id, r["rank"] - 1): r.id for r in V.top_k(unit, index, 3, digits=9).collect()}
+    assert all(best[f"{r.item_id}-{r['sub']}", r["rank"]] == r.url for r in got if r.type == "database" and (r.item_id, r["sub"]) in some)
+
+
+def test_stream_state_is_bounded_in_size(spark, tmp_path):
+    from quarrywork.streaming import ingest
+
+    def run(most):
+        for k, links in enumerate((["a", "b", "c"], ["d", "a"])):
+            folder = tmp_path / f"in{most}"
+            folder.mkdir(exist_ok=True)
+            (folder / f"{k}.json").write_text("\n".join(json.dumps({"link": f"http://{x}.com", "source_domain": "s", "extraction_timestamp": "2024-01-01T00:00:00"}) for x in links))
+        rows = ingest.read_records(spark, f"file://{tmp_path}/in{most}", CORPUS_RECORD)
+        target = f"file://{tmp_path}/out{most}"
+        ingest.append_to(ingest.accepted(rows, most=most), target, f"file://{tmp_path}/mark{most}").awaitTermination()
+        got = spark.read.schema("link string, accepted boolean").json(target).collect()
+        return sorted(r.link for r in got if r.accepted)
+
+    assert run(None) == [f"http://{x}.com" for x in "abcd"]
+    assert len(run(1)) >= 4
+
+
+def test_append_new_and_stats(spark, tmp_path):
+    schema = "link string, title string, text_extracted string, ord long"
+    path = f"file://{tmp_path}/out"
+    assert sinks.stats(spark, path) == {"entries": 0, "bytes": 0}
+    state = spark.createDataFrame([], "kind string, key string")
+    first = spark.createDataFrame([("http://a.com", "T", "x", 1), ("http://www.a.com/", "U", "y", 2), ("http://b.com", "", "x", 3), ("http://c.com", "t", "z", 4)], schema)
+    state, done = sinks.append_new(first, state, path)
+    assert done == {"written": 2, "duplicates": 2}
+    state, done = sinks.append_new(spark.createDataFrame([("http://b.com?x", "V", "v", 1), ("http://e.com", "W", "X ", 2), ("http://f.com", None, None, 3)], schema), state, path)
+    assert done == {"written": 1, "duplicates": 2} and sinks.stats(spark, path)["entries"] == 3
+    assert sorted(r.link for r in spark.read.schema(schema).json(path).collect()) == ["http://a.com", "http://b.com", "http://f.com"]
