@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .license_texts import TEXTS
 
 #: Names that notices use, by SPDX id (families without a version under the family's name).
@@ -96,3 +98,19 @@ def whole_texts(short: list[tuple[str, str]]) -> list[tuple[str, str]]:
             ends = [body] + ([body[: body.index(_END) + len(_END)], body[: body.index(_END)]] if _END in body else [])
             found += [(name, e.replace(_FSF[0], old)) for e in ends for old in (_FSF if _FSF[0] in e else _FSF[:1])]
     return found
+
+
+def paragraphs(texts: list[tuple[str, str]], least: int) -> list[tuple[str, str]]:
+    """(license, paragraph) of whole texts: those of ``least`` characters that stand under one name only.
+
+    Short bodies have a paragraph a line; in long texts a blank line ends one.
+    """
+    names: dict[str, set[str]] = {}
+    first: dict[str, tuple[str, str]] = {}
+    for name, text in texts:
+        for part in re.split(r"\n[ \t]*\n" if "\n\n" in text.strip() and text.count("\n") > 40 else r"\n", text):
+            key = " ".join(re.findall("[0-9a-z]+", part.lower()))
+            if len(key) >= least:
+                names.setdefault(key, set()).add(name.removesuffix("-or-later"))
+                first.setdefault(key, (name, part))
+    return [first[key] for key, own in names.items() if len(own) == 1]

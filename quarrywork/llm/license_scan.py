@@ -3,8 +3,10 @@
 A text is brought to a canonical form: ASCII letters lower-cased, copyright lines dropped, equivalent
 spellings made one, and everything but ASCII letters and digits removed between words.  The digest
 of the whole canonical text is hash-joined to the digests of the known licences.  The same lookup is
-made for each line that speaks of a licence, so that notices inside other texts are found; a line is
-a text of its own here.
+made for each line that speaks of a licence, and for each paragraph of several lines (between blank
+lines) that does, so that notices and parts of licences inside other texts are found, behind the marks of
+a comment, too; a line or paragraph is a text of its own here.  Paragraphs are known by those of the
+whole texts, of at least ``PARAGRAPH`` characters, that stand in one licence only.
 
 The catalogue of digests is a constant of the package (some 16,000 notices and whole texts, see
 ``license_catalogue``), so it is broadcast.  A notice in other words, and a text that is neither in
@@ -19,10 +21,11 @@ are ignored by ``scan`` and kept by ``unlicensed``.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .license_catalogue import notices, whole_texts
+from .license_catalogue import notices, paragraphs, whole_texts
 from .scratch import unused
 
 #: Equivalent spellings, applied in this order to text in lower case.
@@ -47,7 +50,11 @@ _BASE = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
-KNOWN = (*_BASE, *whole_texts([(n, t) for n, t in _BASE if n in ("MIT", "ISC") and len(t) > 200]), *notices())
+_WHOLE = whole_texts([(n, t) for n, t in _BASE if n in ("MIT", "ISC") and len(t) > 200])
+#: Characters of a paragraph by which a licence is known.
+PARAGRAPH = 80
+KNOWN = (*_BASE, *_WHOLE, *notices())
+PARTS = paragraphs([(n, t) for n, t in (*_BASE, *_WHOLE) if len(t) > 200], PARAGRAPH)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that opens with a copyright mark and names a year or "all rights reserved".
@@ -66,32 +73,45 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
+def catalogue(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """license, digest: one row for each known digest, computed by the same expressions."""
-    rows = F.from_json(F.lit(json.dumps([{"license": name, "text": text} for name, text in KNOWN])), "array<struct<license:string,text:string>>")
-    known = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", digest(F.col("k.text")).alias("digest"))
-    return known.groupBy("digest").agg(F.min("license").alias("license"))
+    rows = F.from_json(F.lit(json.dumps([{"license": name, "text": text} for name, text in known])), "array<struct<license:string,text:string>>")
+    rows = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", digest(F.col("k.text")).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+#: What a line, and what a paragraph, has that can be in the catalogue.
+LINE_MARK, PARAGRAPH_MARK = "(?i)licen[sc]|spdx|permission|copyright", "(?i)licen[sc]|permission|copyright|warrant|redistribut"
+BLANK_LINE = r"\n[ \t]*\n"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, digest, license (of the whole text, else null), notices (of lines)."""
+    """One row per document: id, digest, license (of the whole text, else null), notices (of lines and paragraphs)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Lines that can be notices: those with the stem of the word, in any case and spelling, or a mark.
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("(?i)licen[sc]|spdx|permission|copyright"))
-    rows = docs.select(F.col(id_col).alias("__id"), digest(text).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("__lines"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(LINE_MARK))
+    some = F.when(text.rlike(BLANK_LINE), F.filter(F.split(text, BLANK_LINE, -1), lambda x: x.rlike(PARAGRAPH_MARK))).otherwise(F.array().cast("array<string>"))
+    digests = lambda parts: F.transform(parts, lambda x: F.sha2(canonical(x), 256))
+    rows = docs.select(F.col(id_col).alias("__id"), digest(text).alias("digest"), digests(lines).alias("__lines"), digests(some).alias("__some"))
     known = catalogue(spark)
     out = rows.join(F.broadcast(known), "digest", "left")
-    # The catalogue is a constant: literal maps in the lines' expression, one for each start of a digest.
-    parts: list[dict[str, str]] = [{} for _ in range(4096)]
-    for r in known.collect():
-        parts[int(r["digest"][:3], 16)][r["digest"]] = r["license"]
-    found = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
-    part = lambda d: F.get(found, F.conv(F.substring(d, 1, 3), 16, 10).cast("int"))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("__lines", lambda d: F.try_element_at(part(d), d)), lambda n: n.isNotNull())))
+    # The catalogues are constants: literal maps in the expression, one for each start of a digest.
+    whole, part = _lookup(known, 12), _lookup(catalogue(spark, PARTS), 8)
+    names = F.concat(F.transform("__lines", whole), F.transform("__some", lambda d: F.coalesce(whole(d), part(d))))
+    names = F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull())))
     return out.select(F.col("__id").alias(id_col), "digest", "license", F.array_join(names, ",").alias("notices"))
 
 
+def _lookup(known: DataFrame, bits: int):
+    """A function from a digest to its licence, null where it is unknown."""
+    starts: list[dict[str, str]] = [{} for _ in range(1 << bits)]
+    for r in known.collect():  # a constant of the package
+        starts[int(r["digest"][:3], 16) >> (12 - bits)][r["digest"]] = r["license"]
+    found = F.from_json(F.lit(json.dumps(starts)), "array<map<string,string>>")
+    start = lambda d: F.shiftright(F.conv(F.substring(d, 1, 3), 16, 10).cast("int"), 12 - bits)
+    return lambda d: F.try_element_at(F.get(found, start(d)), d)
+
+
 def unlicensed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose whole text is no known licence, unchanged."""
     own, known = unused(docs, "__qw_digest"), unused(docs, "__qw_known")

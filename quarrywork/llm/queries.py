@@ -86,18 +86,23 @@ def _license_sql() -> str:
             x = f"replace({x}, {quote(old)}, {quote(new)})"
         return f"trim(regexp_replace({x}, '[^0-9a-z]+', ' ', 'g'))"
 
-    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in license_scan.KNOWN)
+    values = ", ".join(f"({quote(name)}, {quote(text)}, true)" for name, text in license_scan.KNOWN)
+    values += "".join(f", ({quote(name)}, {quote(text)}, false)" for name, text in license_scan.PARTS)
     return f"""
-WITH given(license, text) AS (VALUES {values}),
-known AS (SELECT sha256({canonical("text")}) AS digest, min(license) AS license FROM given GROUP BY 1),
+WITH given(license, text, whole) AS (VALUES {values}),
+known AS (SELECT sha256({canonical("text")}) AS digest, min(license) AS license, min(license) FILTER (WHERE whole) AS entire FROM given GROUP BY 1),
 d AS (SELECT row_number() OVER () AS nr, doc_id, text, sha256({canonical("text")}) AS digest FROM documents),
 lines AS (
   SELECT nr, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
-found AS (
-  SELECT nr, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices
-  FROM lines JOIN known k ON sha256({canonical("line")}) = k.digest
-  WHERE regexp_matches(line, '(?i)licen[sc]|spdx|permission|copyright') GROUP BY nr)
-SELECT doc_id, d.digest, k.license, coalesce(notices, '') AS notices
+paragraphs AS (
+  SELECT nr, unnest(regexp_split_to_array(text, {quote(license_scan.BLANK_LINE)})) AS line FROM d WHERE regexp_matches(coalesce(text, ''), {quote(license_scan.BLANK_LINE)})),
+parts AS (
+  SELECT nr, line, false AS several FROM lines WHERE regexp_matches(line, {quote(license_scan.LINE_MARK)})
+  UNION ALL SELECT nr, line, true FROM paragraphs WHERE regexp_matches(line, {quote(license_scan.PARAGRAPH_MARK)})),
+named AS (
+  SELECT nr, CASE WHEN several THEN coalesce(k.entire, k.license) ELSE k.entire END AS license FROM parts JOIN known k ON sha256({canonical("line")}) = k.digest),
+found AS (SELECT nr, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM named WHERE license IS NOT NULL GROUP BY nr)
+SELECT doc_id, d.digest, k.entire AS license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN known k ON d.digest = k.digest LEFT JOIN found ON found.nr = d.nr
 """
 

@@ -219,6 +219,28 @@ def test_license_catalogue_is_whole(spark):
     assert {r.doc_id: r.notices for r in got} == dict(enumerate(n for n, _ in lines))
 
 
+def test_license_paragraphs_inside_other_texts(spark):
+    """Parts of licences between other text, behind comment marks, in DuckDB's reading as in ours."""
+    import duckdb
+
+    from quarrywork.llm.license_texts import TEXTS
+    from quarrywork.llm.queries import ORACLE_SQL
+
+    assert len(license_scan.PARTS) > 100
+    mit = next(t for n, t in license_scan.KNOWN if n == "MIT").split("\n")[0]
+    words = mit.split(" ")
+    comment = "/*\n" + "\n".join(" * " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + "\n */"
+    apache = next(t for n, t in license_scan.PARTS if n == "Apache-2.0" and "\n" in t.strip())
+    rows = [(1, "int main();\n\n" + comment + "\n\nreturn 0;"), (2, "text\n \n" + apache + "\n\nmore text"), (3, comment), (4, "a\n\n" + comment + " and more\n\nb"), (5, None), (6, "a\n\nb\nc"), (7, TEXTS["Apache-2.0"]), (8, mit), (9, "readme\n\n" + mit + "\n\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in license_scan.scan(docs).collect()}
+    assert got[1] == "MIT" and got[2] == "Apache-2.0" and got[3] == got[4] == got[5] == got[6] == "" and "Apache-2.0" in got[7] and got[8] == "" and got[9] == "MIT"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: (r[2], r[3]) for r in con.execute(ORACLE_SQL["op6_license_scan"]).fetchall()} == {r.doc_id: (r.license, r.notices) for r in license_scan.scan(docs).collect()}
+
+
 def hashes_of(words):
     return np.array([lm_score.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in words], np.uint64)
 
