@@ -14,13 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows that are sent to a Python worker at once: whole texts, so fewer than Spark's 10,000.
+BATCH_ROWS = 2000
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``quarrywork`` importable in Python workers, once for each application.
 
     Workers do not see the driver's ``sys.path``; the package goes to them as a zip file through
-    Spark's file server.
+    Spark's file server.  Where the session does not say how many rows go to a worker at once, it is
+    told ``BATCH_ROWS``, as the texts of a batch are in memory together.
     """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
