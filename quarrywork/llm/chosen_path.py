@@ -40,6 +40,7 @@ from .components import by_row, connected_components
 from .ranks import rank_within
 from .scratch import Scratch, unused
 from .wordhash import mix, shingle_sets
+from .worker import lean
 
 SHINGLE, THRESHOLD = 5, 75
 WIDTH, TREES, BRANCH, SMALL, DEPTH, BLOCK = 64, 6, 2, 48, 12, 256
@@ -74,6 +75,7 @@ def minwise(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, roots
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
@@ -197,6 +199,7 @@ def _lopsided(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) ->
     return found
 
 
+@lean
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -204,6 +207,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
+@lean
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by node, chunk and kind: the others (kind 0, at most ``REST``) come first and are
     kept, then the node's documents stream by and are compared with them on their full sets."""
@@ -272,6 +276,7 @@ def _confirm(tables: Scratch, label: str, texts: DataFrame, pairs: DataFrame) ->
     held = tables.table(f"{label}-texts", texts.join(need, "id"))
     left, right = held.select(F.col("id").alias("a"), F.col("text").alias("ta")), held.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import by_row, connected_components
 from .scratch import Scratch, unused
 from .wordhash import mix
+from .worker import lean
 
 THRESHOLD = 0.93
 SEED = 99
@@ -150,6 +151,7 @@ def _label_digest(label) -> tuple[int, int]:
     return tuple(int.from_bytes(raw[k : k + 8], "little", signed=True) for k in (0, 8))
 
 
+@lean
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, vector, label -> id, group (label and length, 128 bits), hashes and bytes of the vector as
     doubles; null where unusable."""
@@ -193,6 +195,7 @@ def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             yield at[own], unit[own], batch.column(1).to_numpy()[at[own]].view(np.uint64), int(k)
 
 
+@lean
 def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, grp, plan, vec, lab -> id, first home cell, grp, lab, unit vector."""
     for batch in batches:
@@ -202,6 +205,7 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(home[:, 0].view(np.int64)), batch.column(1).take(pa.array(at)), batch.column(4).take(pa.array(at)), pa.array(list(unit))], names=["id", "cell", "grp", "lab", "unit"])
 
 
+@lean
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, grp, plan, vec, clique -> cell, clique, signs, home."""
     for batch in batches:
@@ -316,6 +320,7 @@ def _between(tables: Scratch, member: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, got.where("a IS NOT NULL").select("a", "b").distinct()
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block pair; a pair has at most a few ``BLOCK`` rows and is compared at once."""
     held: list[pa.RecordBatch] = []

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .encoding import shared_encoder
 from .ranks import rank_within
 from .scratch import Scratch, unused
+from .worker import lean
 
 CAPACITY, UNIT, END_ID = 2048, 4, 1
 #: Remainders are cut at their last multiple of so many tokens.
@@ -56,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """Pieces of each document: start, length, digest of its ids (and the ids)."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, ids, ends in shared_encoder(tokenizer_path).flat(batch.column(1), end_id):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .encoding import shared_encoder
 from .scratch import passing_path
+from .worker import lean
 
 SEQ_LEN, ROWS = 2048, 256
 END_ID = 2
@@ -90,6 +91,7 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = END_ID,
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
     dealt = dealt.sortWithinPartitions("doc_id", "text")
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()

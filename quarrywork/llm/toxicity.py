@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from .sampling import among_first
 from .scratch import unused
 from .wordhash import mix, slices, words
+from .worker import lean
 
 SLOTS = 1 << 20
 CHUNK = 64
@@ -293,6 +294,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """The ``keep`` columns and a score in [0, 1] for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers, whatever the corpus
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -310,6 +312,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Offending words: id, start and end (bytes of the UTF-8 text), probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0

@@ -22,7 +22,7 @@ _LOWER[65:91] += 32
 #: A random odd value for each byte, the same for both cases of a letter.
 _VALUE = (_RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[_LOWER]
 #: Bytes of text whose arrays are held at once (a longer text is one slice of its own).
-SLICE = 1 << 21
+SLICE = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 

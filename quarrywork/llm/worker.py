@@ -1,12 +1,18 @@
-"""One thread a task for numpy's matrix products: tasks already use all cores."""
+"""What Python workers do with threads and memory.
+
+Tasks already use all cores, so numpy's matrix products get one thread.  Workers live on after a task,
+so what they no longer need goes back to the system at its end.
+"""
 
 from __future__ import annotations
 
 import ctypes
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 #: Names under which builds of the library export the call.
 _NAMES = ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads")
@@ -21,3 +27,25 @@ def one_thread() -> None:
             if hasattr(library, name):
                 getattr(library, name)(ctypes.c_int(1))
                 break
+
+
+def give_back() -> None:
+    """Returns free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that gives memory back when its task ends."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
