@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -108,17 +109,25 @@ def against_state(rows: DataFrame, state: DataFrame, **columns: str) -> DataFram
 
 
 def similar_to_recent(rows: DataFrame, group: str, order: str, text: str, ratio: float = 0.85, recent: int = 100, length: int = 500) -> DataFrame:
-    """Keeps rows whose prefix is not like (difflib ratio) one of the last ``recent`` kept of its group."""
+    """Keeps rows whose prefix is not like (difflib ratio) one of the last ``recent`` kept of its group.
+
+    A group is read in order as a stream, so a task holds a batch and ``recent`` prefixes, however large
+    the group is.
+    """
     import difflib
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        flags = []
-        for snippet in pdf.sort_values(order)[text].fillna("").str[:length]:
-            near = any(difflib.SequenceMatcher(None, snippet, k).ratio() > ratio for k in itertools.islice(reversed(kept), recent))
-            flags.append(not near)
-            if not near:
-                kept.append(snippet)
-        return pdf.sort_values(order)[flags]
-
-    return rows.groupBy(group).applyInPandas(keep, rows.schema)
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = object(), deque(maxlen=recent)
+        for pdf in batches:
+            flags = []
+            for name, snippet in zip(pdf["__g"], pdf[text].fillna("").str[:length]):
+                if name != now:
+                    now, kept = name, deque(maxlen=recent)
+                near = any(difflib.SequenceMatcher(None, snippet, k).ratio() > ratio for k in reversed(kept))
+                flags.append(not near)
+                if not near:
+                    kept.append(snippet)
+            yield pdf[flags].drop(columns="__g")
+
+    named = rows.withColumn("__g", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
+    return named.repartition("__g").sortWithinPartitions("__g", order).mapInPandas(keep, rows.schema)

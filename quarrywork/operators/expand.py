@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -119,7 +119,7 @@ def extraction_prompt(title: X.Text, content: X.Text, most: int = 3000) -> Colum
     return prompt("Title: %s\nContent: %s\nAnswer with one JSON object.", F.coalesce(X.col(title), F.lit("")), F.substring(F.coalesce(X.col(content), F.lit("")), 1, most))
 
 
-#: Queries that one batch of a greedy assignment holds at most.
+#: Queries whose load is balanced together where no batch is named.
 BATCH = 10_000
 
 
@@ -127,7 +127,7 @@ def assigned(queries: DataFrame, order: str, text: str, batch: str | None = None
     """Greedy assignment in order: most hits, then the least loaded agent; no hit: least loaded of all.
 
     The load runs within a batch of queries: ``batch`` names the column of a job, or batches are the
-    runs of ``BATCH`` queries in order, so that no task holds more of them.
+    runs of ``BATCH`` queries in order.  A batch is read in order as a stream.
     """
     names = [a for a, _, _ in rows]
     scored = queries.withColumn("__s", F.array(*[agent_score(F.col(text), f, e) for _, f, e in rows]))
@@ -142,18 +142,22 @@ def assigned(queries: DataFrame, order: str, text: str, batch: str | None = None
         rank = F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1
         scored = dealt.join(F.broadcast(sizes), "__p").withColumn("__b", F.floor(rank / BATCH).cast("string")).drop("__p", "__before")
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        load, chosen = [0] * len(names), []
-        for scores in pdf["__s"]:
-            best = max(scores)
-            pick = min((i for i in range(len(names)) if scores[i] == best or best == 0), key=lambda i: (load[i], i))
-            load[pick] += 1
-            chosen.append(names[pick])
-        return pdf.assign(agent=chosen).drop(columns=["__s", "__b"])
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, load = object(), []
+        for pdf in batches:
+            chosen = []
+            for name, scores in zip(pdf["__b"], pdf["__s"]):
+                if name != now:
+                    now, load = name, [0] * len(names)
+                best = max(scores)
+                pick = min((i for i in range(len(names)) if scores[i] == best or best == 0), key=lambda i: (load[i], i))
+                load[pick] += 1
+                chosen.append(names[pick])
+            yield pdf.assign(agent=chosen).drop(columns=["__s", "__b"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-    return scored.groupBy("__b").applyInPandas(place, f"{kinds}, agent string")
+    scored = scored.withColumn("__b", F.coalesce(F.concat(F.lit("="), F.col("__b")), F.lit("")))
+    return scored.repartition("__b").sortWithinPartitions("__b", order).mapInPandas(place, f"{kinds}, agent string")
 
 
 def generated(spark: SparkSession, n: int, areas: Sequence[str], contexts: Sequence[str], modifiers: Sequence[str], seed: int = 1) -> DataFrame:

@@ -101,20 +101,22 @@ def fresh(rows: DataFrame, cached_at: str, run_ts: Column, ttl_seconds: int) ->
 
 
 def token_bucket(rows: DataFrame, key: str, order: str, seconds: str, rate: float, capacity: float) -> DataFrame:
-    """Delay of each request of a key in order: a full bucket of ``capacity`` refilled at ``rate``."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        left, last, delays = capacity, None, []
-        for t in pdf[seconds]:
-            left = capacity if last is None else min(capacity, left + (t - last) * rate)
-            last = t
-            if left >= 1:
-                left -= 1
-                delays.append(0.0)
-            else:
-                delays.append((1 - left) / rate)
-        return pdf.assign(delay=delays)
+    """Delay of each request of a key in order: a full bucket of ``capacity`` refilled at ``rate``.
+
+    A key's requests are read in order as a stream, so a task holds a batch and one bucket.
+    """
+
+    def run(batches):
+        now, left, last = object(), capacity, None
+        for pdf in batches:
+            delays = []
+            for name, t in zip(pdf["__g"], pdf[seconds]):
+                left = min(capacity, left + (t - last) * rate) if name == now else capacity
+                now, last = name, t
+                delays.append(0.0 if left >= 1 else (1 - left) / rate)
+                left -= left >= 1
+            yield pdf.assign(delay=delays).drop(columns="__g")
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy(key).applyInPandas(run, f"{kinds}, delay double")
+    named = rows.withColumn("__g", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    return named.repartition("__g").sortWithinPartitions("__g", order).mapInPandas(run, f"{kinds}, delay double")
