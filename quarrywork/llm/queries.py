@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import chosen_path, exact_dedup, lattice, license_scan, lm_score, mixing, packing, token_output, toxicity, url_filter
+from . import chosen_path, exact_dedup, lattice, license_scan, lm_score, merkle, mixing, packing, token_output, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    whole = lambda text: merkle.leaf(*map(F.col, fields), text)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, whole(lower)).alias("changed")
+    out = merkle.manifest(docs, whole(F.col("text")), carry=[changed])
+    found = merkle.folded(F.col("path"), F.coalesce("changed", "leaf"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), found.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_lm_score": op2_lm_score,
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 def _license_sql() -> str:
@@ -107,7 +120,54 @@ FROM d LEFT JOIN known k ON d.digest = k.digest LEFT JOIN found ON found.nr = d.
 """
 
 
+def _merkle_sql(most: int = 7) -> str:
+    """The tree level by level: ``most`` levels of eight hold two million rows a language."""
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    sides = """coalesce(string_agg(h, '' ORDER BY p) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY p) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"""
+    levels = ""
+    for name, start, steps in (("a", "a0 AS (SELECT g, p, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM d)", most), ("b", "b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS p, h, count(*) OVER () AS n FROM subroots)", 3)):
+        levels += start + ",\n"
+        for k in range(steps):
+            levels += f"""{name}s{k} AS (SELECT g, p, {sides} FROM {name}{k} WHERE n > 1 WINDOW run AS (PARTITION BY g, p // 8 ORDER BY p)),
+{name}{k + 1} AS (SELECT g, p, h, count(*) OVER (PARTITION BY g) AS n FROM (
+  SELECT g, p // 8 AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, p // 8)),
+"""
+        if name == "a":
+            levels += f"subroots AS (SELECT g, h FROM a{steps}),\nplaces AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS q FROM subroots),\n"
+    steps = [("a", k, f"d.p // {8**k}", "d.g") for k in range(most)] + [("b", k, f"places.q // {8**k}", "''") for k in range(3)]
+    joins = "".join(f"\nLEFT JOIN {t}s{k} ON {t}s{k}.g = {g} AND {t}s{k}.p = {p}" for t, k, p, g in steps)
+    proof = " || ".join(f"coalesce({t}s{k}.l || {t}s{k}.r, '')" for t, k, _, _ in steps)
+    fold = "coalesce(changed, leaf)"
+    folds, last = "", "f0"
+    for nr, (t, k, _, _) in enumerate(steps):
+        folds += f"f{nr + 1} AS (SELECT * REPLACE (CASE WHEN {t}{k}l IS NULL THEN node ELSE sha256({t}{k}l || node || {t}{k}r) END AS node) FROM f{nr}),\n"
+        last = f"f{nr + 1}"
+    kept = ", ".join(f"{t}s{k}.l AS {t}{k}l, {t}s{k}.r AS {t}{k}r" for t, k, _, _ in steps)
+    return f"""
+WITH RECURSIVE poly(i, c) AS (
+  SELECT i, i::BIGINT FROM range(256) t(i)),
+crctable AS (
+  SELECT i, list_reduce([c, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM poly),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM crctable),
+d AS (
+  SELECT coalesce('=' || lang, '') AS g, doc_id, {leaf("text")} AS leaf,
+         CASE WHEN xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+                   lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) % 3 = 0
+              THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS p
+  FROM documents, crcs),
+{levels}f0 AS (
+  SELECT d.doc_id, d.leaf, subroots.h AS subroot, b3.h AS root, sha256({proof}) AS proof_sha256, {fold} AS node, {kept}
+  FROM d JOIN subroots ON subroots.g = d.g JOIN places ON places.g = d.g CROSS JOIN b3{joins}),
+{folds}done AS (SELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM {last})
+SELECT * FROM done
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op6_license_scan": _license_sql(),
     "op1_mix_sources": r"""
 WITH d AS (
