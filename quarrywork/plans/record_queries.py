@@ -11,7 +11,7 @@ from ..functions import classify as C, content as T, html as H, json_repair as J
 from ..operators import chunking, citations as K, dedup as D, expand as E, records as Q, report as R, search as V, web as B
 from ..session import new_path, ship_package
 from ..sources import readers, sinks
-from .queries import MORE, WORDS, _CHUNK, _case_sql, _U, query, read, sql_list
+from .queries import MORE, WORDS, _CHUNK, _KEYS, _case_sql, _keys, _U, query, read, sql_list
 
 _W = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 _NOT = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
@@ -871,6 +871,48 @@ def stream_distinct(spark, d):
     return spark.read.schema("link string").json(target).select(U.normalize("link").alias("url"))
 
 
+def document_stream(spark, d, parts: int = 3) -> DataFrame:
+    """Documents with three keys each as a stream, in ``parts`` micro-batches by ascending id."""
+    source = new_path(spark, "stream-in")
+    rows = _keys(spark, d).select("doc_id", F.col("url").alias("url_key"), F.col("title").alias("title_key"), F.col("content").alias("content_key"), F.col("title").substr(1, 3).alias("shard"))
+    cuts = rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = rows if lo is None else rows.where(F.col("doc_id") > lo)
+        (part if hi is None else part.where(F.col("doc_id") <= hi)).coalesce(1 if parts > 1 else 8).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _greedy(keys: str, shard: str = "''") -> str:
+    return f"""
+WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, list_transform(['t' || title, 'c' || content, 'u' || url], lambda x: {shard} || '|' || x) AS keys FROM ({keys})),
+g(i, doc_id, ok, marked) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL
+  SELECT k.i, k.doc_id, NOT list_has_any(g.marked, k.keys), CASE WHEN list_has_any(g.marked, k.keys) THEN g.marked ELSE list_concat(g.marked, k.keys) END FROM g JOIN k ON k.i = g.i + 1)
+SELECT doc_id FROM g WHERE ok"""
+
+
+@query(_greedy(_KEYS, "substr(title, 1, 3)"))
+def stream_accepted_sharded(spark, d):
+    """Greedy over three keys in a stream, within shards, with one state entry a key."""
+    from ..streaming import dedup
+
+    ship_package(spark)
+    target, mark = new_path(spark, "stream-out"), new_path(spark, "stream-mark")
+    rows = dedup.accepted(document_stream(spark, d), "shard", "doc_id", ttl_ms=86_400_000)
+    dedup.start(rows, target, mark, "parquet").awaitTermination()
+    return spark.read.schema("doc_id long, accepted boolean").parquet(target).where("accepted").select("doc_id")
+
+
+@query(_greedy(_KEYS))
+def stream_accepted(spark, d):
+    """Greedy over three keys in a stream, over all shards, with the keys in a table."""
+    from ..streaming import dedup
+
+    target, mark, kept = (new_path(spark, n) for n in ("stream-out", "stream-mark", "stream-state"))
+    state = dedup.StateTable(spark, kept)
+    dedup.accept_into(document_stream(spark, d), target, state, mark, "doc_id").awaitTermination()
+    return spark.read.schema("doc_id long").parquet(f"{target}/batch=*")
+
+
 @query(f"""{_STATE.replace("WITH n", "WITH RECURSIVE n")}, s AS (SELECT * FROM n WHERE page_id % 50 = 0),
 f AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, ['u' || u, 't' || t, 'c' || c] AS keys FROM n WHERE u NOT IN (SELECT u FROM s) AND t NOT IN (SELECT t FROM s) AND c NOT IN (SELECT c FROM s)),
 g(i, page_id, ok, marked) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X, urls as U
@@ -24,35 +21,6 @@ def distinct_urls(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["url_key"])
 
 
-def accepted(rows: DataFrame, shard: str = "source_domain", most: int | None = None) -> DataFrame:
-    """Greedy multi-key dedup within a shard, in order of arrival: (link, accepted).
-
-    A record is accepted when none of its keys was marked by an accepted one; only accepted records
-    mark.  State is the marked keys of a shard and ends an hour after its last record; with ``most``
-    the oldest keys beyond that many go, so that what only they told apart is accepted again.
-    """
-    out = T.StructType([T.StructField("link", T.StringType()), T.StructField("accepted", T.BooleanType())])
-    kept = T.StructType([T.StructField("keys", T.ArrayType(T.StringType()))])
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        marked = dict.fromkeys(state.get[0]) if state.exists else {}  # in order of marking
-        for pdf in batches:
-            flags = []
-            for u, t, c in zip(pdf["url_key"], pdf["title_key"], pdf["content_key"]):
-                keys = [f"u:{u}"] + ([f"t:{t}", f"c:{c}"] if t and c else [])
-                flags.append(not any(k in marked for k in keys))
-                if flags[-1]:
-                    marked.update(dict.fromkeys(keys))
-            yield pd.DataFrame({"link": pdf["link"], "accepted": flags})
-        state.update((list(marked)[-most:] if most else list(marked),))
-        state.setTimeoutDuration(3_600_000)
-
-    return rows.groupBy(shard).applyInPandasWithState(step, out, kept, "append", "ProcessingTimeTimeout")
-
-
 def append_to(rows: DataFrame, path: str, checkpoint: str):
     """Writes all that is available as JSON, exactly once, and returns the query."""
     return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

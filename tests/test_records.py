@@ -272,24 +272,6 @@ def test_material_of_sub_queries(spark, sf):
     assert all(best[f"{r.item_id}-{r['sub']}", r["rank"]] == r.url for r in got if r.type == "database" and (r.item_id, r["sub"]) in some)
 
 
-def test_stream_state_is_bounded_in_size(spark, tmp_path):
-    from quarrywork.streaming import ingest
-
-    def run(most):
-        for k, links in enumerate((["a", "b", "c"], ["d", "a"])):
-            folder = tmp_path / f"in{most}"
-            folder.mkdir(exist_ok=True)
-            (folder / f"{k}.json").write_text("\n".join(json.dumps({"link": f"http://{x}.com", "source_domain": "s", "extraction_timestamp": "2024-01-01T00:00:00"}) for x in links))
-        rows = ingest.read_records(spark, f"file://{tmp_path}/in{most}", CORPUS_RECORD)
-        target = f"file://{tmp_path}/out{most}"
-        ingest.append_to(ingest.accepted(rows, most=most), target, f"file://{tmp_path}/mark{most}").awaitTermination()
-        got = spark.read.schema("link string, accepted boolean").json(target).collect()
-        return sorted(r.link for r in got if r.accepted)
-
-    assert run(None) == [f"http://{x}.com" for x in "abcd"]
-    assert len(run(1)) >= 4
-
-
 def test_append_new_and_stats(spark, tmp_path):
     schema = "link string, title string, text_extracted string, ord long"
     path = f"file://{tmp_path}/out"
