@@ -1,15 +1,18 @@
-"""Vector search: exact top-k, IVF index, threshold similarity join."""
+"""Vector search: exact top-k, IVF index, threshold similarity join, as products of blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scoring import inverse_distance
 from ..functions.text import let
+from ..session import ship_package
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,7 +29,11 @@ def index(rows: DataFrame, id_col: str, vector_col: str, *columns: str) -> DataF
     return rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("unit"), *columns)
 
 
-#: Query vectors that are broadcast at once (5 MB at 64 dimensions).
+#: Numbers in a block of query vectors (32 MB): up to that many are sent to the tasks as one matrix.
+QUERY_NUMBERS = 1 << 22
+#: Products that a task holds at once.
+PRODUCTS = 1 << 21
+#: Query vectors that are broadcast as rows, where they are too many or too long for one matrix.
 QUERY_BLOCK = 10_000
 
 
@@ -41,48 +48,220 @@ def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__b").drop("__b")
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as a matrix, and the rows that have one of the right length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    if len(fits) < len(column):
+        column = column.take(pa.array(fits))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), fits
+
+
+def _sent(queries: DataFrame, *more: str) -> tuple | None:
+    """(ids, matrix, further columns) of the queries as a broadcast value; None where they exceed a block."""
+    width = F.size("unit")
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(width)).first()
+    if not n or not dim or dim < 0 or n * dim > QUERY_NUMBERS:
+        return None
+    got = queries.select("query_id", "unit", *more).toArrow()
+    q, fits = matrix(got.column("unit"), dim)
+    got = got.take(pa.array(fits))
+    return queries.sparkSession.sparkContext.broadcast((got.column("query_id").combine_chunks(), q, [got.column(c).to_numpy() for c in more]))
+
+
+def _first(table: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query: by product, then id."""
+    table = table.take(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("p", "descending"), ("id", "ascending")], null_placement="at_start"))
+    q = table.column("q").to_numpy()
+    begins = np.searchsorted(q, q)
+    return table.take(pa.array(np.flatnonzero(np.arange(len(q)) - begins < k)))
+
+
+def nearest(rows: DataFrame, sent, k: int, digits: int | None, kind: str, listed: bool = False) -> DataFrame:
+    """Each task's k best rows (id, unit) of every query, by products of blocks of rows with the matrix of
+    queries.  With ``listed`` a row meets the queries of its list only: the rows' column ``list``, and one
+    list number for each line of the matrix."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, more = sent.value
+        best: pa.Table | None = None
+        least = np.full(len(q), -np.inf)
+        for batch in batches:
+            x, fits = matrix(batch.column(1), q.shape[1])
+            ids = batch.column(0).take(pa.array(fits))
+            groups = [(np.arange(len(q)), np.arange(len(x)))]
+            if listed:
+                own = batch.column(2).take(pa.array(fits)).to_numpy(zero_copy_only=False)
+                groups = [(np.flatnonzero(more[0] == one), np.flatnonzero(own == one)) for one in np.unique(own)]
+            for asked, held in groups:
+                step = max(1, PRODUCTS // max(1, len(asked)))
+                for at in range(0, len(held) if len(asked) else 0, step):
+                    some = held[at : at + step]
+                    product = q[asked] @ x[some].T
+                    product = product if digits is None else np.round(product, digits)
+                    which, row = np.nonzero(product >= least[asked][:, None])
+                    if not len(which):
+                        continue
+                    new = pa.table({"q": asked[which], "p": product[which, row], "id": ids.take(pa.array(some[row]))})
+                    best = _first(new if best is None else pa.concat_tables([best, new]), k)
+                    seen, n = np.unique(best.column("q").to_numpy(), return_counts=True)
+                    full = np.cumsum(n)[n == k] - 1  # the last of each query that has k
+                    least[seen[n == k]] = best.column("p").to_numpy()[full]
+        if best is not None:
+            # A query may stand in several lines of the matrix, one for each of its lists.
+            line = best.column("q").to_numpy()
+            out = [names.take(pa.array(line)), best.column("id").combine_chunks(), best.column("p").combine_chunks()]
+            yield pa.record_batch(out, names=["query_id", "id", "inner_product"])
+
+    columns = ["id", F.col("unit").cast("array<double>").alias("unit"), *(["list"] if listed else [])]
+    return rows.select(*columns).mapInArrow(scan, kind)
+
+
+def _kind(queries: DataFrame, rows: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, inner_product double"
+
+
 def top_k(queries: DataFrame, flat: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k nearest rows of a flat index for each query row (query_id, unit); ties by id.
 
-    Queries are the stated, smaller side: every index row meets them where it lies, or, beyond
-    ``QUERY_BLOCK`` of them, block by block.  Only ids and products are ranked (each task keeps its own k
-    best of a query before the shuffle); the winners are joined with their rows.  With ``digits``
-    products are ranked as rounded to so many.
+    Queries are the stated, smaller side: up to ``QUERY_NUMBERS`` numbers of them go to the tasks as one
+    matrix, which meets the index block by block where it lies, and each task's own k best of a query are
+    ranked after one shuffle.  More queries meet the rows in blocks by a join.  The winners are joined with
+    their rows.  With ``digits`` products are ranked as rounded to so many.  Vectors of another length than
+    the queries' are not compared.
     """
-    product = dot(F.col("__q"), F.col("unit"))
-    scored = against_all(queries.select("query_id", F.col("unit").alias("__q")), flat.select("id", "unit"))
-    scored = scored.select("query_id", "id", (product if digits is None else F.round(product, digits)).alias("inner_product"))
-    w = W.partitionBy("query_id").orderBy(F.desc("inner_product"), "id")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("similarity_score", inverse_distance("inner_product"))
+    ship_package(queries.sparkSession)
+    sent = _sent(queries)
+    if sent is not None:
+        scored = nearest(flat, sent, k, digits, _kind(queries, flat))
+    else:
+        product = dot(F.col("__q"), F.col("unit"))
+        scored = against_all(queries.select("query_id", F.col("unit").alias("__q")), flat.select("id", "unit"))
+        scored = scored.select("query_id", "id", (product if digits is None else F.round(product, digits)).alias("inner_product"))
+    best = _ranked(scored, k).withColumn("similarity_score", inverse_distance("inner_product"))
     more = [c for c in flat.columns if c not in ("id", "unit")]
     return best.join(flat.select("id", *more), "id").select("query_id", "id", "inner_product", *more, "rank", "similarity_score") if more else best
 
 
-def ivf(flat: DataFrame, lists: int, seed: int = 11) -> tuple[DataFrame, list]:
-    """Inverted file: MLlib k-means centroids, and the index with its list of each row."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    with_vector = flat.withColumn("features", array_to_vector("unit"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(with_vector)
-    return model.transform(with_vector).withColumnRenamed("prediction", "list").drop("features"), [list(map(float, c)) for c in model.clusterCenters()]
-
-
-def top_k_ivf(queries: DataFrame, listed: DataFrame, centres: list, k: int, probes: int = 1) -> DataFrame:
-    """Top k within the ``probes`` lists nearest to each query: an equi-join on the list."""
-    lists = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(x) for x in c]).alias("c")) for i, c in enumerate(centres)])
-    best = F.slice(F.array_sort(F.transform(lists, lambda s: F.struct((-dot(F.col("unit"), s["c"])).alias("d"), s["list"].alias("list")))), 1, probes)
-    q = queries.withColumn("__l", F.explode(best)).select("query_id", F.col("unit").alias("__q"), F.col("__l.list").alias("list"))
-    scored = listed.join(q, "list").withColumn("inner_product", dot(F.col("__q"), F.col("unit"))).select("query_id", "id", "inner_product")
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("inner_product"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Vectors on which lists are fitted, at most; every row is indexed.
+FIT_VECTORS = 100_000
+
+
+def lists_of(n: int) -> int:
+    """Lists of an index of n rows."""
+    return max(1, min(100, n // 10))
+
+
+def centroids(flat: DataFrame, lists: int, rounds: int = 2) -> np.ndarray:
+    """Centres of ``lists`` lists: the rows whose ids have the smallest digests, moved ``rounds`` times to the
+    mean of the rows nearest to them.  Fitted on some ``FIT_VECTORS`` rows by digest."""
+    spark = flat.sparkSession
+    ship_package(spark)
+    rows = flat.select("id", F.col("unit").cast("array<double>").alias("unit"))
+    share = FIT_VECTORS / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    first = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(lists).toArrow().column("unit")
+    if not len(first):
+        return np.empty((0, 0))
+    centres, _ = matrix(first, len(first[0]))
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(centres)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = sent.value
+            total, count = np.zeros_like(c), np.zeros(len(c))
+            for batch in batches:
+                x, _ = matrix(batch.column(1), c.shape[1])
+                one = placed(x, c)
+                np.add.at(total, one, x)
+                count += np.bincount(one, minlength=len(c))
+            yield pa.record_batch([pa.array(np.arange(len(c))), pa.array(count), pa.array(list(total), pa.list_(pa.float64()))], names=["list", "n", "total"])
+
+        # One row a list and task, summed number by number.
+        parts = rows.mapInArrow(add, "list long, n double, total array<double>").select("list", "n", F.posexplode("total").alias("d", "x"))
+        sums = parts.groupBy("list", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0").toArrow()
+        centres = centres.copy()
+        centres[sums.column("list").to_numpy(), sums.column("d").to_numpy()] = sums.column("x").to_numpy() / sums.column("n").to_numpy()
+    return centres
+
+
+def placed(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector; the first, where several are."""
+    return np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1) if len(x) else np.empty(0, np.int64)
+
+
+def ivf(flat: DataFrame, lists: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Inverted file: the index with the list of each row, and the centres of the lists."""
+    centres = centroids(flat, lists or lists_of(flat.count()))
+    sent = flat.sparkSession.sparkContext.broadcast(centres)
+    where = flat.columns.index("unit")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.zeros(batch.num_rows, np.int32)
+            x, fits = matrix(batch.column(where), sent.value.shape[1])
+            own[fits] = placed(x, sent.value)
+            yield batch.append_column("list", pa.array(own))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
+    return flat.mapInArrow(place, f"{kinds}, list int"), centres
+
+
+def top_k_ivf(queries: DataFrame, listed: DataFrame, centres: np.ndarray, k: int, probes: int = 1, digits: int | None = None) -> DataFrame:
+    """Top k within the ``probes`` lists nearest to each query.
+
+    The lists to read are a filtered, broadcast relation (a row a query and list), so a listed index that is
+    stored by list is pruned to them when the query runs.  A row meets the queries of its own list only.
+    """
+    c = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centres])
+    far = F.transform(c, lambda v, i: F.struct((dot(v, v) - 2 * dot(F.col("unit"), v)).alias("d"), i.alias("list")))
+    asked = queries.select("query_id", F.col("unit").cast("array<double>").alias("unit"))
+    asked = asked.select("*", F.posexplode(F.array_sort(far)).alias("nth", "at")).where(F.col("nth") < probes)
+    asked = asked.select("query_id", "unit", F.col("at.list").alias("list"))
+    sent = _sent(asked, "list") if len(centres) else None
+    if sent is not None:
+        # One list or more for each query, so not more lists than lines of the matrix.
+        read = listed.join(F.broadcast(asked.select("list").distinct()), "list", "left_semi")
+        return _ranked(nearest(read, sent, k, digits, _kind(queries, listed), listed=True), k)
+    product = dot(F.col("__q"), F.col("unit"))
+    scored = listed.join(asked.withColumnRenamed("unit", "__q"), "list").select("query_id", "id", (product if digits is None else F.round(product, digits)).alias("inner_product"))
+    return _ranked(scored, k)
+
+
 def matching_sources(sentences: DataFrame, sources: DataFrame, threshold: float = 0.75, most: int = 3) -> DataFrame:
     """Sentence (sent_id, unit) against source sentences (source_id, unit): the best cosine of each
-    source, at least ``threshold``, three sources a sentence.  The maximum is combined map-side."""
-    pairs = against_all(sentences.select("sent_id", F.col("unit").alias("__s")), sources).select("sent_id", "source_id", dot(F.col("__s"), F.col("unit")).alias("sim"))
-    best = pairs.where(F.col("sim") >= threshold).groupBy("sent_id", "source_id").agg(F.max("sim").alias("similarity"))
+    source, at least ``threshold``, three sources a sentence.
+
+    Sentences are one matrix up to ``QUERY_NUMBERS`` numbers, and each task sends the best of a sentence and
+    source that it has seen in a batch; the maximum is combined map-side.
+    """
+    ship_package(sentences.sparkSession)
+    sent = _sent(sentences.withColumnRenamed("sent_id", "query_id"))
+    if sent is None:
+        pairs = against_all(sentences.select("sent_id", F.col("unit").alias("__s")), sources).select("sent_id", "source_id", dot(F.col("__s"), F.col("unit")).alias("sim")).where(F.col("sim") >= threshold)
+    else:
+        kinds = f"sent_id {sentences.schema['sent_id'].dataType.simpleString()}, source_id {sources.schema['source_id'].dataType.simpleString()}, sim double"
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, _ = sent.value
+            step = max(1, PRODUCTS // len(q))
+            for batch in batches:
+                x, fits = matrix(batch.column(1), q.shape[1])
+                ids = batch.column(0).take(pa.array(fits))
+                for at in range(0, len(x), step):
+                    product = q @ x[at : at + step].T
+                    which, row = np.nonzero(product >= threshold)
+                    found = pa.table({"q": which, "source_id": ids.take(pa.array(at + row)), "p": product[which, row]}).group_by(["q", "source_id"]).aggregate([("p", "max")])
+                    yield pa.record_batch([names.take(found.column("q").combine_chunks()), found.column("source_id").combine_chunks(), found.column("p_max").combine_chunks()], names=["sent_id", "source_id", "sim"])
+
+        pairs = sources.select("source_id", F.col("unit").cast("array<double>").alias("unit")).mapInArrow(scan, kinds)
+    best = pairs.groupBy("sent_id", "source_id").agg(F.max("sim").alias("similarity"))
     w = W.partitionBy("sent_id").orderBy(F.desc("similarity"), "source_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 

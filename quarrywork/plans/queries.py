@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import lexicon as L
 from ..functions import classify as C, html as H, json_repair as J, scoring as S, text as X, urls as U
 from ..operators import chunking, citations as K, dedup as D, expand as E, report as R, search as V, validate as Y
-from ..session import ship_package
+from ..session import new_path, ship_package
+from ..sources import sinks
 
 WORDS = ("the", "of", "and", "que", "der")
 MORE = ("en", "la", "in", "die")
@@ -91,11 +92,40 @@ def index_consistency(spark, d):
     return read(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"), F.count_if(zero).alias("n_zero"), F.countDistinct(F.size("embedding")).alias("n_dims"))
 
 
-@query()
+def _ivf_sql(lists: str, probes: int) -> str:
+    """Seeds by digest, two rounds of means, the nearest lists, the best rows in them."""
+    near = lambda i: f"(SELECT id, e, arg_min(list, (d, list)) AS list FROM (SELECT v.id, v.e, c.list, list_dot_product(c.c, c.c) - 2 * list_dot_product(v.e, c.c) AS d FROM v, c{i} c) GROUP BY ALL)"
+    rounds = "".join(f"""
+c{i + 1} AS (SELECT c.list, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (
+  SELECT list, list(x ORDER BY i) AS c FROM (SELECT list, i, avg(x) AS x FROM (SELECT list, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM {near(i)}) GROUP BY ALL) GROUP BY list) m USING (list)),""" for i in range(2))
+    return f"""
+WITH v AS (SELECT vec_id AS id, {UNIT} AS e FROM embeddings),
+c0 AS (SELECT row_number() OVER (ORDER BY md5(id::VARCHAR), id) - 1 AS list, e AS c FROM v QUALIFY row_number() OVER (ORDER BY md5(id::VARCHAR), id) <= {lists}),{rounds}
+l AS {near(2)},
+p AS (SELECT v.id AS query_id, v.e AS q, c.list FROM v, c2 c WHERE v.id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY list_dot_product(c.c, c.c) - 2 * list_dot_product(v.e, c.c), c.list) <= {probes}),
+s AS (SELECT query_id, l.id, list_dot_product(q, l.e) AS ip FROM p JOIN l USING (list)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ip, 9) DESC, id) AS rank FROM s)
+SELECT query_id, id, rank::INT AS rank, round(ip, 6) AS inner_product FROM r WHERE rank <= 3"""
+
+
+@query(_ivf_sql("20", 14))
 def ivf_probe(spark, d):
+    """Top 3 in the 14 of 20 lists nearest to each query: recall 1.00 on sf0.01, 0.94 on sf0.1."""
     flat = V.index(read(spark, d, "embeddings"), "vec_id", "embedding")
     listed, centres = V.ivf(flat, 20)
-    return V.top_k_ivf(flat.where("id % 20 = 0").withColumnRenamed("id", "query_id"), listed, centres, 3, probes=8).select("query_id", "id", "rank", F.round("inner_product", 6).alias("inner_product"))
+    return V.top_k_ivf(flat.where("id % 20 = 0").withColumnRenamed("id", "query_id"), listed, centres, 3, 14, 9).select("query_id", "id", "rank", F.round("inner_product", 6).alias("inner_product"))
+
+
+@query(_ivf_sql("(SELECT greatest(1, least(100, count(*) // 10)) FROM embeddings)", 60))
+def ivf_stored(spark, d):
+    """An inverted file, written by list, read again, and searched in the 60 lists nearest to each query
+    (the vectors have no clusters to speak of; recall of the top 3: 1.00 on sf0.01, 0.95 on sf0.1)."""
+    flat = V.index(read(spark, d, "embeddings"), "vec_id", "embedding")
+    path = new_path(spark, "ivf")
+    sinks.write_ivf(*V.ivf(flat), path)
+    listed, centres = sinks.read_ivf(spark, path)
+    return V.top_k_ivf(flat.where("id % 20 = 0").withColumnRenamed("id", "query_id"), listed, centres, 3, 60, 9).select("query_id", "id", "rank", F.round("inner_product", 6).alias("inner_product"))
 
 
 # URLs -----------------------------------------------------------------------------------------------

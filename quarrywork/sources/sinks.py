@@ -89,6 +89,37 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def write_ivf(listed: DataFrame, centres, path: str) -> dict[str, int]:
+    """An inverted file (``search.ivf``) as an artefact: a folder of rows for each list, the centres, and the
+    numbers, which are written last.  Returns the numbers."""
+    spark = listed.sparkSession
+    seen = Observation()
+    size = F.size("unit")
+    rows = listed.observe(seen, F.count(F.lit(1)).alias("n"), F.min(size).alias("dim"), F.max(size).alias("widest"))
+    rows.write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
+    got = seen.get
+    if got["dim"] != got["widest"]:
+        raise ValueError(f"vectors of {got['dim']} and {got['widest']} numbers in one index")
+    lines = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(lines, "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    stats = {"n": got["n"], "dim": got["dim"] or 0, "lists": len(lines)}
+    spark.createDataFrame([tuple(stats.values())], "n long, dim int, lists int").coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    return stats
+
+
+def read_ivf(spark: SparkSession, path: str):
+    """(rows, centres) of a finished inverted file, for ``search.top_k_ivf``: rows by list, centres as a matrix."""
+    import numpy as np
+
+    stats = spark.read.schema("n long, dim int, lists int").json(f"{path}/stats").first()
+    lines = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres").orderBy("list").collect()
+    if stats is None or len(lines) != stats["lists"]:
+        raise ValueError(f"{path} is not a finished index")
+    if not lines:
+        raise ValueError(f"{path} has no lists")
+    return spark.read.parquet(f"{path}/rows"), np.array([r.centre for r in lines])
+
+
 def analytics(agents: DataFrame, key: str, run: str) -> DataFrame:
     """One JSON document of a run: totals, and a list of its agents in order of ``key`` (a bounded list)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(key), *[F.col(c) for c in agents.columns if c != key])))
