@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import text as X
+from ..session import cut
+from . import ratio as R
 
 #: Fixed value: ids such as ``[DB-1-2]``.
 PATTERN = r"\[((?:DB|WEB)-\d+-\d+)\]"
@@ -253,31 +255,16 @@ def places(text: X.Text, sentences: Column) -> Column:
     return F.aggregate(sentences, start, step, lambda acc: acc["found"])
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts in lower case."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
-
-
 def matching_texts(sentences: DataFrame, sources: DataFrame, threshold: float = 0.75, most: int = 3) -> DataFrame:
     """Sentences (sent_id, sentence) against source sentences (citation_id, sentence) by text alone: the
     best ratio of each source, at least ``threshold``, three sources a sentence.
 
-    The ratio is at most twice the shorter length over both, so pairs whose lengths rule the threshold
-    out never reach Python.  Lengths are dealt in bands and each sentence meets the bands that its length
-    can match, so this is a join by band.
+    Distinct texts meet in the exact ratio join of ``operators.ratio``.
     """
-    # 2 min / (a + b) >= t needs b between a t / (2 - t) and a (2 - t) / t.
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    band = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1))) * 4).cast("int")
-    asked = sentences.select("sent_id", F.col("sentence").alias("__s"), F.length("sentence").alias("__n"))
-    asked = asked.withColumn("__band", F.explode(F.sequence(band(F.col("__n") * low), band(F.col("__n") * high))))
-    known = sources.select("citation_id", F.col("sentence").alias("__t"), F.length("sentence").alias("__m"))
-    known = known.withColumn("__band", band(F.col("__m")))
-    pairs = asked.join(known, "__band").where(2.0 * F.least("__n", "__m") >= threshold * (F.col("__n") + F.col("__m")))
-    scored = pairs.withColumn("similarity", ratio("__s", "__t")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("sent_id", "citation_id").agg(F.max("similarity").alias("similarity"))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    found = cut(R.similar(sentences.select(F.col("sentence").alias("text")), sources.select(F.col("sentence").alias("text")), threshold))
+    asked = sentences.select("sent_id", low("sentence").alias("left")).distinct()
+    known = sources.select("citation_id", low("sentence").alias("right")).distinct()
+    best = asked.join(found, "left").join(known, "right").groupBy("sent_id", "citation_id").agg(F.max("similarity").alias("similarity"))
     w = W.partitionBy("sent_id").orderBy(F.desc("similarity"), "citation_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

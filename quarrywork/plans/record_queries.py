@@ -593,6 +593,16 @@ def ratio_matches(spark, d):
     return K.matching_texts(asked, known, 0.5)
 
 
+@query()
+def near_copy_turns(spark, d):
+    """Turns of all conversations whose whole texts differ and are alike by a ratio of 0.75 or more, tested
+    against all pairs by difflib."""
+    from ..operators import ratio
+
+    rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return ratio.near_copies(rows, "id", "text", 0.75)
+
+
 @query("""
 SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN ' [DB-1-1]' WHEN turn % 3 = 1 THEN ' [DB-1-1][WEB-2-2]' ELSE '' END AS marked, CASE WHEN turn % 2 = 0 THEN text || '<note>' ELSE text END AS noted FROM conversations""".replace("<note>", K.NOTE.replace("'", "''").replace("\n\n", "' || chr(10) || chr(10) || '")))
 def citation_marks(spark, d):
