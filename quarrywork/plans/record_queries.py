@@ -709,6 +709,16 @@ def json_array_scan(spark, d):
     return readers.json_document(spark, path, "page_id long, url string")
 
 
+@query("SELECT page_id, html FROM pages")
+def json_array_splits(spark, d):
+    """Whole pages as one array in one line, read in splits by many tasks."""
+    path = new_path(spark, "array")
+    rows = read(spark, d, "pages").select("page_id", "html").repartitionByRange(1, "page_id").sortWithinPartitions("page_id")
+    line = F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(", "), F.to_json(F.struct("page_id", "html")))
+    rows.select(line.alias("line")).write.option("lineSep", " ").text(path)
+    return readers.json_document(spark, path, "page_id long, html string", large=0)
+
+
 @query("SELECT page_id, url FROM pages")
 def metadata_copy(spark, d):
     """A JSON document read twice: the second time from the Parquet copy that the first has left."""

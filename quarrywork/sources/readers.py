@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..schemas import CORPUS_RECORD
+from ..session import ship_package
+from . import json_splits
 
 
 #: Splits of files whose counts are broadcast at most (some 100 bytes each); beyond it the join shuffles.
@@ -74,7 +76,7 @@ def _objects(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if c == "\\":
                             at, skip = at + 1, at >= len(text)
                         elif c == '"':
-                            quoted = not quoted if depth else False
+                            quoted = not quoted
                         elif not quoted and c == "{":
                             start = hit.start() if depth == 0 else start
                             depth += 1
@@ -92,16 +94,28 @@ def _objects(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         break
 
 
-def json_document(spark: SparkSession, path: str, schema: T.StructType, first: int | None = None) -> DataFrame:
+#: Bytes from which a document is read in splits.
+LARGE_DOCUMENT = 64 << 20
+
+
+def json_document(spark: SparkSession, path: str, schema: T.StructType, first: int | None = None, large: int | None = None) -> DataFrame:
     """An array of objects (or one object) as rows; truncation, in order, only where ``first`` asks for it.
 
-    An array has no places to split at, so a file is one task, which streams it; several files are
-    several tasks.  A malformed object is skipped and the others are read.
+    Files of up to ``large`` bytes (``LARGE_DOCUMENT``) are a task each, which streams them; larger ones are read
+    in splits by many tasks (``json_splits``).  Both ways give the same rows: a malformed object is skipped and
+    the others are read, provided that its quotes and braces are in pairs.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")
-    files = files.repartition(max(1, files.count()))
-    rows = files.mapInArrow(_objects, "file string, pos long, object string").where(F.try_parse_json("object").isNotNull())
-    rows = rows.orderBy("file", "pos").limit(first) if first is not None else rows
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    limit = LARGE_DOCUMENT if large is None else large
+    big = [r["path"] for r in files.where(F.col("length") > limit).select("path").collect()]
+    small = files.where(F.col("length") <= limit).select("path")
+    small = small.repartition(max(1, small.count()))
+    rows = small.mapInArrow(_objects, "file string, pos long, object string").select("file", F.lit(0).cast("long").alias("at"), F.col("pos").alias("nr"), "object")
+    if big:
+        rows = rows.unionByName(json_splits.objects(spark, big))
+    rows = rows.where(F.try_parse_json("object").isNotNull())
+    rows = rows.orderBy("file", "at", "nr").limit(first) if first is not None else rows
     return rows.select(F.from_json("object", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
