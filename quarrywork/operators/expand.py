@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import lexicon as L
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, ship_package
 
 #: Words that call for one more query, in this order.
 CONTEXT = (
@@ -119,44 +120,109 @@ def extraction_prompt(title: X.Text, content: X.Text, most: int = 3000) -> Colum
     return prompt("Title: %s\nContent: %s\nAnswer with one JSON object.", F.coalesce(X.col(title), F.lit("")), F.substring(F.coalesce(X.col(content), F.lit("")), 1, most))
 
 
-#: Queries whose load is balanced together where no batch is named.
-BATCH = 10_000
+#: Queries that a task places at a time.
+BLOCK = 1 << 16
+
+
+def placed(masks: Sequence[int], load: list[int]) -> list[int]:
+    """The agent of each query in order: the least loaded of those in its mask, the first of equals.  ``load``
+    goes on."""
+    options: dict[int, list[int]] = {}
+    out = []
+    for m in masks:
+        own = options.get(m)
+        if own is None:
+            own = options[m] = [i for i in range(len(load)) if m >> i & 1]
+        pick = own[0] if len(own) == 1 else min(own, key=load.__getitem__)
+        load[pick] += 1
+        out.append(pick)
+    return out
+
+
+def _loads(blocks: DataFrame, n: int, agents: int) -> list[list[int]]:
+    """The load before each block (block, masks), as if one loop went over all.
+
+    What a block adds depends on the differences between loads only.  All blocks are placed side by side
+    from guessed loads, then again those whose load to begin with has turned out otherwise, until none has.
+    The first wrong block is right after a round, so this ends; as greedy placing evens out differences,
+    two or three rounds mostly do.  The driver holds one short list a block.
+    """
+    starts, added, used = [[0] * agents for _ in range(n)], [[0] * agents for _ in range(n)], [None] * n
+    while True:
+        for k in range(1, n):
+            starts[k] = [x + y for x, y in zip(starts[k - 1], added[k - 1])]
+        level = [tuple(x - min(s) for x in s) for s in starts]
+        open_ = [k for k in range(n) if used[k] != level[k]]
+        if not open_:
+            return starts
+        asked = {k: list(level[k]) for k in open_}
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [(b, m) for b, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if b in asked]
+                done = []
+                for b, masks in keep:
+                    load = list(asked[b])
+                    placed(masks, load)
+                    done.append([x - y for x, y in zip(load, asked[b])])
+                yield pa.record_batch([pa.array([b for b, _ in keep], pa.int64()), pa.array(done, pa.list_(pa.int64()))], names=["block", "added"])
+
+        for r in blocks.mapInArrow(place, "block long, added array<long>").collect():
+            added[r.block], used[r.block] = list(r.added), level[r.block]
 
 
 def assigned(queries: DataFrame, order: str, text: str, batch: str | None = None, rows: Sequence[tuple[str, str, str]] = L.AGENTS) -> DataFrame:
     """Greedy assignment in order: most hits, then the least loaded agent; no hit: least loaded of all.
 
-    The load runs within a batch of queries: ``batch`` names the column of a job, or batches are the
-    runs of ``BATCH`` queries in order.  A batch is read in order as a stream.
+    The load runs over all queries, or starts anew in each job where ``batch`` names its column.  Of a query
+    only the set of its best agents matters, one number; blocks of ``BLOCK`` of them are placed side by side
+    (``_loads``), so no task sees all queries.  Jobs are read as streams, one task a job.  Queries that are
+    equal in ``order`` have some fixed order.
     """
+    ship_package(queries.sparkSession)
     names = [a for a, _, _ in rows]
-    scored = queries.withColumn("__s", F.array(*[agent_score(F.col(text), f, e) for _, f, e in rows]))
+    scores = F.array(*[agent_score(F.col(text), f, e) for _, f, e in rows])
+    best = F.array_max("__s")
+    mask = F.aggregate(F.transform("__s", lambda x, i: F.when((x == best) | (best == 0), F.lit(2).cast("double") ** i).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    scored = queries.withColumn("__s", scores).withColumn("__mask", mask.cast("long")).drop("__s")
     if batch:
-        scored = scored.withColumn("__b", F.col(batch).cast("string"))
-    else:
-        # Order values are dealt in ranges by their rank: counts of ranges first, then ranks inside them.
-        dealt = scored.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-        dealt = cut(dealt)
-        sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-        sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-        rank = F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1
-        scored = dealt.join(F.broadcast(sizes), "__p").withColumn("__b", F.floor(rank / BATCH).cast("string")).drop("__p", "__before")
-
+        return _by_job(queries, scored, order, batch, names)
+    # Order values are dealt in ranges by their rank: counts of ranges first, then ranks inside them.
+    lined = scored.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    lined = cut(lined.withColumn("__p", F.shiftright("__id", 33)))
+    sizes = lined.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = lined.join(F.broadcast(sizes.select("__p", (before - F.col("__first")).alias("__shift"))), "__p")
+    ranked = ranked.withColumn("__rank", F.col("__id") + F.col("__shift")).drop("__p", "__id", "__shift")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("r"), F.col("__mask").alias("m"))))
+    blocks = cut(ranked.groupBy(F.floor(F.col("__rank") / BLOCK).alias("block")).agg(pairs.alias("l")).select("block", F.transform("l", lambda x: x["m"]).alias("masks")))
+    last = blocks.agg(F.max("block").alias("last")).first().last
+    starts = _loads(blocks, 0 if last is None else last + 1, len(names))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, masks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chosen = [names[i] for i in placed(masks, list(starts[b]))]
+                yield pa.record_batch([pa.array(range(b * BLOCK, b * BLOCK + len(masks)), pa.int64()), pa.array(chosen, pa.string())], names=["__rank", "agent"])
+
+    chosen = blocks.mapInArrow(choose, "__rank long, agent string")
+    return ranked.join(chosen, "__rank").select(*[F.col(f"`{c}`") for c in queries.columns], "agent")
+
+
+def _by_job(queries: DataFrame, scored: DataFrame, order: str, batch: str, names: list[str]) -> DataFrame:
+    """Each job's queries in order, as a stream."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, load = object(), []
         for pdf in batches:
             chosen = []
-            for name, scores in zip(pdf["__b"], pdf["__s"]):
-                if name != now:
-                    now, load = name, [0] * len(names)
-                best = max(scores)
-                pick = min((i for i in range(len(names)) if scores[i] == best or best == 0), key=lambda i: (load[i], i))
-                load[pick] += 1
-                chosen.append(names[pick])
-            yield pdf.assign(agent=chosen).drop(columns=["__s", "__b"])
+            for job, mask in zip(pdf["__b"], pdf["__mask"]):
+                if job != now:
+                    now, load = job, [0] * len(names)
+                chosen.append(names[placed([mask], load)[0]])
+            yield pdf.assign(agent=chosen).drop(columns=["__mask", "__b"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-    scored = scored.withColumn("__b", F.coalesce(F.concat(F.lit("="), F.col("__b")), F.lit("")))
+    scored = scored.withColumn("__b", F.coalesce(F.concat(F.lit("="), F.col(batch).cast("string")), F.lit("")))
     return scored.repartition("__b").sortWithinPartitions("__b", order).mapInPandas(place, f"{kinds}, agent string")
 
 

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,18 +220,38 @@ def test_reports_from_a_stored_index(spark, tmp_path):
     assert stored == {r.item_id: r.report for r in cited_reports(questions, docs).collect()} and "topic1" in stored[1]
 
 
-def test_assignment_in_batches(spark, monkeypatch):
-    monkeypatch.setattr(E, "BATCH", 7)
-    rows = [(k, ["crops", "soil health", "pests", "nothing"][k % 4]) for k in range(40)]
-    got = {r.i: r.agent for r in E.assigned(spark.createDataFrame(rows, "i long, q string").repartition(3), "i", "q").collect()}
+@pytest.mark.parametrize("block", [7, E.BLOCK])
+def test_assignment_in_jobs_and_over_all(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    rows = [(k, k // 7, ["crops", "soil health", "pests", "nothing"][k % 4]) for k in range(40)]
+    df = spark.createDataFrame(rows, "i long, job int, q string").repartition(3)
     names = [a for a, _, _ in E.L.AGENTS]
-    for start in range(0, 40, 7):
-        load = dict.fromkeys(names, 0)
-        for i, q in rows[start : start + 7]:
+    for batch in (None, "job"):
+        got = {r.i: r.agent for r in E.assigned(df, "i", "q", batch).collect()}
+        loads = {}
+        for i, job, q in rows:
+            load = loads.setdefault(job if batch else None, dict.fromkeys(names, 0))
             fits = [a for a, f, e in E.L.AGENTS if q in f] or names
             pick = min(fits, key=lambda a: (load[a], names.index(a)))
             load[pick] += 1
             assert got[i] == pick
+    assert E.assigned(df.limit(0), "i", "q").count() == 0
+
+
+def test_assignment_of_many_queries(spark, monkeypatch):
+    """50,000 queries in 50 blocks equal one loop, after few rounds."""
+    monkeypatch.setattr(E, "BLOCK", 1000)
+    rng = random.Random(11)
+    agents = [(f"a{k}", f"word{k}", f"other{k % 2}") for k in range(5)]
+    rows = [(i, " ".join(rng.choices(["word0", "word1", "word2", "word3", "word4", "other0", "other1", "none"], weights=[9, 3, 1, 1, 1, 2, 2, 6], k=rng.randint(1, 3)))) for i in range(50_000)]
+    got = {r.i: r.agent for r in E.assigned(spark.createDataFrame(rows, "i long, q string").repartition(5), "i", "q", rows=agents).collect()}
+    load, wrong = [0] * 5, 0
+    for i, q in rows:
+        s = [2 * (f in q) + (e in q) for _, f, e in agents]
+        pick = min((k for k in range(5) if s[k] == max(s)), key=lambda k: (load[k], k))
+        load[pick] += 1
+        wrong += got[i] != f"a{pick}"
+    assert wrong == 0
 
 
 def test_keep_first_of_a_hot_key(spark):
