@@ -774,6 +774,47 @@ def version_catalogue(spark, d):
     return versions.manifest().select("version", "created", "current")
 
 
+@query("SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM documents GROUP BY lang")
+def versions_parallel(spark, d):
+    """Documents by language, each written as a version by a writer of its own at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = read(spark, d, "documents")
+    langs = [r.lang for r in docs.select("lang").distinct().limit(1000).collect()]
+    root = new_path(spark, "versions")
+    write = lambda x: sinks.Versions(spark, root).write(docs.where(F.col("lang").eqNullSafe(x)), str(x), most=1000)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(write, langs))
+    store = sinks.Versions(spark, root)
+    assert sorted(numbers) == list(range(1, len(langs) + 1))
+    rows = store.at(numbers[0])
+    for n in numbers[1:]:
+        rows = rows.unionByName(store.at(n))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_ids"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events), m AS (SELECT max(t) AS t FROM e), u AS (SELECT DISTINCT user_id FROM e),
+l AS (SELECT user_id, max(t) AS t, arg_max(event_id, (t, event_id)) AS event_id FROM e WHERE user_id % 3 <> 0 GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY t DESC, md5(user_id || ':8:all')) AS nth FROM l)
+SELECT u.user_id, (r.user_id IS NOT NULL AND nth <= 60 AND m.t - r.t < 200000) AS hit, CASE WHEN nth <= 60 AND m.t - r.t < 200000 THEN event_id::VARCHAR END AS result
+FROM u CROSS JOIN m LEFT JOIN r USING (user_id)""")
+def result_cache(spark, d):
+    """Results of the users' searches, set in two runs with a compaction between them, and looked up: some were
+    never set, some are too old, some had to make room."""
+    from ..sources.versions import ResultCache, cache_key
+
+    rows = read(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    first, last = rows.agg(F.expr("percentile_approx(t, 0.5)"), F.max("t")).first()
+    key = cache_key(F.col("user_id").cast("string"), F.lit(8), F.lit("all"))
+    cache = ResultCache(spark, new_path(spark, "cache"), ttl=200_000, most=60)
+    for part, now in ((rows.where(F.col("t") <= first), first), (rows.where(F.col("t") > first), last)):
+        sets = part.where("user_id % 3 <> 0").groupBy("user_id").agg(F.max(F.struct("t", "event_id")).alias("e"))
+        cache.set(sets.select(key.alias("key"), F.col("e.event_id").cast("string").alias("result"), "e.t"), F.col("t"))
+        cache.compact(now) if now == first else None
+    return cache.get(rows.select("user_id").distinct().withColumn("key", key), last).select("user_id", "hit", "result")
+
+
 @query("SELECT user_id % 7 AS agent, event_id FROM events WHERE user_id % 7 <> 3")
 def batch_successes(spark, d):
     """Entries of the agents that succeeded."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, funct
 
 from ..functions import text as X, urls as U
 from ..operators import dedup as D
-from ..schemas import VERSION
 from ..session import cut
+from .versions import Versions  # noqa: F401
 
 
 def append_jsonl(rows: DataFrame, path: str) -> int:
@@ -132,59 +132,6 @@ def as_document(rows: DataFrame, out: str = "document") -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias(out))
 
 
-class Versions:
-    """Versioned folders ``version=<n>`` and a manifest table that names the current one.
-
-    A new version becomes visible when its manifest is written; a rollback writes a manifest that
-    points to an older one.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def manifest(self) -> DataFrame:
-        """The newest manifest."""
-        fs, p = self._fs(f"{self.root}/_manifests")
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], VERSION)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        done = [n for n in names if fs.exists(self._fs(f"{self.root}/_manifests/{n}/_SUCCESS")[1])]
-        return self.spark.read.schema(VERSION).parquet(f"{self.root}/_manifests/{done[-1]}") if done else self.spark.createDataFrame([], VERSION)
-
-    def _publish(self, rows: list[tuple]) -> None:
-        fs, p = self._fs(f"{self.root}/_manifests")
-        n = len(fs.listStatus(p)) if fs.exists(p) else 0
-        self.spark.createDataFrame(rows, VERSION).coalesce(1).write.parquet(f"{self.root}/_manifests/{n:08d}")
-
-    def write(self, rows: DataFrame, created: str, most: int = 3) -> int:
-        """Writes a version, makes it current and keeps the newest ``most``."""
-        old = [tuple(r) for r in self.manifest().collect()]
-        version = max([0, *(r[0] for r in old)]) + 1
-        path = f"{self.root}/version={version}"
-        rows.write.parquet(path)
-        kept = sorted(old, reverse=True)[: most - 1]
-        self._publish([(version, path, created, True), *((v, p, c, False) for v, p, c, _ in kept)])
-        for v, p, _, _ in old:
-            if v not in {k[0] for k in kept}:
-                fs, gone = self._fs(p)
-                fs.delete(gone, True)
-        return version
-
-    def rollback(self, version: int) -> None:
-        rows = [tuple(r) for r in self.manifest().collect()]
-        if version not in {r[0] for r in rows}:
-            raise ValueError(f"no version {version}")
-        self._publish([(v, p, c, v == version) for v, p, c, _ in rows])
-
-    def current(self) -> DataFrame:
-        row = self.manifest().where("current").first()
-        return self.spark.read.parquet(row["path"])
-
-
 def retained(versions: DataFrame, most: int) -> DataFrame:
     """The newest ``most`` versions of each name (name, version)."""
     return versions.withColumn("__r", F.row_number().over(W.partitionBy("name").orderBy(F.desc("version")))).where(F.col("__r") <= most).drop("__r")
