@@ -576,6 +576,28 @@ def source_sentences(spark, d):
     return K.source_sentences(read(spark, d, "documents").select(F.col("doc_id").alias("citation_id"), F.col("text").alias("content")))
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS sentence FROM documents)
+SELECT doc_id, count(*) AS n, sum(length(sentence))::DOUBLE AS length, sum(length(sentence) - length(replace(sentence, 'e', '')))::DOUBLE AS e,
+       (SELECT count(DISTINCT sentence) FROM s) AS embedded FROM s GROUP BY doc_id""")
+def embedded_once(spark, d):
+    """Sentences of all documents through a batch model and its store, in two runs: each distinct one is
+    embedded once.  The model counts letters."""
+    from ..operators.embedding import EmbeddingStore
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), t.count("e")] for t in texts], float)
+
+    rows = read(spark, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("sentence"))
+    store = EmbeddingStore(spark, new_path(spark, "embeddings"), load, 2, batch_size=1000)
+    new = store.add(rows.where("doc_id % 2 = 0"), "sentence") + store.add(rows, "sentence")
+    got = store.embed(rows, "sentence")
+    sums = [F.sum(F.col("vector")[k]).alias(name) for k, name in enumerate(("length", "e"))]
+    return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *sums).withColumn("embedded", F.lit(new))
+
+
 @query(f"SELECT conv_id, turn, unnest(s) AS sentence, (strpos(text, unnest(s)) - 1)::INT AS at FROM (SELECT conv_id, turn, text, list_slice({_SENTENCES}, 1, 1) AS s FROM conversations)")
 def sentence_places(spark, d):
     rows = read(spark, d, "conversations").withColumn("s", F.slice(X.sentences("text"), 1, 1)).withColumn("at", K.places("text", F.col("s")))
