@@ -97,7 +97,8 @@ def accepted(rows: DataFrame, shard: str = "source_domain", order: str = "link",
 def start(rows: DataFrame, path: str, checkpoint: str, form: str = "json"):
     """Writes the outcome for all that is available, exactly once, and returns the query, which ends."""
     conf = rows.sparkSession.conf
-    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    # Changes are written after a batch, not the whole store; snapshots follow in the background.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, v)
