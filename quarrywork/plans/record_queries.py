@@ -996,6 +996,54 @@ def stream_accepted(spark, d):
     return spark.read.schema("doc_id long").parquet(f"{target}/batch=*")
 
 
+def file_stream(spark, rows: DataFrame, files: int = 6, at_once: int = 2) -> DataFrame:
+    """Rows as a stream of some files, ``at_once`` a micro-batch."""
+    source = new_path(spark, "stream-in")
+    rows.repartition(files).write.parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(source)
+
+
+def run_twice(spark, stream: DataFrame, each) -> None:
+    """A stream from two checkpoints, so that each of its micro-batches comes twice."""
+    for _ in range(2):
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", new_path(spark, "stream-mark")).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("""
+WITH l AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL), t AS (SELECT source, max(n) AS top FROM l GROUP BY source)
+SELECT d.source, count(*) AS n, count(*) FILTER (n_chars >= 1000) AS n_ok, round(count(*) FILTER (n_chars >= 1000) * 100.0 / count(*), 6)::DOUBLE AS success_rate, coalesce(sum(n_chars), 0)::BIGINT AS total,
+  any_value(top) AS top_lang, true AS ids_close, true AS median_close FROM documents d LEFT JOIN t ON t.source IS NOT DISTINCT FROM d.source GROUP BY d.source""")
+def incremental_counters(spark, d):
+    """Running totals by source over a stream whose micro-batches all come twice; the estimates of distinct ids
+    and of the median are held against all rows."""
+    from ..streaming.counters import Counters
+
+    rows = read(spark, d, "documents").select("doc_id", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    counters = Counters(spark, new_path(spark, "counters"), ["source"], F.col("n_chars") >= 1000, F.col("n_chars"), F.col("doc_id"), F.col("lang"), deltas=2)
+    run_twice(spark, file_stream(spark, rows), lambda batch, nr: counters.add(batch, nr) and None)
+    got = counters.totals(top=1).withColumn("median", F.col("quantiles")[0])
+    share = lambda c: F.count_if(c) / F.greatest(F.count("n_chars"), F.lit(1))
+    told = rows.withColumnRenamed("source", "s").join(F.broadcast(got.select("source", "median")) if got.count() <= 10_000 else got.select("source", "median"), F.col("s").eqNullSafe(F.col("source")))
+    true = told.groupBy("s").agg(F.countDistinct("doc_id").alias("ids"), share(F.col("n_chars") <= F.col("median")).alias("upto"), share(F.col("n_chars") < F.col("median")).alias("below"))
+    close = F.col("median").isNull() | ((F.col("upto") >= 0.45) & (F.col("below") <= 0.55))
+    return got.join(true, F.col("s").eqNullSafe(F.col("source"))).select(
+        "source", "n", "n_ok", F.round("success_rate", 6).alias("success_rate"), "total", F.col("top_items")[0]["count"].alias("top_lang"),
+        (F.abs(F.col("n_ids") - F.col("ids")) <= 0.05 * F.col("ids")).alias("ids_close"), close.alias("median_close"),
+    )
+
+
+@query("SELECT doc_id, lang, n_chars::BIGINT AS n_chars FROM documents")
+def buffered_append(spark, d):
+    """Documents from a stream whose micro-batches all come twice, written in flushes of half of them or more."""
+    from ..streaming.counters import BufferedSink
+
+    rows = read(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    with BufferedSink(spark, new_path(spark, "sink"), size=rows.count() // 2) as sink:
+        run_twice(spark, file_stream(spark, rows), lambda batch, nr: sink.add(batch, nr) and None)
+    assert sink.stats()["entries_buffered"] == 0 and sink.stats()["entries_written"] == rows.count()
+    return sink.rows(rows.schema)
+
+
 @query(f"""{_STATE.replace("WITH n", "WITH RECURSIVE n")}, s AS (SELECT * FROM n WHERE page_id % 50 = 0),
 f AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, ['u' || u, 't' || t, 'c' || c] AS keys FROM n WHERE u NOT IN (SELECT u FROM s) AND t NOT IN (SELECT t FROM s) AND c NOT IN (SELECT c FROM s)),
 g(i, page_id, ok, marked) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL
