@@ -180,15 +180,31 @@ def web_single_strategy(spark, d):
     return B.one_strategy(asked(spark, d), got.drop("item_id").distinct(), most=5).where(F.col("query").endswith(" agriculture"))
 
 
-@query(f"""
+_THREE = f"""
 WITH h AS (SELECT * FROM ({_SEARCH})), c AS (SELECT item_id AS query_id, CASE WHEN query LIKE '% agriculture' THEN 1 WHEN query LIKE '% farming' THEN 2 ELSE 0 END AS strategy, rank, href FROM h WHERE query NOT LIKE '% farming India'),
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, href ORDER BY strategy, rank) = 1)
-SELECT query_id, strategy, rank, href, row_number() OVER (PARTITION BY query_id ORDER BY strategy, rank)::INT AS position FROM f QUALIFY position <= 12""")
+SELECT query_id, strategy, rank, href, row_number() OVER (PARTITION BY query_id ORDER BY strategy, rank)::INT AS position FROM f QUALIFY position <= 12"""
+
+
+@query(_THREE)
 def web_three_strategies(spark, d):
     got = B.three_strategies(asked(spark, d), searched(spark, d).drop("item_id").distinct(), 12)
     return got.select("query_id", "strategy", "rank", "href", "position")
 
 
+@query(_THREE)
+def web_recorded(spark, d):
+    """The same flow over hits recorded in two rounds and read through the data source."""
+    from ..sources import recorded_search as S
+
+    S.register(spark)
+    path, hits = new_path(spark, "recorded"), searched(spark, d).drop("item_id").distinct()
+    for part in (F.col("rank") <= 4, F.col("rank") > 4):
+        S.record(hits.where(part), path)
+    got = B.three_strategies(asked(spark, d), spark.read.format(S.NAME).load(path), 12)
+    return got.select("query_id", "strategy", "rank", "href", "position")
+
+
 _CANDIDATES = "SELECT item_id, rank, href, round(((item_id * 3 + rank) % 10) / 10.0, 6)::DOUBLE AS estimated_quality, round(((item_id + rank * 7) % 6) / 5.0, 6)::DOUBLE AS relevance_score FROM (" + _SEARCH + ") WHERE query NOT LIKE '% agriculture' AND query NOT LIKE '% farming' AND query NOT LIKE '% farming India'"
 
 
