@@ -39,10 +39,12 @@ def accepted(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """A row is accepted iff none of its keys belongs to an accepted earlier row; rejected rows mark
     nothing.  Null keys mark and match nothing.
 
-    This is the first maximal independent set in ``order``.  Rounds of two aggregates: a row that is
-    the earliest open one in all of its keys is accepted, and all that share a key with it are
-    rejected.  Rounds go on until at most ``FEW`` entries (rows and keys) are open, which are finished by
-    the plain loop on the driver.  Nothing is gathered by component.  ``order`` must be unique.
+    This is the first maximal independent set in ``order``.  In a round, a row that is the earliest open
+    one in all of its keys is accepted, and all that share a key with an accepted row are rejected.  From the
+    second round on, rows that share keys with one earlier row alone are decided too, however far back their chain
+    reaches: they are accepted iff that row is not, and such links are composed by doubling.  Rounds go on until
+    at most ``FEW`` entries (rows and keys) are open, which are finished by the plain loop on the driver.
+    Nothing is gathered by component.  ``order`` must be unique.
     """
     kinds = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)])
     edges = rows.select(F.col(order).alias("o"), F.explode_outer(F.array_compact(kinds)).alias("k"))
@@ -52,9 +54,7 @@ def accepted(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
             rest = _greedy(open_)
             taken = rest if taken is None else taken.union(rest)
             break
-        least = open_.where("k IS NOT NULL").groupBy("k").agg(F.min("o").alias("m"))
-        state = open_.join(least, "k", "left").groupBy("o").agg(F.max(F.when(F.col("m") < F.col("o"), 1).otherwise(0)).alias("later"))
-        won = cut(state.where("later = 0").select("o"))
+        won = _decided(open_, chains=done > 1)
         taken = won if taken is None else taken.union(won)
         if done % 20 == 0:
             taken = cut(taken)
@@ -65,6 +65,37 @@ def accepted(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.join(taken.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left_semi")
 
 
+def _decided(open_: DataFrame, chains: bool) -> DataFrame:
+    """The open rows (o, k) that a round accepts; with ``chains``, also those that chains lead to."""
+    least = open_.where("k IS NOT NULL").groupBy("k").agg(F.min("o").alias("m"))
+    placed = open_.join(least, "k", "left")
+    if not chains:
+        later = placed.groupBy("o").agg(F.max(F.when(F.col("m") < F.col("o"), 1).otherwise(0)).alias("later"))
+        return cut(later.where("later = 0").select("o"))
+    placed = cut(placed)
+    second = placed.where("o > m").groupBy("k").agg(F.min("o").alias("m2"))
+    # The second of a key follows its first alone; a later one follows two or more.
+    told = placed.join(second, "k", "left").select("o", F.when(F.col("o") == F.col("m2"), F.col("m")).alias("p"), (F.col("o") > F.col("m2")).alias("far"))
+    state = cut(told.groupBy("o").agg(F.min("p").alias("p"), F.max("p").alias("q"), F.max("far").alias("far")))
+    more = F.coalesce("far", F.lit(False))
+    free = state.where(~more & F.col("p").isNull()).select("o")
+    links = state.where(~more & (F.col("p") == F.col("q"))).select("o", "p", F.lit(True).alias("odd"), F.lit(False).alias("ended"))
+    ends = _doubled(cut(links))
+    return cut(free.union(ends.where("NOT odd").join(free.withColumnRenamed("o", "p"), "p", "left_semi").select("o")))
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """Links (o, p, odd, ended) led on to the first row that has no link; ``odd`` tells whether that takes an odd
+    number of steps.  Each turn doubles the steps, so there are as many as the longest chain has binary digits."""
+    while not links.where("NOT ended").isEmpty():
+        ahead = links.select(F.col("o").alias("at"), F.col("p").alias("to"), F.col("odd").alias("more"))
+        led = links.where("NOT ended").join(ahead, F.col("p") == F.col("at"), "left").select(
+            "o", F.coalesce("to", "p").alias("p"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("at").isNull().alias("ended")
+        )
+        links = cut(led.union(links.where("ended")))
+    return links
+
+
 def _greedy(open_: DataFrame) -> DataFrame:
     """The accepted ones of few open rows (o, k), row by row in order of o."""
     marked, won = set(), []
