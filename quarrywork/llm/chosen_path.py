@@ -185,20 +185,48 @@ def _lopsided(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) ->
     rows = tables.table(f"{label}-rows", rows)
     if rows.isEmpty():
         return None
-    need = tables.table(f"{label}-need", rows.select("id").distinct())
-    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need.hint("shuffle_hash")
-    sets = tables.table(f"{label}-sets", texts.join(need, "id").mapInArrow(_full_sets, "id long, set binary"))
-    rows = rows.join(sets, "id")
+    rows = _with_sets(tables, label, texts, rows)
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
     whole = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("kind", F.lit(1))
     others = rows.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("kind", F.lit(0))
-    both = whole.unionByName(others).select("node", "chunk", "kind", "id", "comp", "sig", "set")
-    found = both.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind", "id").mapInArrow(_against, "a long, b long")
-    found = tables.table(f"{label}-links", found)
+    found = tables.table(f"{label}-links", _met(whole.unionByName(others)))
     tables.drop(f"{label}-sets", f"{label}-rows")
     return found
 
 
+def _blocks(tables: Scratch, texts: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Links between components within large nodes: each meeting is of two blocks of one node, or one with itself.
+
+    As in ``_lopsided`` sets decide on the spot, so a crowd of texts that are nearly alike leaves no candidates.
+    """
+    rows = tables.table("blocks-rows", rows)
+    if rows.isEmpty():
+        return None
+    ranked = rank_within(tables, "blocks", rows, "node", ["id"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    most = ranked.groupBy("node").agg(F.max("block").alias("last"))
+    ranked = tables.table("blocks-ranked", ranked.join(most, "node").select("node", "id", "comp", "sig", "block", "last"))
+    block, other = F.col("block"), F.col("other")
+    met = _with_sets(tables, "blocks", texts, ranked).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    kinds = F.when(block < other, F.array(F.lit(0))).when(block > other, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.withColumn("chunk", F.least(block, other) * (F.col("last") + 1) + F.greatest(block, other)).withColumn("kind", F.explode(kinds))
+    found = tables.table("blocks-links", _met(met))
+    tables.drop("blocks-sets", "blocks-ranked", "blocks-rows")
+    return found
+
+
+def _with_sets(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows with the full sets of their documents."""
+    need = tables.table(f"{label}-need", rows.select("id").distinct())
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need.hint("shuffle_hash")
+    return rows.join(tables.table(f"{label}-sets", texts.join(need, "id").mapInArrow(_full_sets, "id long, set binary")), "id")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Links between the documents of kind 0 and those of kind 1 of each node and chunk."""
+    rows = rows.select("node", "chunk", "kind", "id", "comp", "sig", "set")
+    return rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "kind", "id").mapInArrow(_against, "a long, b long")
+
+
 @lean
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -209,7 +237,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node, chunk and kind: the others (kind 0, at most ``REST``) come first and are
+    """Rows sorted by node, chunk and kind: the others (kind 0, at most ``REST`` or ``BLOCK``) come first and are
     kept, then the node's documents stream by and are compared with them on their full sets."""
     key, ids, comps, sigs, kept = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDTH), np.uint16), []
     for batch in batches:
@@ -247,28 +275,6 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _blocks(tables: Scratch, rows: DataFrame) -> DataFrame:
-    """All pairs between components within large nodes: each task has two blocks of one node."""
-    ranked = rank_within(tables, "blocks", tables.table("large", rows), "node", ["id"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
-    most = ranked.groupBy("node").agg(F.max("block").alias("last"))
-    ranked = ranked.join(most, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    cell = F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        x, y = (pdf[pdf["block"] == b] for b in (key[1]["x"], key[1]["y"]))
-        sx, sy = (np.frombuffer(b"".join(p["sig"]), np.uint16).reshape(-1, WIDTH) for p in (x, y))
-        xi, yi, xc, yc = x["id"].to_numpy(), y["id"].to_numpy(), x["comp"].to_numpy(), y["comp"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            hit = np.flatnonzero((yc != xc[k]) & ((sy == sx[k]).sum(axis=1) >= ALIKE))
-            out += [(max(xi[k], yi[h]), min(xi[k], yi[h])) for h in hit]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return ranked.withColumn("cell", cell).groupBy("node", "cell").applyInPandas(compare, "a long, b long")
-
-
 def _confirm(tables: Scratch, label: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     need = tables.table(f"{label}-need", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -355,11 +361,10 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     # Nodes have names of their own at every depth, so all depths are finished together.
     sure = _lopsided(tables, "lopsided", texts, reduce(DataFrame.unionByName, lopsided))
     edges = edges if sure is None else edges.unionByName(sure)
+    sure = _blocks(tables, texts, reduce(DataFrame.unionByName, dense).select(*columns))
+    edges = edges if sure is None else edges.unionByName(sure)
     together = reduce(DataFrame.unionByName, small).select(*columns).repartition("node").sortWithinPartitions("node")
     pairs = together.mapInArrow(_exhaust, "a long, b long")
-    crowds = reduce(DataFrame.unionByName, dense).select(*columns)
-    if not crowds.isEmpty():
-        pairs = pairs.unionByName(_blocks(tables, crowds))
     pairs = tables.table("pairs", pairs.distinct())
     tables.drop(*[f"alive-{k}" for k in range(DEPTH + 1)])
     if pairs.isEmpty():
