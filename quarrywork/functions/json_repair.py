@@ -24,13 +24,14 @@ def candidates(raw: Text) -> list[Column]:
 
 def repaired(raw: Text, required: Sequence[str] = ()) -> Column:
     """The repaired object's text, or null."""
-    valid = []
-    for c in candidates(raw):
+
+    def valid(c: Column) -> Column:
         ok = F.try_parse_json(c).isNotNull() & c.startswith("{")
         for k in required:
             ok = ok & F.get_json_object(c, f"$.{k}").isNotNull()
-        valid.append(F.when(ok, c))
-    return F.coalesce(*valid)
+        return F.when(ok, c)
+
+    return F.coalesce(*[X.let(c, valid) for c in candidates(raw)])
 
 
 def number(raw: Text, field: str) -> Column:
@@ -43,29 +44,43 @@ def salvaged(raw: X.Text) -> Column:
     """What ``"key": value`` pairs a broken text holds, as JSON of strings, numbers and lists of strings;
     null without any.  Keys found as a number replace those found as a string, lists replace both; of
     equal ones the last counts."""
-    t = X.col(raw)
+    return X.let(X.col(raw), lambda t: X.let(_pairs(t), _last_of_each))
+
+
+def _bare(text: Column) -> Column:
+    """A text as JSON has it between quotes."""
+    return X.let(F.to_json(F.array(text)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+
+
+def _pairs(t: Column) -> Column:
+    """(k, v) of a text: those found as strings, then numbers, then lists."""
     pairs = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     key = lambda x: F.regexp_extract(x, r'^"([^"]+)"', 1)
     after = lambda x: F.regexp_replace(x, r'(?s)^"[^"]+":\s*', "")
-    quote = lambda x: F.to_json(F.array(x))
-    bare = lambda x: F.substring(quote(x), F.lit(2), F.length(quote(x)) - 2)
     as_number = lambda v: v.cast("double").cast("string")
     word = lambda x: F.regexp_extract(x, r'(?s)^"[^"]+":\s*"([^"]*)"$', 1)
-    strings = F.transform(pairs(r'"[^"]+":\s*"[^"]*"'), lambda x: F.struct(key(x).alias("k"), F.when(word(x).rlike(r"^\d+\.?\d*$"), as_number(word(x))).otherwise(bare(word(x))).alias("v")))
+    value = lambda w: F.when(w.rlike(r"^\d+\.?\d*$"), as_number(w)).otherwise(_bare(w))
+    strings = F.transform(pairs(r'"[^"]+":\s*"[^"]*"'), lambda x: F.struct(key(x).alias("k"), X.let(word(x), value).alias("v")))
     numbers = F.transform(pairs(r'"[^"]+":\s*\d+\.?\d*'), lambda x: F.struct(key(x).alias("k"), as_number(after(x)).alias("v")))
     lists = F.transform(pairs(r'(?s)"[^"]+":\s*\[.*?\]'), lambda x: F.struct(key(x).alias("k"), F.to_json(F.regexp_extract_all(after(x), F.lit(r'"([^"]+)"'), F.lit(1))).alias("v")))
-    every = F.concat(strings, numbers, lists)
-    keys = F.array_distinct(F.transform(every, lambda x: x["k"]))
+    return F.concat(strings, numbers, lists)
+
+
+def _last_of_each(every: Column) -> Column:
+    """JSON of the last value of each key."""
     last = lambda k: F.element_at(F.filter(every, lambda x: x["k"] == k), -1)["v"]
-    return F.when(F.size(keys) > 0, F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(bare(k), F.lit(":"), last(k))), ","), F.lit("}")))
+    object_ = lambda keys: F.when(F.size(keys) > 0, F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_bare(k), F.lit(":"), last(k))), ","), F.lit("}")))
+    return X.let(F.array_distinct(F.transform(every, lambda x: x["k"])), object_)
 
 
 def conforms(data: X.Text, schema: dict) -> Column:
     """Whether a JSON object has a schema's required keys, and those of its properties that it has the
     right type (string, number, array) and range."""
-    d = X.col(data)
+    return X.let(X.col(data), lambda d: X.let(F.coalesce(F.json_object_keys(d), F.array().cast("array<string>")), lambda keys: _conforms(d, keys, schema)))
+
+
+def _conforms(d: Column, keys: Column, schema: dict) -> Column:
     ok = F.try_parse_json(d).isNotNull() & F.trim(d).startswith("{")
-    keys = F.coalesce(F.json_object_keys(d), F.array().cast("array<string>"))
     for name in schema.get("required", ()):
         ok = ok & F.array_contains(keys, name)
     for name, rule in schema.get("properties", {}).items():
@@ -92,16 +107,19 @@ def default_analysis() -> Column:
 
 def parsed(raw: X.Text, schema: dict = ANALYSIS_SCHEMA, default: Column | None = None) -> Column:
     """The repaired object if it conforms, else the salvaged pairs if these do, else the default."""
-    fixed, rest = repaired(raw, schema.get("required", ())), salvaged(raw)
+    good = lambda data: X.let(data, lambda d: F.when(conforms(d, schema), d))
     fallback = default_analysis() if default is None else default
-    return F.coalesce(F.when(conforms(fixed, schema), fixed), F.when(conforms(rest, schema), rest), fallback)
+    return F.coalesce(good(repaired(raw, schema.get("required", ()))), good(salvaged(raw)), fallback)
 
 
 def merged_analysis(data: X.Text) -> Column:
     """An analysis as a struct: the score within 0 to 1 (0.5 if it is none), the lists up to 5, 10 and 10
     entries, defaults where a key is missing."""
     kind = "domain string, relevance_score string, key_insights array<string>, indian_context string, actionable_info string, data_points array<string>, geographic_relevance array<string>"
-    d = F.from_json(X.col(data), kind, {"mode": "PERMISSIVE"})
+    return X.let(F.from_json(X.col(data), kind, {"mode": "PERMISSIVE"}), _merged)
+
+
+def _merged(d: Column) -> Column:
     listed = lambda name, most: F.slice(F.coalesce(d[name], F.array().cast("array<string>")), 1, most).alias(name)
     text = lambda name: F.coalesce(d[name], F.lit(ANALYSIS[name])).alias(name)
     score = clamp(F.coalesce(d["relevance_score"].try_cast("double"), F.lit(0.5))).alias("relevance_score")

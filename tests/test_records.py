@@ -304,3 +304,13 @@ def test_append_new_and_stats(spark, tmp_path):
     state, done = sinks.append_new(spark.createDataFrame([("http://b.com?x", "V", "v", 1), ("http://e.com", "W", "X ", 2), ("http://f.com", None, None, 3)], schema), state, path)
     assert done == {"written": 1, "duplicates": 2} and sinks.stats(spark, path)["entries"] == 3
     assert sorted(r.link for r in spark.read.schema(schema).json(path).collect()) == ["http://a.com", "http://b.com", "http://f.com"]
+
+
+def test_salvage_reads_a_text_once(spark):
+    """The plan does not repeat what it computes: its size grew with each use of a value before."""
+    from quarrywork.functions import json_repair as J
+
+    rows = spark.createDataFrame([('"domain": "x", "relevance_score": 0.5, "key_insights": ["a"] and "domain": "y"',), (None,), ("{}",)], "raw string")
+    got = rows.select(J.parsed("raw").alias("p"), J.salvaged("raw").alias("s"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 8
+    assert got.collect()[0].s == '{"domain":"y","relevance_score":0.5,"key_insights":["a"]}' and got.collect()[0].p == got.collect()[0].s
