@@ -41,19 +41,21 @@ def enhanced_abstract(text: X.Text, limit: int = 500, **options) -> Column:
 def term_counts_top(text: X.Text, terms: Sequence[str], most: int = 20) -> Column:
     """The commonest whole words of a lexicon, ties in order of first place."""
     found = F.regexp_extract_all(F.lower(X.col(text)), F.lit(X.term_pattern(terms)), F.lit(0))
-    ranked = F.transform(F.array_distinct(found), lambda w: F.struct((-F.size(F.filter(found, lambda v: v == w))).alias("n"), F.array_position(found, w).alias("at"), w.alias("w")))
+    count = lambda w, all_: F.struct((-F.size(F.filter(all_, lambda v: v == w))).alias("n"), F.array_position(all_, w).alias("at"), w.alias("w"))
+    ranked = X.let(found, lambda all_: F.transform(F.array_distinct(all_), lambda w: count(w, all_)))
     return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda x: x["w"])
 
 
 def structured_info(text: X.Text, title: X.Text = "", threshold: float = 0.3, agri: Sequence[str] = L.AGRI_TERMS, farm: Sequence[str] = L.FARM_TERMS, region: Sequence[str] = L.REGION_TERMS) -> Column:
     """Relevance, top 20 terms, first ten relevant paragraphs, places, word and paragraph counts; a null
     or empty text has relevance 0, empty lists and a null paragraph count."""
-    t = F.coalesce(X.col(text), F.lit(""))
-    score = S.density(t, title, agri, farm, region)
-    paragraphs = relevant_paragraphs(t, places=region)
+    return X.let(F.coalesce(X.col(text), F.lit("")), lambda t: X.let(S.density(t, title, agri, farm, region), lambda score: X.let(relevant_paragraphs(t, places=region), lambda paragraphs: _info(t, score, paragraphs, threshold, (*agri, *farm), region))))
+
+
+def _info(t: Column, score: Column, paragraphs: Column, threshold: float, terms: Sequence[str], region: Sequence[str]) -> Column:
     none = F.array().cast("array<string>")
     some = F.struct(
-        (score >= threshold).alias("is_relevant"), score.alias("relevance_score"), term_counts_top(t, (*agri, *farm)).alias("key_terms"), F.slice(paragraphs, 1, 10).alias("paragraphs"),
+        (score >= threshold).alias("is_relevant"), score.alias("relevance_score"), term_counts_top(t, terms).alias("key_terms"), F.slice(paragraphs, 1, 10).alias("paragraphs"),
         F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(X.term_pattern(region)), F.lit(0)))).alias("regions_mentioned"), X.word_count(t).alias("word_count"), F.size(paragraphs).alias("paragraph_count"),
     )
     empty = F.struct(F.lit(False).alias("is_relevant"), F.lit(0.0).alias("relevance_score"), none.alias("key_terms"), none.alias("paragraphs"), none.alias("regions_mentioned"), F.lit(0).cast("long").alias("word_count"), F.lit(None).cast("int").alias("paragraph_count"))

@@ -20,11 +20,10 @@ def density(text: X.Text, title: X.Text = "", agri: Sequence[str] = L.AGRI_TERMS
     whole = F.concat_ws(" ", title, title, X.col(text))
 
     def score(t: Column) -> Column:
-        n = X.word_count(t)
-        # The text is cut into words once for all three lists.
-        parts = X.let(X.word_list(t), lambda found: F.struct(*[X._counted(t, found, terms).alias(name) for name, terms in (("a", agri), ("f", farm), ("r", region))]))
-        value = X.let(parts, lambda c: c["a"] / n * 0.5 + c["f"] / n * 0.3 + c["r"] / n * 0.2)
-        return F.when(n == 0, F.lit(0.0)).otherwise(_cap(value + F.when(X.term_count(title, agri) > 0, 0.2).otherwise(0.0)))
+        # The text is cut into words once for all three lists, and counted once.
+        parts = lambda n: X.let(X.word_list(t), lambda found: F.struct(n.alias("n"), *[X._counted(t, found, terms).alias(name) for name, terms in (("a", agri), ("f", farm), ("r", region))]))
+        value = X.let(X.let(X.word_count(t), parts), lambda c: F.when(c["n"] > 0, c["a"] / c["n"] * 0.5 + c["f"] / c["n"] * 0.3 + c["r"] / c["n"] * 0.2))
+        return X.let(value, lambda v: F.when(v.isNull(), F.lit(0.0)).otherwise(_cap(v + F.when(X.term_count(title, agri) > 0, 0.2).otherwise(0.0))))
 
     return X.let(whole, score)
 
