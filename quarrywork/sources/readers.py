@@ -34,15 +34,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return ids.join(splits, ["file", "__at"]).select("value", "file", (place + F.col("__own")).alias("row_idx"), (place + F.col("__all")).alias("line_no"))
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_RECORD, keep: Column | None = None, most: int | None = None) -> DataFrame:
-    """JSON lines with ``row_idx``, the line's number in its file (blank lines count).
+def jsonl(spark: SparkSession, path: str, schema: T.StructType = CORPUS_RECORD, keep: Column | None = None, most: int | None = None, over_all: bool = False) -> DataFrame:
+    """JSON lines with ``row_idx``, the line's number in its file or, with ``over_all``, over all files in order
+    of name (blank lines count).
 
     Blank and malformed lines are dropped; ``keep`` filters records; ``most`` stops after that many
     kept ones, in order of file and line.
     """
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     lines = numbered_lines(spark, path).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
-    rows = lines.select(parsed.alias("r"), "row_idx", "line_no").select("r.*", "row_idx", "line_no")
+    number = F.col("line_no" if over_all else "row_idx").alias("row_idx")
+    rows = lines.select(parsed.alias("r"), number, "line_no").select("r.*", "row_idx", "line_no")
     rows = rows.where(keep) if keep is not None else rows
     return (rows.orderBy("line_no").limit(most) if most is not None else rows).drop("line_no")
 
