@@ -985,10 +985,14 @@ def document_stream(spark, d, parts: int = 3) -> DataFrame:
     """Documents with three keys each as a stream, in ``parts`` micro-batches by ascending id."""
     source = new_path(spark, "stream-in")
     rows = _keys(spark, d).select("doc_id", F.col("url").alias("url_key"), F.col("title").alias("title_key"), F.col("content").alias("content_key"), F.col("title").substr(1, 3).alias("shard"))
+    # Texts are read once, by all tasks; what one task then writes as a file are the keys of a micro-batch.
+    keys = new_path(spark, "stream-keys")
+    rows.write.parquet(keys)
+    rows = spark.read.schema(rows.schema).parquet(keys)
     cuts = rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = rows if lo is None else rows.where(F.col("doc_id") > lo)
-        (part if hi is None else part.where(F.col("doc_id") <= hi)).coalesce(1 if parts > 1 else 8).write.mode("append").parquet(source)
+        (part if hi is None else part.where(F.col("doc_id") <= hi)).repartition(1 if parts > 1 else 8).write.mode("append").parquet(source)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
