@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from .sampling import among_first
 from .scratch import unused
 from .wordhash import mix, slices, words
-from .worker import lean
+from .worker import give_back, lean
 
 SLOTS = 1 << 20
 CHUNK = 64
@@ -115,14 +115,19 @@ def _sweep(energy: np.ndarray, t: np.ndarray, before: np.ndarray) -> np.ndarray:
     block of steps is one 2 x 2 matrix.  Chains are restarted by a step that forgets r.
     """
     n = len(energy)
-    e = np.exp(np.clip(energy, -30, 30))
-    a, b, c, d = e * t[1, 1], e * t[0, 1], np.full(n, t[1, 0]), np.full(n, t[0, 0])
     starts = np.unique(before[:-1][before[:-1] < before[1:]])
-    a[starts], c[starts], d[starts], b[starts] = 0.0, 0.0, 1.0, e[starts]
     rows = -(-n // CHUNK)
-    pad = rows * CHUNK - n
-    shape = lambda x, v: np.concatenate([x, np.full(pad, v)]).reshape(rows, CHUNK)
-    a, b, c, d = shape(a, 1.0), shape(b, 0.0), shape(c, 0.0), shape(d, 1.0)
+
+    def padded(x, at_start, rest: float) -> np.ndarray:
+        out = np.full(rows * CHUNK, rest)
+        out[:n] = x
+        out[starts] = at_start
+        return out.reshape(rows, CHUNK)
+
+    e = np.exp(np.clip(energy, -30, 30))
+    a, b = padded(e * t[1, 1], 0.0, 1.0), padded(e * t[0, 1], e[starts], 0.0)
+    del e
+    c, d = padded(t[1, 0], 0.0, 0.0), padded(t[0, 0], 1.0, 1.0)
     # The matrix of each block.
     pa_, pb, pc, pd = a[:, 0].copy(), b[:, 0].copy(), c[:, 0].copy(), d[:, 0].copy()
     for k in range(1, CHUNK):
@@ -189,8 +194,10 @@ def toxic_types(bucket: np.ndarray, size: int, before: np.ndarray, kinds: np.nda
     and far more rarely in clean ones.  Copies of a document repeat its neighbours and count once; so
     does a word that one document repeats, as documents are counted, too, and the lesser count holds."""
     doc = np.repeat(np.arange(len(kinds)), np.diff(before))
-    left, right = np.roll(bucket, 1), np.roll(bucket, -1)
-    context = mix((left.astype(np.uint64) << np.uint64(40)) ^ (right.astype(np.uint64) << np.uint64(18)) ^ bucket.astype(np.uint64))
+    context = np.roll(bucket, 1).astype(np.uint64) << np.uint64(40)
+    context ^= np.roll(bucket, -1).astype(np.uint64) << np.uint64(18)
+    context ^= bucket.astype(np.uint64)
+    context = mix(context)
     count = []
     for kind in (0, 1):
         own = kinds[doc] == kind
@@ -224,12 +231,16 @@ def train(texts: list[str], kinds: np.ndarray, rounds: int = 20, rate: float = 1
         part, _, _, upto = token_hashes(raw, offsets)
         found.append(part), before.append(upto[1:] + before[-1][-1])
     hashes, before = np.concatenate(found), np.concatenate(before)
+    del found
+    give_back()  # what the words of the texts took, in the driver
     if not kinds.any() or not len(hashes):
         return Model(np.zeros(1, np.uint64), np.full(1, -4.0), np.zeros(1), np.zeros((2, 2)), (0.0, -4.0))
     vocabulary, bucket = np.unique(hashes, return_inverse=True)
     size = len(vocabulary)
     doc = np.repeat(np.arange(len(texts)), np.diff(before))
     label = (toxic_types(bucket, size, before, kinds)[bucket] & (kinds[doc] == 1)).astype(float)
+    del doc
+    give_back()
     own, near, chain = np.full(size, -4.0), np.zeros(size), np.zeros((2, 2))
     inside = np.ones(len(bucket), bool)
     inside[before[:-1][before[:-1] < len(bucket)]] = False
