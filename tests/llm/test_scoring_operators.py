@@ -179,6 +179,29 @@ def test_url_verdicts_equal_brute_force(spark, sf):
         assert got[r.page_id].verdict == ("allow" if (fit[1] if fit else score(r.url or "") >= limit - 1e-12) else "block")
 
 
+def test_url_models_count_all_urls(spark, monkeypatch):
+    """Also beyond 20,000 labelled URLs a class, and long ones; with bounded tables, commoner contexts stay."""
+    from pyspark.sql import functions as F
+
+    urls = [f"http://a.com/en/{k * 7919 % 100003}" for k in range(26_000)] + [f"http://b.net/es/{k}?" for k in range(300)] + ["http://c.com/" + "z" * 3000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = url_filter.fit(pages)
+    order = {r.url: r.h for r in pages.select("url", F.xxhash64("url").alias("h")).collect()}
+    known = [sorted((u for u in urls if brute_url(u)[2][1] == kind), key=lambda u: (order[u], u)) for kind in (True, False)]
+    want = url_filter.UrlModel(*known)
+    assert np.allclose(model.scores(urls[::97]), want.scores(urls[::97])) and model.limit == pytest.approx(want.limit)
+    monkeypatch.setattr(url_filter, "SCORES", 50)
+    monkeypatch.setattr(url_filter, "CELLS", 8)
+    assert url_filter.fit(pages).limit == pytest.approx(want.limit)
+    monkeypatch.setattr(url_filter, "EVENTS", 600)
+    small = url_filter.fit(pages)
+    assert all(len(e.keys) - 1 <= 600 for e in small.good.events)
+    known = {c for own in small.good.known.values() for c in own}
+    for context in ("", "h", "http:", "zzzzz", "en/12"):
+        assert sum(small.good.probability(context, c) for c in known) <= 1 + 1e-9
+    assert small.score("http://a.com/en/7") > small.score("http://b.net/es/7?")
+
+
 def test_accepted_urls_keep_their_columns(spark):
     rows = list(enumerate(URLS)) + [(99, "http://x.org/" + "long/" * 20_000)]
     pages = spark.createDataFrame([(i, u, 0.5, "x") for i, u in rows], "page_id long, url string, __qw_score double, host string")
