@@ -194,3 +194,15 @@ def test_rag_answers_all_questions(spark, sf):
     from quarrywork.plans.queries import QUERIES
 
     assert {r.item_id for r in QUERIES["rag_pipeline"](spark, sf).select("item_id").collect()} == {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+
+
+def test_main_text_builds_nothing_else(spark, monkeypatch):
+    """Only the readable text of a page is built where only that is asked for, and it is the same."""
+    import pandas as pd
+
+    pages = ["<html><body><p>" + "word " * 60 + "</p><table><tr><td>a</td></tr></table></body></html>", "<p>short</p><li>x</li>", "", None]
+    want = [H._record(p, H.SILENT)["readable"] for p in pages]
+    monkeypatch.setattr(H, "_record", None)
+    assert H._readable.func(pd.Series(pages, dtype=object)).tolist() == want
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r.m for r in df.select(H.main_text("html").alias("m")).collect()] == want
