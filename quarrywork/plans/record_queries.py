@@ -606,7 +606,10 @@ def embedded_once(spark, d):
 
         return lambda texts: np.array([[len(t), t.count("e")] for t in texts], float)
 
-    rows = read(spark, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("sentence"))
+    # Read four times below, so sentences are cut once, and written.
+    rows, path = read(spark, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("sentence")), new_path(spark, "sentences")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     store = EmbeddingStore(spark, new_path(spark, "embeddings"), load, 2, batch_size=1000)
     new = store.add(rows.where("doc_id % 2 = 0"), "sentence") + store.add(rows, "sentence")
     got = store.embed(rows, "sentence")
