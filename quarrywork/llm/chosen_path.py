@@ -4,8 +4,8 @@ Sets are the 5-word shingles of whole texts, as 64-bit hashes.  Texts with equal
 and only its representative goes on.  Each representative has ``WIDTH`` minwise tokens.  A tree
 starts with all documents in its root; a node picks ``BRANCH`` of the minwise positions (by a hash
 of its path), and sends each document to the child named by the token that it has there.  Nodes of
-one document end.  Nodes of up to ``SMALL`` documents are compared exhaustively; larger ones branch
-again.  ``TREES`` independent trees are grown at once.
+one document end.  Nodes of up to ``SMALL`` documents are compared exhaustively; those of more
+than ``FINISH`` branch again.  ``TREES`` independent trees are grown at once.
 
 Recall.  A pair of similarity s survives a node with probability p = 1 - (1 - s p)^2; for s = 0.75
 the fixed point is 8/9, at any depth, so six trees miss such a pair with probability below 2e-6, and
@@ -15,11 +15,14 @@ pairs further above the threshold less.  Pairs are tested on 64 tokens first (th
 Large groups.  Only connectivity is asked for, so first every document is compared with one leader:
 of its root children's least ids the one most like it.  That is one pair a document, and it joins
 groups of near copies of any size.  Nodes whose documents all have one component are then finished;
-the trees look only for pairs between components.  Branching cannot part documents that are nearly
-all alike, and going on would repeat them in ever more nodes, so a node that kept at least ``KEEPS`` of
-its parent's documents is finished at once: where up to ``REST`` documents lie outside its largest
-component, by comparing these with all of it, dealt over tasks, else in blocks of ``BLOCK`` documents,
-whole, each block pair a task of its own.  The same is done with nodes still large at ``DEPTH``.
+the trees look only for pairs between components.  Where a component has half of a node, and
+half of the component lies there, it leaves the node: the others meet all of it, once for all nodes, and
+only they go on.  Branching cannot part documents that are nearly all alike, and going on would repeat
+them in ever more nodes, so a node of up to ``FINISH`` documents, and one that kept at least ``KEEPS`` of
+its parent's, is finished at once: where up to ``REST`` documents lie outside its largest component, by
+comparing these with all of it, dealt over tasks, else in blocks of ``BLOCK`` documents, whole, each block
+pair a task of its own.  The same is done with nodes still large at ``DEPTH``.  A crowd in which no
+component has half is thus compared in full, in each node that it fills: a square of its documents.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and link with
 nothing; shorter texts than five words have one shingle; a null id links with nothing and stays;
@@ -49,6 +52,8 @@ KEEPS = 0.75
 #: Documents outside an unparted node's largest component up to which they are compared with the whole
 #: node, and the documents of a node that one task then holds.
 REST, CHUNK = 256, 1024
+#: Documents up to which a node is finished at once, in two blocks at most, instead of being repeated in children.
+FINISH = 512
 #: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
 ALIKE = 34
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it the join shuffles.
@@ -177,7 +182,7 @@ def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _lopsided(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """Links of documents outside their node's main component with all of the node, by chunks of it.
+    """Links of documents outside their node's main component with all of the node.
 
     Sets travel with the rows and decide on the spot: what comes out is one confirmed link for each
     document and component, not the candidates.
@@ -186,14 +191,41 @@ def _lopsided(tables: Scratch, label: str, texts: DataFrame, rows: DataFrame) ->
     if rows.isEmpty():
         return None
     rows = _with_sets(tables, label, texts, rows)
-    chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-    whole = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("kind", F.lit(1))
-    others = rows.where("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("kind", F.lit(0))
-    found = tables.table(f"{label}-links", _met(whole.unionByName(others)))
+    found = tables.table(f"{label}-links", _met(_grid(rows.withColumn("rest", F.lit(REST)), rows.where("comp <> main").withColumn("rest", F.lit(REST)))))
     tables.drop(f"{label}-sets", f"{label}-rows")
     return found
 
 
+def _grid(whole: DataFrame, others: DataFrame) -> DataFrame:
+    """Meetings of some ``REST`` others (``rest`` of them in their node) with some ``CHUNK`` of all its ``n`` documents."""
+    chunks, blocks = F.ceil(F.col("n") / CHUNK).cast("long"), F.ceil(F.col("rest") / REST).cast("long")
+    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    dealt = lambda many: F.pmod(F.xxhash64("id"), many)
+    whole = whole.withColumn("one", dealt(chunks)).withColumn("other", each(blocks)).withColumn("kind", F.lit(1))
+    others = others.withColumn("one", each(chunks)).withColumn("other", dealt(blocks)).withColumn("kind", F.lit(0))
+    return whole.unionByName(others).withColumn("chunk", F.col("other") * chunks + F.col("one"))
+
+
+def _hung(tables: Scratch, texts: DataFrame, reps: DataFrame, comp: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Links of documents with the main components that they have met in any node, each pair of these once.
+
+    ``rows``: id, comp, sig, main.  As in ``_lopsided`` sets decide on the spot.
+    """
+    others = tables.table("hung-rows", rows.dropDuplicates(["id", "main"]))
+    if others.isEmpty():
+        return None
+    mains = tables.table("hung-mains", others.groupBy("main").agg(F.count(F.lit(1)).alias("rest")))
+    whole = comp.select(F.col("node").alias("id"), F.col("component").alias("comp")).join(mains.hint("shuffle_hash"), F.col("comp") == F.col("main"))
+    whole = tables.table("hung-whole", whole.join(reps.select("id", "sig").hint("shuffle_hash"), "id"))
+    mains = tables.table("hung-sizes", whole.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest")))
+    both = whole.drop("rest").withColumn("all", F.lit(True)).unionByName(others.withColumn("all", F.lit(False)))
+    both = tables.table("hung-both", both.join(mains.hint("shuffle_hash"), "main").withColumn("node", F.col("main")))
+    both = _with_sets(tables, "hung", texts, both)
+    found = tables.table("hung-links", _met(_grid(both.where("all"), both.where("NOT all"))))
+    tables.drop("hung-sets", "hung-both", "hung-sizes", "hung-whole", "hung-mains", "hung-rows")
+    return found
+
+
 def _blocks(tables: Scratch, texts: DataFrame, rows: DataFrame) -> DataFrame | None:
     """Links between components within large nodes: each meeting is of two blocks of one node, or one with itself.
 
@@ -337,27 +369,39 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
     tables.drop("star-texts")
     state = members.select("node", "id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     state = state.join(reps.select("id", "sig"), "id").select("node", "id", F.coalesce("component", "id").alias("comp"), "sig", F.lit(None).cast("long").alias("was"))
+    sizes = tables.table("sizes", comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     small: list[DataFrame] = []
     lopsided: list[DataFrame] = []
     dense: list[DataFrame] = []
+    hung: list[DataFrame] = []
     columns = ["node", "id", "comp", "sig"]
     for depth in range(DEPTH + 1):
         state = tables.table(f"level-{depth}", state)
         parts = state.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("was").alias("was"))
         stats = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("was").alias("was")).where("k > 1")
-        unparted = F.lit(depth == DEPTH) | F.coalesce(F.col("n") >= KEEPS * F.col("was"), F.lit(False))
-        rest = F.col("n") - F.col("top.c")
+        stats = stats.select("node", "n", "k", "was", F.col("top.c").alias("c"), F.col("top.comp").alias("main"))
+        stats = stats.join(sizes.hint("shuffle_hash"), F.col("main") == F.col("component"), "left").drop("component")
+        # Half of the node, and half of the component: the others meet the component once, whole, and leave it here.
+        hangs = (F.col("n") > SMALL) & (2 * F.col("c") >= F.col("n")) & (2 * F.col("c") >= F.coalesce("size", F.lit(1)))
+        unparted = F.lit(depth == DEPTH) | (F.col("n") <= FINISH) | F.coalesce(F.col("n") >= KEEPS * F.col("was"), F.lit(False))
+        rest = F.col("n") - F.col("c")
         way = F.when(F.col("n") <= SMALL, "small").when(~unparted, "branch").when(rest <= REST, "lopsided").otherwise("blocks")
+        left = F.when(F.col("k") == 2, "done").when(rest <= SMALL, "small").when(F.lit(depth == DEPTH) | (rest <= FINISH), "blocks").otherwise("branch")
+        stats = stats.withColumn("hangs", hangs).withColumn("way", F.when(hangs, left).otherwise(way)).withColumn("n", F.when(hangs, rest).otherwise(F.col("n")))
         # Written, so that the join below reads nothing but two shuffles and a hot node may be split.
-        stats = tables.table(f"stats-{depth}", stats.select("node", "n", F.col("top.comp").alias("main"), way.alias("way")))
-        alive = tables.table(f"alive-{depth}", state.drop("was").join(stats.hint("shuffle_hash"), "node"))
+        stats = tables.table(f"stats-{depth}", stats.select("node", "n", "main", "way", "hangs"))
+        alive = state.drop("was").join(stats.hint("shuffle_hash"), "node").where("NOT hangs OR comp <> main")
+        alive = tables.table(f"alive-{depth}", alive)
         tables.drop(f"level-{depth}", f"stats-{depth}")
+        hung.append(alive.where("hangs").select("id", "comp", "sig", "main"))
         for way, kept in (("small", small), ("lopsided", lopsided), ("blocks", dense)):
-            kept.append(alive.where(F.col("way") == way).drop("way"))
+            kept.append(alive.where(F.col("way") == way).drop("way", "hangs"))
         large = alive.where("way = 'branch'").select(*columns, "n")
         if large.isEmpty():
             break
         state = large.mapInArrow(_branch, "node long, id long, comp long, sig binary, was long")
+    sure = _hung(tables, texts, reps, comp, reduce(DataFrame.unionByName, hung))
+    edges = edges if sure is None else edges.unionByName(sure)
     # Nodes have names of their own at every depth, so all depths are finished together.
     sure = _lopsided(tables, "lopsided", texts, reduce(DataFrame.unionByName, lopsided))
     edges = edges if sure is None else edges.unionByName(sure)
