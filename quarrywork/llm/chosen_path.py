@@ -4,8 +4,8 @@ Sets are the 5-word shingles of whole texts, as 64-bit hashes.  Texts with equal
 and only its representative goes on.  Each representative has ``WIDTH`` minwise tokens.  A tree
 starts with all documents in its root; a node picks ``BRANCH`` of the minwise positions (by a hash
 of its path), and sends each document to the child named by the token that it has there.  Nodes of
-one document end.  Nodes of up to ``SMALL`` documents are compared exhaustively; those of more
-than ``FINISH`` branch again.  ``TREES`` independent trees are grown at once.
+one document end.  Nodes of up to ``SMALL`` documents are compared exhaustively; larger ones branch
+again.  ``TREES`` independent trees are grown at once.
 
 Recall.  A pair of similarity s survives a node with probability p = 1 - (1 - s p)^2; for s = 0.75
 the fixed point is 8/9, at any depth, so six trees miss such a pair with probability below 2e-6, and
@@ -18,8 +18,8 @@ groups of near copies of any size.  Nodes whose documents all have one component
 the trees look only for pairs between components.  Where a component has half of a node, and
 half of the component lies there, it leaves the node: the others meet all of it, once for all nodes, and
 only they go on.  Branching cannot part documents that are nearly all alike, and going on would repeat
-them in ever more nodes, so a node of up to ``FINISH`` documents, and one that kept at least ``KEEPS`` of
-its parent's, is finished at once: where up to ``REST`` documents lie outside its largest component, by
+them in ever more nodes, so a node that kept at least ``KEEPS`` of its parent's documents, and one of up
+to ``FINISH`` that kept ``HALF`` of them or was left by a component, is finished at once: where up to ``REST`` documents lie outside its largest component, by
 comparing these with all of it, dealt over tasks, else in blocks of ``BLOCK`` documents, whole, each block
 pair a task of its own.  The same is done with nodes still large at ``DEPTH``.  A crowd in which no
 component has half is thus compared in full, in each node that it fills: a square of its documents.
@@ -52,8 +52,9 @@ KEEPS = 0.75
 #: Documents outside an unparted node's largest component up to which they are compared with the whole
 #: node, and the documents of a node that one task then holds.
 REST, CHUNK = 256, 1024
-#: Documents up to which a node is finished at once, in two blocks at most, instead of being repeated in children.
-FINISH = 512
+#: Documents up to which a node is finished at once, in two blocks at most, where its children would repeat them:
+#: where it holds this share of its parent, or is what a main component left.
+FINISH, HALF = 512, 0.5
 #: Equal minwise tokens of ``WIDTH`` from which a pair is confirmed on its full sets.
 ALIKE = 34
 #: Ids of candidates that are broadcast at most (8 bytes each); beyond it the join shuffles.
@@ -383,7 +384,7 @@ def _links(tables: Scratch, texts: DataFrame, reps: DataFrame) -> DataFrame:
         stats = stats.join(sizes.hint("shuffle_hash"), F.col("main") == F.col("component"), "left").drop("component")
         # Half of the node, and half of the component: the others meet the component once, whole, and leave it here.
         hangs = (F.col("n") > SMALL) & (2 * F.col("c") >= F.col("n")) & (2 * F.col("c") >= F.coalesce("size", F.lit(1)))
-        unparted = F.lit(depth == DEPTH) | (F.col("n") <= FINISH) | F.coalesce(F.col("n") >= KEEPS * F.col("was"), F.lit(False))
+        unparted = F.lit(depth == DEPTH) | F.coalesce(F.col("n") >= F.when(F.col("n") <= FINISH, HALF).otherwise(KEEPS) * F.col("was"), F.lit(False))
         rest = F.col("n") - F.col("c")
         way = F.when(F.col("n") <= SMALL, "small").when(~unparted, "branch").when(rest <= REST, "lopsided").otherwise("blocks")
         left = F.when(F.col("k") == 2, "done").when(rest <= SMALL, "small").when(F.lit(depth == DEPTH) | (rest <= FINISH), "blocks").otherwise("branch")
