@@ -11,11 +11,12 @@ What is gathered grows with the input.  Word counts come from all documents, as
 map-side combining, and stay a table: the counts of the ``KEPT`` commonest words are broadcast, a
 document's other words, each once with its number, meet the table in a join by hash, so that every
 word has its own count whatever the size of the vocabulary (``KEPT`` moves words between these two
-ways and changes no score).  Training masks places of every document (every ``MASKED``-th, more of
-them in a small corpus) and writes their windows; the windows are dealt over trainers, one for each ``SHARE`` of them (``TRAINERS`` at most,
+ways and changes no score).  Training masks every place of every document, at every size of corpus: in each round
+where one trainer holds the corpus, else once, as each round takes a part of it.  Outputs are written in stretches of ``SPAN`` words, with the ``WINDOW`` words before and after, which hold
+the windows of all their places.  Stretches are dealt over trainers, one for each ``SHARE`` words (``TRAINERS`` at most,
 which then have more), each of which runs minibatch Adagrad in numpy over all its own, a bounded batch at a time; after a round the trainers'
 parameters are averaged, by ranges of parameters on the executors, and the next round starts from the
-average.  The driver holds the parameters (some 270,000 numbers), never windows.
+average.  The driver holds the parameters (some 270,000 numbers), never stretches.
 
 The network's size is fixed, so every word is scored by the same arithmetic at every size of corpus.
 
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .keytable import KeyTable
 from .scratch import Scratch
-from .worker import lean
-from .wordhash import mix, slices, words
+from .worker import keep_memory, lean
+from .wordhash import slices, words
 
 WINDOW, HIDDEN = 3, 32
 CLASSES, PER_CLASS = 64, 64
@@ -44,15 +45,14 @@ OUTPUTS, BUCKETS = CLASSES * PER_CLASS, PER_CLASS  # the last class holds the bu
 OWN = OUTPUTS - BUCKETS
 EDGE = OUTPUTS  # what stands outside a text
 KEPT = 1 << 16
-#: Every so manieth place is masked in training at most: all are where this gives ``DENSE`` windows; windows a trainer has; trainers at most; rounds
-#: of averaging; windows in a batch.
-MASKED, DENSE, SHARE, TRAINERS, ROUNDS, BATCH = 12, 1 << 21, 1 << 18, 4096, 2, 1024
-#: Batches of a round below which a trainer goes over its windows again, and how often at most.
-STEPS, PASSES = 150, 4
+#: Words that a trainer has in a round; trainers at most; rounds of averaging; words in a batch at least and at most.
+SHARE, TRAINERS, ROUNDS, BATCH, LARGEST = 1 << 21, 4096, 2, 1024, 1 << 13
+#: Batches of a round below which a trainer goes over its words again, and how often at most; batches of a round.
+STEPS, PASSES, ENOUGH = 150, 4, 256
 #: Rate of the first round, and what is left of it in each further one.
 RATE, DECAY = 0.2, 0.4
-#: Windows in a row of the table of windows; positions that are scored at once; parameters in a row.
-RUN, SPAN, CHUNK = 1 << 15, 1 << 13, 1 << 12
+#: Words of a stretch; stretches in a row of their table; stretches that are scored at once, that a trainer holds; parameters in a row.
+SPAN, RUN, SCORED, HELD, CHUNK = 64, 512, 128, 1 << 15, 1 << 12
 #: Log-counts are summed as multiples of 1 / FINE, so that sums do not depend on their order.
 FINE = 1e9
 _PLACES = tuple(k for k in range(-WINDOW, WINDOW + 1) if k)
@@ -145,6 +145,34 @@ def contexts(output: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarr
     return found
 
 
+def stretches(output: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """[stretch, word]: all texts in a row, with edges between them, cut every ``SPAN`` words: a stretch's own words,
+    then the ``WINDOW`` before and after them, as 16-bit numbers.  Own words that are ``EDGE`` are no places."""
+    first = np.zeros(len(output), np.int64)
+    first[before[:-1][before[:-1] < before[1:]]] = 1
+    at = np.arange(len(output)) + WINDOW * np.cumsum(first)
+    n = -(-(int(at[-1]) + 1 - WINDOW) // SPAN) if len(at) else 0
+    line = np.full(n * SPAN + 2 * WINDOW, EDGE, "<u2")
+    line[at] = output
+    if not n:
+        return np.empty((0, SPAN + 2 * WINDOW), "<u2")
+    rows = np.lib.stride_tricks.sliding_window_view(line, SPAN + 2 * WINDOW)[::SPAN]
+    return np.concatenate([rows[:, WINDOW:-WINDOW], rows[:, :WINDOW], rows[:, -WINDOW:]], axis=1)
+
+
+def _lines(rows: np.ndarray) -> np.ndarray:
+    """Stretches in the order of their text."""
+    return np.concatenate([rows[:, -2 * WINDOW : -WINDOW], rows[:, : -2 * WINDOW], rows[:, -WINDOW:]], axis=1)
+
+
+def _places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the stretches' own words are places, in order of class, and their outputs."""
+    own = rows[:, : -2 * WINDOW].reshape(-1).astype(np.int64)
+    at = np.flatnonzero(own != EDGE)
+    at = at[np.argsort((own[at] // PER_CLASS).astype(np.uint8), kind="stable")]
+    return at, own[at]
+
+
 # The network ------------------------------------------------------------------------------------------
 
 
@@ -183,42 +211,62 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.reshape(-1) for p in self.parts()])
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.embed[context[:, 0]] * self.place[0]
-        for k in range(1, context.shape[1]):
-            total += self.embed[context[:, k]] * self.place[k]
-        return np.tanh(total + self.bias)
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        """[own word, HIDDEN] from the embeddings of lines."""
+        n = around.shape[1] - 2 * WINDOW
+        total = around[:, :n] * self.place[0]
+        for k, place in enumerate(_PLACES[1:], 1):
+            total += around[:, WINDOW + place : WINDOW + place + n] * self.place[k]
+        total += self.bias
+        return np.tanh(total, out=total).reshape(-1, HIDDEN)
+
+    def within_classes(self, hidden: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Scores of the outputs of each place's class; places come in runs of one class."""
+        score = np.empty((len(hidden), PER_CLASS), np.float32)
+        for kind, a, b in runs:
+            own = slice(kind * PER_CLASS, (kind + 1) * PER_CLASS)
+            np.matmul(hidden[a:b], self.lower[own].T, out=score[a:b])
+            score[a:b] += self.lower_bias[own]
+        return score
+
+    def of_stretches(self, rows: np.ndarray) -> np.ndarray:
+        """Log-probability of each place of stretches, in their order."""
+        at, target = _places(rows)
+        hidden = self.hidden(self.embed[_lines(rows)])[at]
+        each, score = np.arange(len(at)), hidden @ self.upper.T + self.upper_bias
+        found = score[each, target // PER_CLASS] - _log_sum(score)
+        score = self.within_classes(hidden, _runs(target // PER_CLASS))
+        found += score[each, target % PER_CLASS] - _log_sum(score)
+        return found[np.argsort(at)].astype(float)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target output in its context."""
-        kind = target // PER_CLASS
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        target, kind = target[order], kind[order]
-        hidden, at = self.hidden(context[order]), np.arange(len(target))
-        score = hidden @ self.upper.T + self.upper_bias
-        found = score[at, kind] - _log_sum(score)
-        for a, b in _runs(kind):
-            own = slice(int(kind[a]) * PER_CLASS, (int(kind[a]) + 1) * PER_CLASS)
-            score = hidden[a:b] @ self.lower[own].T + self.lower_bias[own]
-            found[a:b] += score[at[: b - a], target[a:b] - own.start] - _log_sum(score)
-        out = np.empty(len(target))
-        out[order] = found
-        return out
-
-
-def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(sorted_values, prepend=-1)).tolist()
-    return list(zip(cut, [*cut[1:], len(sorted_values)]))
+        """Of each target output in its context: a stretch of one word."""
+        return self.of_stretches(np.concatenate([target[:, None], context], axis=1))
+
+
+def _runs(kinds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, begin, end) of sorted kinds."""
+    cut = np.flatnonzero(np.diff(kinds, prepend=-1)).tolist()
+    return list(zip(kinds[cut].tolist(), cut, [*cut[1:], len(kinds)]))
+
+
+_ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials, in place."""
     most = x.max(axis=1)
-    return np.log(np.exp(x - most[:, None]).sum(axis=1)) + most
+    x -= most[:, None]
+    return np.log(np.exp(x, out=x) @ _ONES[: x.shape[1]]) + most
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _missed(score: np.ndarray, hit: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Gradients of minus the log softmax, in place."""
+    score -= score.max(axis=1, keepdims=True)
+    np.exp(score, out=score)
+    score *= (scale / (score @ _ONES[: score.shape[1]]))[:, None]
+    score[np.arange(len(score)), hit] -= scale
+    return score
 
 
 class _Adagrad:
@@ -233,104 +281,120 @@ class _Adagrad:
         self.p[at] -= self.rate * gradient / np.sqrt(seen)
 
 
-def train(network: Network, runs: Iterable[np.ndarray], passes: int = 1, round_: int = 0) -> int:
-    """Minibatch Adagrad, in place, on runs of windows (target, context...); returns the number of windows.
+def train(network: Network, runs: Iterable[np.ndarray], passes: int = 1, round_: int = 0, batch: int = BATCH) -> int:
+    """Minibatch Adagrad, in place, on runs of stretches; returns the number of places.
     Batches come shuffled from one run; for more than one pass the runs must be a list."""
     rule, rng, total = [_Adagrad(p, RATE * DECAY**round_) for p in network.parts()], np.random.default_rng(round_), 0
     for k in range(passes):
         for run in runs:
-            total += len(run) * (k == 0)
+            total += int((run[:, :SPAN] != EDGE).sum()) * (k == 0)
             run = run[rng.permutation(len(run))]
-            for lo in range(0, len(run), BATCH):
-                _step(network, rule, run[lo : lo + BATCH].astype(np.int64))
+            for lo in range(0, len(run), max(1, batch // SPAN)):
+                _step(network, rule, run[lo : lo + max(1, batch // SPAN)])
     return total
 
 
-def _step(net: Network, rule: list[_Adagrad], batch: np.ndarray) -> None:
-    batch = batch[np.argsort(batch[:, 0], kind="stable")]
-    target, context = batch[:, 0], batch[:, 1:]
-    kind, at, scale = target // PER_CLASS, np.arange(len(batch)), np.float32(8 / len(batch))
-    around = net.embed[context]
-    hidden = np.tanh((around * net.place).sum(axis=1) + net.bias)
-    miss = _softmax(hidden @ net.upper.T + net.upper_bias)
-    miss[at, kind] -= 1
-    miss *= scale
+def _step(net: Network, rule: list[_Adagrad], rows: np.ndarray) -> None:
+    """On all places of some stretches."""
+    at, target = _places(rows)
+    if not len(at):
+        return
+    line, kinds, scale = _lines(rows).astype(np.int64), target // PER_CLASS, np.float32(8 / len(at))
+    around = net.embed[line]
+    every = net.hidden(around)
+    hidden = every[at]
+    miss = _missed(hidden @ net.upper.T + net.upper_bias, kinds, scale)
     back = miss @ net.upper
     rule[3].step(miss.T @ hidden), rule[4].step(miss.sum(axis=0))
-    for a, b in _runs(kind):
-        own = slice(int(kind[a]) * PER_CLASS, (int(kind[a]) + 1) * PER_CLASS)
-        miss = _softmax(hidden[a:b] @ net.lower[own].T + net.lower_bias[own])
-        miss[at[: b - a], target[a:b] - own.start] -= 1
-        miss *= scale
-        back[a:b] += miss @ net.lower[own]
-        rule[5].step(miss.T @ hidden[a:b], own), rule[6].step(miss.sum(axis=0), own)
+    runs = _runs(kinds)
+    miss = _missed(net.within_classes(hidden, runs), target % PER_CLASS, scale)
+    lower, lower_bias = np.zeros_like(net.lower), np.zeros_like(net.lower_bias)
+    for kind, a, b in runs:
+        own = slice(kind * PER_CLASS, (kind + 1) * PER_CLASS)
+        back[a:b] += miss[a:b] @ net.lower[own]
+        np.matmul(miss[a:b].T, hidden[a:b], out=lower[own])
+        lower_bias[own] = miss[a:b].sum(axis=0)
+    rule[5].step(lower), rule[6].step(lower_bias)
     back *= 1 - hidden * hidden
-    # Gradients of the embeddings, summed over equal words.
-    flat = context.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    gradient = np.add.reduceat((back[:, None, :] * net.place).reshape(-1, HIDDEN)[order], starts, axis=0)
-    rule[1].step((around * back[:, None, :]).sum(axis=0)), rule[2].step(back.sum(axis=0))
-    rule[0].step(gradient, flat[order][starts])
+    every[:] = 0
+    every[at] = back
+    every = every.reshape(len(rows), -1, HIDDEN)
+    # Gradients of the embeddings, by places of the lines, then summed over equal words.
+    n, gradient, place = every.shape[1], np.zeros_like(around), np.empty_like(net.place)
+    for k, p in enumerate(_PLACES):
+        there = slice(WINDOW + p, WINDOW + p + n)
+        gradient[:, there] += every * net.place[k]
+        place[k] = np.einsum("abh,abh->h", around[:, there], every)
+    flat = line.reshape(-1)
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    word = flat[order]
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    rule[1].step(place), rule[2].step(back.sum(axis=0))
+    rule[0].step(np.add.reduceat(gradient.reshape(-1, HIDDEN)[order], starts, axis=0), word[starts])
 
 
 # Training over the cluster ------------------------------------------------------------------------------
 
 
-def masked(h: np.ndarray, before: np.ndarray, every: int = MASKED) -> np.ndarray:
-    """The masked positions: each text's first one comes from its first word, the others follow evenly."""
-    first = np.zeros(len(before) - 1, np.int64)
-    some = before[:-1] < before[1:]
-    first[some] = (mix(h[before[:-1][some]]) % np.uint64(every)).astype(np.int64)
-    return np.flatnonzero((np.arange(len(h)) - np.repeat(before[:-1] + first, np.diff(before))) % every == 0)
-
-
-def _windows(texts: DataFrame, vocab, every: int) -> DataFrame:
-    """n, windows: runs of the masked places of all texts, target and context as 16-bit numbers."""
+def _stretches(texts: DataFrame, vocab) -> DataFrame:
+    """n, words: runs of stretches of all texts, and their number of places."""
 
     @lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in slices(batch.column(0)):
                 h, _, _, before = words(raw, offsets)
-                output, _, _ = vocab.value.look_up(h)
-                at = masked(h, before, every)
-                for lo in range(0, len(at), RUN):
-                    some = at[lo : lo + RUN]
-                    rows = np.concatenate([output[some, None], contexts(output, before, some)], axis=1).astype("<u2")
-                    yield pa.record_batch({"n": pa.array([len(some)], pa.int64()), "windows": pa.array([rows.tobytes()], pa.binary())})
+                rows = stretches(vocab.value.look_up(h)[0], before)
+                for lo in range(0, len(rows), RUN):
+                    some = rows[lo : lo + RUN]
+                    yield pa.record_batch({"n": pa.array([int((some[:, :SPAN] != EDGE).sum())], pa.int64()), "words": pa.array([some.tobytes()], pa.binary())})
 
-    return texts.mapInArrow(gather, "n long, windows binary")
+    return texts.mapInArrow(gather, "n long, words binary")
 
 
 def fit(tables: Scratch, texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """The network, trained on the windows of all texts."""
+    """The network, trained on all places of all texts."""
     context = texts.sparkSession.sparkContext
-    every = int(np.clip(vocab.whole.sum() // DENSE, 1, MASKED))
-    windows = tables.table("windows", _windows(texts, context.broadcast(vocab), every).withColumn("run", F.monotonically_increasing_id()))
+    rows = tables.table("stretches", _stretches(texts, context.broadcast(vocab)).withColumn("run", F.monotonically_increasing_id()))
     flat = Network.start(vocab.whole).flat()
-    total = windows.agg(F.sum("n")).first()[0] or 0
-    trainers = min(TRAINERS, -(-total // SHARE))
-    # Few windows are gone over several times, by one trainer that holds them (SHARE * 14 bytes).
-    passes = 1 if trainers > 1 else int(np.clip(STEPS * BATCH // max(1, total), 1, PASSES))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    # What one trainer holds is gone over in each round, if it is little more often; else a round takes the runs of its number.
+    parts = rounds if total > SHARE else 1
+    trainers = min(TRAINERS, -(-total // (parts * SHARE)))
+    passes = int(np.clip(STEPS * BATCH // max(1, total), 1, PASSES)) if parts == 1 else 1
+    batch = int(np.clip(total // max(1, parts * trainers) // ENOUGH, BATCH, LARGEST))
     for k in range(rounds if total else 0):
+        own = rows.where(F.pmod(F.xxhash64("run"), F.lit(parts)) == k % parts)
         # The same runs in the same order at every attempt.
-        dealt = windows.select("windows", "run").repartition(trainers, "run").sortWithinPartitions("run")
-        part = dealt.mapInArrow(_trainer(context.broadcast(flat), passes, k), "chunk long, n long, sums binary")
+        dealt = own.select("words", "run").repartition(trainers, "run").sortWithinPartitions("run")
+        part = dealt.mapInArrow(_trainer(context.broadcast(flat), passes, k, batch), "chunk long, n long, sums binary")
         # A range of parameters meets in one task as a running sum: a few KB, however many trainers.
         part = part.repartition("chunk").sortWithinPartitions("chunk", "n").mapInArrow(_averaged, "chunk long, mean binary")
         means = {r["chunk"]: r["mean"] for r in part.collect()}  # the parameters, once
-        flat = np.frombuffer(b"".join(means[c] for c in sorted(means)), np.float64)
-    tables.drop("windows")
+        flat = np.frombuffer(b"".join(means[c] for c in sorted(means)), np.float64) if means else flat
+    tables.drop("stretches")
     return Network.of(flat)
 
 
-def _trainer(start, passes: int, round_: int):
+def _held(runs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Runs of texts together, up to some ``HELD`` stretches."""
+    some: list[np.ndarray] = []
+    for run in runs:
+        some.append(run)
+        if sum(map(len, some)) >= HELD:
+            yield np.concatenate(some)
+            some = []
+    if some:
+        yield np.concatenate(some)
+
+
+def _trainer(start, passes: int, round_: int, size: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         own = Network.of(start.value)
-        runs = (np.frombuffer(raw.as_py(), "<u2").reshape(-1, 1 + len(_PLACES)) for batch in batches for raw in batch.column(0))
-        n = train(own, list(runs) if passes > 1 else runs, passes, round_)
+        runs = _held(np.frombuffer(raw.as_py(), "<u2").reshape(-1, SPAN + 2 * WINDOW) for batch in batches for raw in batch.column(0))
+        n = train(own, list(runs) if passes > 1 else runs, passes, round_, size)
         if n:
             flat = own.flat().astype(np.float64) * n
             cuts = range(0, len(flat), CHUNK)
@@ -365,10 +429,9 @@ def _scored(column: pa.Array, vocab: Vocabulary, network: Network) -> Iterator[t
     for _, _, raw, offsets in slices(column):
         h, _, _, before = words(raw, offsets)
         output, within, rare = vocab.look_up(h)
-        log_p = np.empty(len(h))
-        for lo in range(0, len(h), SPAN):
-            at = np.arange(lo, min(len(h), lo + SPAN))
-            log_p[at] = network.log_probability(contexts(output, before, at), output[at])
+        rows = stretches(output, before)
+        parts = [network.of_stretches(rows[lo : lo + SCORED]) for lo in range(0, len(rows), SCORED)]
+        log_p = np.concatenate([np.empty(0), *parts])
         sums = np.concatenate([[0.0], np.cumsum(log_p + within)])
         yield np.diff(before), sums[before[1:]] - sums[before[:-1]], h, rare, before
 
@@ -395,6 +458,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             at = 0
             for n, total, h, rare, before in _scored(batch.column(1), *shared.value):
